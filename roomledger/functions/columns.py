@@ -49,7 +49,7 @@ def two_decimals(value: Column) -> Column:
     return (
         F.when(number.isNull() | F.isnan(number), F.lit("nan"))
         .when(infinite, F.when(number > 0, F.lit("inf")).otherwise(F.lit("-inf")))
-        .otherwise(F.format_number(number, "0.00"))
+        .otherwise(F.call_function("format_number", number, F.lit("0.00")))
     )
 
 
@@ -57,6 +57,11 @@ def month_end_label(month: Column) -> Column:
     return F.date_format(F.last_day(month), "yyyy-MM-dd 00:00:00")
 
 
+def base64_text(content: Column) -> Column:
+    """Base64 in one line, whatever line length the session is set to."""
+    return F.translate(F.base64(content), "\r\n", "")
+
+
 def strip(text: Column) -> Column:
     """Remove white space of any kind from both ends."""
     return F.regexp_replace(F.regexp_replace(text, r"^\s+", ""), r"\s+$", "")

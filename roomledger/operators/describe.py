@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from roomledger import schema
 from roomledger.functions.columns import exact_mean
-from roomledger.session import materialize
+from roomledger.session import literal_table, materialize
 
 BLOCK_VALUES = 65_536
 QUARTILES = {"25%": 0.25, "50%": 0.5, "75%": 0.75}
@@ -104,8 +104,9 @@ def describe(counts: DataFrame, dimensions: Sequence[str]) -> DataFrame:
             )
         ).alias("s"),
     ).select("dimension", "s.subkey", "s.value")
-    labels = counts.sparkSession.createDataFrame(
-        [(d, s) for d in dimensions for s in schema.DESCRIBE_LABELS], "dimension string, subkey string"
+    pairs = [(d, s) for d in dimensions for s in schema.DESCRIBE_LABELS]
+    labels = literal_table(
+        counts.sparkSession, dimension=[d for d, _ in pairs], subkey=[s for _, s in pairs]
     )
     empty = F.when(F.col("subkey") == "count", F.lit(0.0))
     return labels.join(long, ["dimension", "subkey"], "left").select(

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from roomledger import schema
 from roomledger.functions import columns as X
 from roomledger.operators import describe as D
-from roomledger.session import materialize
+from roomledger.session import literal_table, materialize
 
 # ---- one insight at a time ----
 
@@ -84,8 +84,9 @@ def cancellation_by_channel(df: DataFrame) -> DataFrame:
 
 
 def _bin_labels(df: DataFrame) -> DataFrame:
-    rows = list(enumerate(schema.LEAD_TIME_LABELS))
-    return df.sparkSession.createDataFrame(rows, "bin_no int, lead_time_bin string")
+    labels = list(schema.LEAD_TIME_LABELS)
+    rows = literal_table(df.sparkSession, bin_no=list(range(len(labels))), lead_time_bin=labels)
+    return rows.withColumn("bin_no", F.col("bin_no").cast("int"))
 
 
 def cancellation_by_lead_time(df: DataFrame) -> DataFrame:

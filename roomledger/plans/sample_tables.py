@@ -48,3 +48,86 @@ def bookings(spark: SparkSession, folder: str) -> DataFrame:
         "l_linenumber",
         "explode(sequence(1, case when l_linenumber = 1 then 2 else 1 end)) as copy",
     ).drop("copy")
+
+
+# The sample questions (fixed values).
+SAMPLE_QUESTIONS = (
+    "Show me total revenue for July 2017.",
+    "Which locations had the highest booking cancellations?",
+    "What is the average price of a hotel booking?",
+    "What is the cancellation rate for city hotels?",
+    "Which market segment has the highest booking percentage?",
+    "Which market segment has the highest cancellation rate?",
+    "What are the trends in monthly revenue?",
+    "How does the lead time affect cancellation rates?",
+    "Which customer type generates the highest revenue?",
+    "What's the average length of stay at resort hotels?",
+)
+
+
+def questions(spark: SparkSession, folder: str) -> DataFrame:
+    """One question per user turn, and the following assistant turn as the model's raw answer.
+
+    A sample question follows the user's text; amounts and names that formatting looks for follow
+    the assistant's. A turn without a reply has no raw answer.
+    """
+    turns = table(spark, folder, "conversations")
+    asked = turns.where("role = 'user'").select(
+        "conv_id",
+        "turn",
+        F.concat_ws("-", "conv_id", "turn").alias("question_id"),
+        F.concat(
+            "text",
+            F.lit(" "),
+            F.element_at(F.lit(list(SAMPLE_QUESTIONS)), ((F.col("conv_id") + F.col("turn")) % 10 + 1).cast("int")),
+        ).alias("question"),
+    )
+    replies = turns.where("role = 'assistant'").selectExpr(
+        "conv_id",
+        "turn - 1 as turn",
+        "concat(text, ' $ ', turn, '.5 and ', turn, ' % at City Hotel via Direct') as raw_answer",
+    )
+    return asked.join(replies, ["conv_id", "turn"], "left").select("question_id", "question", "raw_answer")
+
+
+def chart_files(spark: SparkSession, folder: str) -> DataFrame:
+    """One file per web page: the page's bytes under a chart name and, but for .html URLs, as PNG."""
+    return table(spark, folder, "pages").selectExpr(
+        """concat('charts/', page_id, '/', case page_id % 6
+               when 0 then 'monthly_revenue' when 1 then 'cancellation_by_hotel' when 2 then 'top_countries'
+               when 3 then 'lead_time_distribution' when 4 then 'adr_by_customer'
+               else concat('page_', page_id) end,
+               case when page_id % 7 = 0 then '.v2' else '' end,
+               case when url like '%.html' then '.html' else '.png' end) as path""",
+        "encode(html, 'utf-8') as content",
+    )
+
+
+def vector_questions(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "embeddings").selectExpr("vec_id as question_id", "embedding")
+
+
+def vector_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Every stored vector as a document; label 0 stands for charts."""
+    return table(spark, folder, "embeddings").selectExpr(
+        "vec_id as doc_id",
+        "concat('vector ', vec_id, ' of class ', label) as page_content",
+        """case when label = 0
+               then map('type', 'graph', 'image_base64', base64(encode(cast(vec_id as string), 'utf-8')),
+                        'description', concat('chart ', vec_id))
+               else map('category', concat('class ', label)) end as metadata""",
+        "embedding",
+    )
+
+
+def request_log(spark: SparkSession, folder: str) -> DataFrame:
+    """One request per event, which takes as many seconds as the event's value says."""
+    return table(spark, folder, "events").selectExpr(
+        "event_id + 1 as question_number",
+        "props as question",
+        """concat('Seen: ', event_type, case when event_id % 3 = 0
+               then concat(' (Response time: ', format_number(value, '0.00'), ' seconds)') else '' end) as answer""",
+        "case event_type when 'view' then base64(encode(props, 'utf-8')) when 'click' then '' end as graph",
+        "ts as started_at",
+        "timestamp_micros(unix_micros(cast(ts as timestamp)) + cast(round(value * 1000000) as bigint)) as ended_at",
+    )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -48,3 +49,8 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def literal_table(spark: SparkSession, **columns: list) -> DataFrame:
+    """A few constant rows as a local relation, which Spark can plan by its true size."""
+    return spark.createDataFrame(pa.table(columns))
