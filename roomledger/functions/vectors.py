@@ -34,6 +34,11 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return values.reshape(len(column), -1)
 
 
+def present(batch):
+    """The rows of a batch or table that have a vector."""
+    return batch.filter(batch["embedding"].is_valid())
+
+
 def squared_distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Squared L2 distance of every row of one matrix to every row of the other.
 
@@ -74,6 +79,30 @@ def nearest(left: np.ndarray, right: np.ndarray, k: int) -> tuple[np.ndarray, np
     return tuple(np.concatenate(part) for part in zip(*found))
 
 
+def visited_cells(
+    questions: np.ndarray, centres: np.ndarray, radii: np.ndarray, counts: np.ndarray, k: int
+) -> np.ndarray:
+    """Which cells can hold one of a question's k nearest documents, as a matrix of booleans.
+
+    Every centre is a document, so the k-th nearest centre bounds the search. No document of a
+    cell is nearer than the cell's sphere allows, nor than the plane halfway between the cell's
+    centre and the centre nearest to the question.
+    """
+    squares = squared_distances(questions, centres)
+    distances, between = np.sqrt(squares), np.sqrt(squared_distances(centres, centres))
+    home = squares.argmin(axis=1)
+    if len(centres) > k:
+        bound = np.partition(distances, k - 1, axis=1)[:, k - 1 : k]
+    else:
+        bound = np.full((len(questions), 1), np.inf)
+    sphere = distances - radii
+    beyond = squares - squares[np.arange(len(home)), home][:, None]
+    gap = 2.0 * between[home]
+    plane = np.divide(beyond, gap, out=np.zeros_like(beyond), where=gap > 1e-9)
+    slack = 1e-5 * (1.0 + np.abs(distances))
+    return (np.maximum(sphere, plane) <= bound + slack) & (counts > 0)
+
+
 def ranked(question_ids: pa.Array, doc_ids: pa.Array, found: tuple) -> dict[str, pa.Array]:
     """Result columns of :func:`nearest`; ranks start at 1 for each question."""
     rows, cols, distances = found

@@ -34,14 +34,15 @@ def nearest_documents(
 
     ``questions`` has ``question_id, embedding``; ``documents`` has ``doc_id, embedding``, with
     unique keys. Result: ``question_id, rank, doc_id, distance``. Distances are rounded to six
-    decimals and equal ones ordered by ``doc_id``. ``documents`` is read more than once, so pass a
-    stored table.
+    decimals and equal ones ordered by ``doc_id``. Rows without a vector take no part; they are
+    dropped inside the search, as a filter here would compute the vectors of a lazily embedded
+    table twice. ``documents`` is read more than once, so pass a stored table.
 
     If the documents fit ``broadcast_bytes``, every task compares its questions with all of them
     and nothing is shuffled. Otherwise both sides are cut into blocks, see :func:`_by_cells`.
     """
-    questions = questions.where(F.col("embedding").isNotNull()).select("question_id", "embedding")
-    documents = documents.where(F.col("embedding").isNotNull()).select("doc_id", "embedding")
+    questions = questions.select("question_id", "embedding")
+    documents = documents.select("doc_id", "embedding")
     size = documents.agg(
         F.coalesce(
             F.sum(8 * F.size("embedding") + 32 + F.octet_length(F.col("doc_id").cast("string"))), F.lit(0)
@@ -60,14 +61,14 @@ def _result_schema(questions: DataFrame, documents: DataFrame) -> str:
 
 def _by_broadcast(questions: DataFrame, documents: DataFrame, k: int) -> DataFrame:
     # The size of this table was checked by the caller.
-    table = documents.toArrow().combine_chunks().sort_by("doc_id")
+    table = V.present(documents.toArrow()).combine_chunks().sort_by("doc_id")
     shared = questions.sparkSession.sparkContext.broadcast(
         (table["doc_id"].combine_chunks(), V.matrix(table["embedding"]))
     )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc_ids, vectors = shared.value
-        for batch in batches:
+        for batch in map(V.present, batches):
             if batch.num_rows and len(doc_ids):
                 found = V.nearest(V.matrix(batch["embedding"]), vectors, k)
                 yield pa.RecordBatch.from_pydict(V.ranked(batch["question_id"], doc_ids, found))
@@ -81,9 +82,8 @@ def _by_cells(
     """Exact search of large tables by a partition of space into cells around pivots.
 
     After the pivot-based kNN join of Lu, Shen, Chen and Ooi (PVLDB 5(10), 2012). Every document
-    goes to the cell of its nearest pivot. Pivots are documents, so the distance to the k-th
-    nearest pivot bounds the distance to the k-th nearest document; a question visits only cells
-    that can hold a document within that bound. A cell with many documents is cut into blocks,
+    goes to the cell of its nearest pivot, and a question visits only the cells that can hold one
+    of its nearest documents, see :func:`~roomledger.functions.vectors.visited_cells`. A cell with many documents is cut into blocks,
     the questions that visit a cell into chunks, and one task handles one block and one chunk, so
     neither a crowded cell nor a popular one gathers in one task. Each pair of block and chunk
     gives only its k nearest per question; these meet once more per question.
@@ -92,11 +92,16 @@ def _by_cells(
     """
     ids = F.xxhash64(F.col("doc_id"))
     # A fixed number of reference vectors, spread by the hash of the key; a sample for pruning only.
-    chosen = documents.orderBy(ids, "doc_id").limit(max(pivots, k)).toArrow()
+    with_vector = documents.where(F.col("embedding").isNotNull())
+    chosen = with_vector.orderBy(ids, "doc_id").limit(max(pivots, k)).toArrow()
+    if not chosen.num_rows:
+        return _by_broadcast(questions, with_vector, k)
     centres = V.matrix(chosen["embedding"])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in map(V.present, batches):
+            if not batch.num_rows:
+                continue
             distances = np.sqrt(V.squared_distances(V.matrix(batch["embedding"]), centres))
             cell = distances.argmin(axis=1)
             radius = distances[np.arange(len(cell)), cell]
@@ -119,26 +124,10 @@ def _by_cells(
     radii[cells["cell"].to_numpy()] = cells["radius"].to_numpy()
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        between = np.sqrt(V.squared_distances(centres, centres))
-        slack = 1e-5
-        for batch in batches:
-            squares = V.squared_distances(V.matrix(batch["embedding"]), centres)
-            distances = np.sqrt(squares)
-            if len(centres) > k:
-                bound = np.partition(distances, k - 1, axis=1)[:, k - 1 : k]
-            else:
-                bound = np.full((len(distances), 1), np.inf)
-            home = distances.argmin(axis=1)
-            gap = between[home]
-            # No document of a cell is nearer than its sphere, nor than the plane halfway to the home pivot.
-            sphere = distances - radii
-            plane = np.divide(
-                squares - squares[np.arange(len(home)), home][:, None],
-                2.0 * gap,
-                out=np.zeros_like(squares),
-                where=gap > 1e-9,
-            )
-            visited = (np.maximum(sphere, plane) <= bound + slack) & (counts > 0)
+        for batch in map(V.present, batches):
+            if not batch.num_rows:
+                continue
+            visited = V.visited_cells(V.matrix(batch["embedding"]), centres, radii, counts, k)
             rows, cell = np.nonzero(visited)
             yield pa.RecordBatch.from_arrays(
                 [*batch.take(pa.array(rows)).columns, pa.array(cell.astype(np.int32))],
@@ -234,11 +223,16 @@ def per_question(questions: DataFrame, retrieved: DataFrame, documents: DataFram
     )
     graphs = documents.where(F.col("metadata").getItem("type") == "graph").select(
         F.col("doc_id").alias("graph_doc_id"),
+        F.lit(0).alias("graph_salt"),
         F.col("metadata").getItem("image_base64").alias("graph"),
         F.coalesce(F.col("metadata").getItem("description"), F.lit("")).alias("graph_description"),
     )
+    # Questions without a chart would all meet in one task of the second join; salt sends them apart.
+    salt = F.when(F.col("graph_doc_id").isNull(), F.pmod(F.xxhash64("question_id"), F.lit(10_000)) + 1).otherwise(0)
     return (
         questions.join(found, "question_id", "left")
-        .join(graphs, "graph_doc_id", "left")
+        .withColumn("graph_salt", salt.cast("int"))
+        .join(graphs, ["graph_doc_id", "graph_salt"], "left")
         .withColumn("has_relevant_info", F.coalesce("has_relevant_info", F.lit(False)))
+        .drop("graph_doc_id", "graph_salt")
     )

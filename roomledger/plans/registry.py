@@ -111,7 +111,7 @@ def all_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def embed_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Vectors of whole texts, each as its entries in millionths."""
-    vectors = T.embed(S.table(spark, folder, "documents").select("doc_id", "text"), "text")
+    vectors = T.embed(S.wide_table(spark, folder, "documents").select("doc_id", "text"), "text")
     entries = F.transform("embedding", lambda x: F.round(x.cast("double") * 1_000_000).cast("long").cast("string"))
     return vectors.select("doc_id", F.array_join(entries, ",").alias("vector"))
 
@@ -156,7 +156,7 @@ def answer_fallback(spark: SparkSession, folder: str) -> DataFrame:
     """Every assistant turn as raw answer: odd turns padded, every fourth turn blank."""
     raw = F.expr("case when turn % 4 = 3 then ' \n\t ' else concat('\n  ', text, ' \t') end")
     relevant = F.col("conv_id") % 5 != 0
-    return S.table(spark, folder, "conversations").select(
+    return S.wide_table(spark, folder, "conversations").select(
         "conv_id", "turn", A.with_fallback(raw, relevant).alias("answer")
     )
 
@@ -166,7 +166,7 @@ def format_answer(spark: SparkSession, folder: str) -> DataFrame:
         "concat(text, ' $ ', turn, '.5 and ', turn, ' % for $1,234.50 at City Hotel, Resort Hotels, "
         "Directly or Offline TA/TO')"
     )
-    return S.table(spark, folder, "conversations").select("conv_id", "turn", A.format_answer(raw).alias("answer"))
+    return S.wide_table(spark, folder, "conversations").select("conv_id", "turn", A.format_answer(raw).alias("answer"))
 
 
 def answer_graph_note(spark: SparkSession, folder: str) -> DataFrame:
@@ -175,7 +175,7 @@ def answer_graph_note(spark: SparkSession, folder: str) -> DataFrame:
         "when turn % 3 = 1 then concat(text, '!') else text end"
     )
     graph = F.expr("case when conv_id % 3 = 0 then role when conv_id % 3 = 1 then '' end")
-    return S.table(spark, folder, "conversations").select(
+    return S.wide_table(spark, folder, "conversations").select(
         "conv_id", "turn", A.with_graph_note(answer, graph).alias("answer")
     )
 

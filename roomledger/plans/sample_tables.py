@@ -8,14 +8,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roomledger.sources.splits import spread
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def wide_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table whose rows carry most of the work, spread over all cores."""
+    return spread(table(spark, folder, name))
+
+
 def bookings(spark: SparkSession, folder: str) -> DataFrame:
     """One booking per line item, and a copy of those with line number 1."""
-    items = table(spark, folder, "lineitem")
+    items = wide_table(spark, folder, "lineitem")
     orders = table(spark, folder, "orders")
     customers = table(spark, folder, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nations = table(spark, folder, "nation").select("n_nationkey", "n_name")
@@ -92,7 +99,7 @@ def questions(spark: SparkSession, folder: str) -> DataFrame:
 
 def chart_files(spark: SparkSession, folder: str) -> DataFrame:
     """One file per web page: the page's bytes under a chart name and, but for .html URLs, as PNG."""
-    return table(spark, folder, "pages").selectExpr(
+    return wide_table(spark, folder, "pages").selectExpr(
         """concat('charts/', page_id, '/', case page_id % 6
                when 0 then 'monthly_revenue' when 1 then 'cancellation_by_hotel' when 2 then 'top_countries'
                when 3 then 'lead_time_distribution' when 4 then 'adr_by_customer'

@@ -1,0 +1,83 @@
+from __future__ import annotations
+
+import hashlib
+import math
+import re
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from roomledger import schema
+from roomledger.functions import columns as X
+from roomledger.functions.vectors import hashed_words
+from roomledger.operators import documents as T
+from roomledger.operators import insights as I
+
+
+def test_two_decimals_round_like_printf(spark):
+    values = [2.675, 0.125, 0.375, 1.005, 112.875, -0.05, -0.001, 0.0, 1e17, 123456789.995, -1.5, 1234.5]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r[0] for r in df.select(X.two_decimals(F.col("v"))).collect()] == [f"{v:.2f}" for v in values]
+    odd = spark.createDataFrame([(None,), (math.nan,), (math.inf,), (-math.inf,)], "v double")
+    assert [r[0] for r in odd.select(X.two_decimals(F.col("v"))).collect()] == ["nan", "nan", "inf", "-inf"]
+
+
+def test_texts_of_insights(spark, clean):
+    documents = {r.doc_id: r for r in T.insight_documents(I.insights_long(clean)).collect()}
+    texts = {d.page_content for d in documents.values()}
+    assert len(documents) == len(texts) == 49  # 5+2+3+3+1+2+3+4+3+8+8+3+4 values
+    for line in (
+        "revenue_by_hotel - City Hotel: $181.44",
+        "overall_cancellation_rate: 42.86%",
+        "cancellation_by_hotel - City Hotel: 0.50",
+        "top_countries - GBR: 3.00",
+        "booking_channel_percentage - Direct: 33.33%",
+        "monthly_revenue - 2017-07-31 00:00:00: 765.75",
+        "revenue_by_segment - Groups: $112.88",
+        "lead_time_stats - 25%: 25.00",
+        "adr_by_customer_type - Contract: 120.50",
+    ):
+        assert line in texts
+    assert documents["insight/top_countries/GBR"].metadata == {"category": "top_countries", "subkey": "GBR"}
+    assert documents["insight/overall_cancellation_rate"].metadata == {"category": "overall_cancellation_rate"}
+
+
+def test_single_and_missing_values(spark):
+    rows = [("total_revenue", None, 5.0), ("a_rate", None, None), ("plain", None, 1.0), ("growth_rate", "x", 2.0),
+            ("revenue_by_room", "A", None), ("revenue_rate", None, 1.0)]
+    lines = [r.page_content for r in T.insight_documents(spark.createDataFrame(rows, schema.INSIGHTS)).collect()]
+    assert lines == ["total_revenue: $5.00", "a_rate: nan%", "plain: 1.00", "growth_rate - x: 2.00%",
+                     "revenue_by_room - A: $nan", "revenue_rate: $1.00"]
+
+
+def test_description_documents(spark):
+    rows = T.description_documents(spark).collect()
+    assert {(r.metadata["category"], r.page_content) for r in rows} == set(schema.DESCRIPTIONS)
+
+
+def words_vector(text, dimension):
+    vector = np.zeros(dimension)
+    for word in re.findall(r"[^\W_]+", text.lower()):
+        vector[int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dimension] += 1
+    length = np.linalg.norm(vector)
+    return (vector / length if length else vector).astype(np.float32)
+
+
+@pytest.mark.parametrize("dimension", [16, 256])
+def test_word_vectors(spark, dimension):
+    texts = ["City Hotel: $181.44", "", None, "été à Zürich, ÉTÉ!", "a_b a-b a b", "x " * 5000, "..."]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    vectors = {r.i: r.embedding for r in T.embed(df, "t", hashed_words(dimension)).collect()}
+    for i, text in enumerate(texts):
+        assert np.allclose(vectors[i], words_vector(text or "", dimension), atol=0), text
+
+
+def test_own_embedder(spark):
+    @F.pandas_udf("array<float>")
+    def lengths(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: [float(len(t)), 1.0])
+
+    df = spark.createDataFrame([("ab",), ("abcd",)], "t string")
+    assert [r.v for r in T.embed(df, "t", lengths, "v").collect()] == [[2.0, 1.0], [4.0, 1.0]]
