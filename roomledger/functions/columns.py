@@ -29,17 +29,20 @@ def bin_label(
 
 
 def calendar_date(year: Column, month_name: Column, day: Column) -> Column:
-    """Date from year, English month name and day of month; NULL if there is no such day."""
-    text = F.concat(year.cast("string"), F.lit("-"), month_name, F.lit("-"), day.cast("string"))
-    return F.try_to_date(text, "yyyy-MMMM-d")
+    """Date from year, English month name and day of month; NULL if there is no such day.
+
+    Built from numbers: parsing text costs several times as much per row. Years have four digits.
+    """
+    month = F.nullif(F.array_position(F.lit(list(schema.MONTH_NAMES)), F.lower(month_name)), F.lit(0)).cast("int")
+    first = F.when(year.between(1000, 9999), F.make_date(year, month, F.lit(1)))
+    return F.when(day.between(1, F.day(F.last_day(first))), F.date_add(first, day - 1))
 
 
 def strict_date(text: Column) -> Column:
-    """Date from ``yyyy-MM-dd`` text; a text that is no date stops the job in any ANSI setting."""
+    """Date from text; a text that is no date stops the job in any ANSI setting."""
     text = text.cast("string")
-    parsed = F.try_to_date(text, "yyyy-MM-dd")
     message = F.concat(F.lit("not a yyyy-MM-dd date: "), text)
-    return F.when(text.isNotNull() & parsed.isNull(), F.raise_error(message)).otherwise(parsed)
+    return F.coalesce(text.try_cast("date"), F.when(text.isNotNull(), F.raise_error(message).cast("date")))
 
 
 def two_decimals(value: Column) -> Column:

@@ -84,6 +84,21 @@ NA_TOKENS = (
 LEAD_TIME_EDGES = (0, 30, 90, 180)
 LEAD_TIME_LABELS = ("Short", "Medium", "Long", "Very Long")
 
+MONTH_NAMES = (
+    "january",
+    "february",
+    "march",
+    "april",
+    "may",
+    "june",
+    "july",
+    "august",
+    "september",
+    "october",
+    "november",
+    "december",
+)
+
 HISTOGRAM_BINS = 20
 TOP_COUNTRIES = 10
 NEIGHBOURS = 5
