@@ -354,6 +354,18 @@ _SELECTS = {
         group by bin, low, high""",
         "clean",
     ),
+    "chart_series": (
+        """select case category when 'adr_by_customer_type' then 'adr_by_customer' else category end as chart,
+               subkey as label, round(value, 6) as value
+        from insights
+        where category in ('monthly_revenue', 'cancellation_by_hotel', 'top_countries', 'adr_by_customer_type')
+        union all
+        select 'lead_time_distribution', bin::varchar, count(lead_time)::double
+        from range(20) t(bin) cross join (select min(lead_time)::bigint as low, max(lead_time)::bigint as high from clean)
+        left join clean on least((lead_time - low) * 20 // (high - low), 19) = bin
+        group by bin""",
+        "insights",
+    ),
     "insight_documents": ("select * from insight_texts", "insight_texts"),
     "graph_documents": (
         "select doc_id, page_content, type, graph_name, description, image from documents_all where type = 'graph'",

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roomledger.operators import answers as A
+from roomledger.operators import charts as H
 from roomledger.operators import cleaning as C
 from roomledger.operators import documents as T
 from roomledger.operators import evaluation as E
@@ -84,6 +85,11 @@ def insights_json(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(stores.load_insights(spark, path), "value")
 
 
+def chart_series(spark: SparkSession, folder: str) -> DataFrame:
+    rollup = materialize(I.booking_rollup(clean_bookings(spark, folder)))
+    return _rounded(H.chart_series(rollup), "value")
+
+
 def _flat(documents: DataFrame) -> DataFrame:
     keys = {"category": "category", "subkey": "subkey", "type": "type", "graph_name": "graph_name",
             "description": "description", "image_base64": "image"}
@@ -245,6 +251,7 @@ QUERIES: dict[str, Query] = {
     "insights_long": insights_long,
     "insights_json": insights_json,
     "lead_time_histogram": _on_clean(lambda df: _rounded(I.lead_time_histogram(df), "bin_start", "bin_end")),
+    "chart_series": chart_series,
     "insight_documents": insight_documents,
     "graph_documents": graph_documents,
     "documents_all": lambda spark, folder: _flat(all_documents(spark, folder)),

@@ -77,6 +77,18 @@ def test_bin_edges(spark):
     assert pairs(own, "d", "b")[0] == "low" and pairs(own, "d", "b")[31] == "high"
 
 
+def test_calendar_dates(spark):
+    rows = [
+        (2017, "July", 31, "2017-07-31"), (2017, "july", 3, "2017-07-03"), (2016, "February", 29, "2016-02-29"),
+        (2015, "February", 29, None), (2017, "April", 31, None), (2017, "Jul", 1, None), (2017, "May", 0, None),
+        (2017, "May", -1, None), (None, "May", 1, None), (2017, None, 1, None), (2017, "May", None, None),
+        (99999, "May", 1, None), (17, "May", 1, None), (2017, "December", 31, "2017-12-31"),
+    ]
+    df = spark.createDataFrame(rows, "y int, m string, d int, expected string")
+    found = df.select("expected", X.calendar_date(F.col("y"), F.col("m"), F.col("d")).cast("string")).collect()
+    assert all(expected == date for expected, date in found)
+
+
 @pytest.mark.parametrize("ansi", ["true", "false"])
 def test_a_bad_status_date_stops_the_job(spark, booking, ansi):
     before = spark.conf.get("spark.sql.ansi.enabled")
