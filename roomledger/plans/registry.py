@@ -81,7 +81,7 @@ def insights_long(spark: SparkSession, folder: str) -> DataFrame:
 
 def insights_json(spark: SparkSession, folder: str) -> DataFrame:
     """Insights written as JSON and read back."""
-    path = stores.save_insights(insights(spark, folder), scratch_path(spark, "insights-json"))
+    path = stores.save_insights(materialize(insights(spark, folder)), scratch_path(spark, "insights-json"))
     return _rounded(stores.load_insights(spark, path), "value")
 
 

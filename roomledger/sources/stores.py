@@ -5,26 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+VALUES_PER_LINE = 10_000
+
 _VALUES = "map<string,double>"
 _LINES = f"category string, value double, values {_VALUES}"
 
 
-def insights_as_json(insights: DataFrame) -> DataFrame:
-    """One JSON object per category: a number, or an object of numbers; a missing value is ``null``."""
+def insights_as_json(insights: DataFrame, values_per_line: int = VALUES_PER_LINE) -> DataFrame:
+    """One JSON object per category: a number, or an object of numbers; a missing value is ``null``.
+
+    A category with very many values is spread over several objects of the same name, so that no
+    task gathers more than about ``values_per_line`` of them. Reads ``insights`` twice.
+    """
     value = F.nanvl("value", F.lit(None).cast("double"))
+    parts = insights.groupBy("category").agg(F.ceil(F.count(F.lit(1)) / F.lit(values_per_line)).alias("parts"))
+    part = F.pmod(F.xxhash64("subkey"), F.col("parts"))
+    entry = F.when(F.col("subkey").isNotNull(), F.struct("subkey", value.alias("value")))
     nested = (
-        insights.groupBy("category")
+        insights.join(parts, "category")
+        .groupBy("category", part.alias("part"))
         .agg(
             F.max(F.when(F.col("subkey").isNull(), value)).alias("value"),
-            F.map_from_entries(
-                F.sort_array(F.collect_list(F.when(F.col("subkey").isNotNull(), F.struct("subkey", value.alias("value")))))
-            ).alias("values"),
+            F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("values"),
         )
     )
-    grouped = F.size("values") > 0
-    line = F.when(
-        grouped, F.to_json(F.struct("category", "values"), {"ignoreNullFields": "false"})
-    ).otherwise(F.to_json(F.struct("category", "value"), {"ignoreNullFields": "false"}))
+    shown = {"ignoreNullFields": "false"}
+    line = F.when(F.size("values") > 0, F.to_json(F.struct("category", "values"), shown)).otherwise(
+        F.to_json(F.struct("category", "value"), shown)
+    )
     return nested.select("category", line.alias("json"))
 
 

@@ -59,6 +59,15 @@ def test_insights_json(spark, clean, tmp_path):
     assert sorted(map(tuple, back.collect()), key=repr) == sorted(map(tuple, rows.collect()), key=repr)
 
 
+def test_a_category_with_many_values(spark, tmp_path):
+    many = spark.range(5000).selectExpr("'wide' as category", "concat('k', id) as subkey", "cast(id as double) as value")
+    lines = stores.insights_as_json(many, values_per_line=500).collect()
+    sizes = [len(json.loads(r.json)["values"]) for r in lines]
+    assert sum(sizes) == 5000 and max(sizes) < 700
+    stores.save_insights(many, str(tmp_path / "wide"))
+    assert stores.load_insights(spark, str(tmp_path / "wide")).exceptAll(many).count() == 0
+
+
 def test_charts_of_a_folder(spark, tmp_path):
     images = {"monthly_revenue.png": b"\x89PNG-1", "my_own.chart.png": b"\x00" * 200, "notes.txt": b"no"}
     for name, content in images.items():
