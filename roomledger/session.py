@@ -18,6 +18,8 @@ def local_session(cpus: int | str = "*", memory: str = "16g", name: str = "rooml
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        # Recording the calling line of every column expression costs most of the planning time.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
