@@ -182,7 +182,9 @@ def index(rows: DataFrame, tree_size: int = TREE) -> DataFrame:
     """The trees of ``vec_id``, ``v``: one row a tree. All vectors must have the same number of components."""
     picked = rows.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(PIVOTS)).alias("place")).agg(F.min_by("v", "vec_id").alias("v"))
     pivots = [r.v for r in picked.orderBy("place").collect()]
-    sent = rows.sparkSession.sparkContext.broadcast(np.array(pivots, dtype=np.float64).reshape(len(pivots), -1))
+    if not pivots:
+        return rows.sparkSession.createDataFrame([], PAGE)
+    sent = rows.sparkSession.sparkContext.broadcast(np.array(pivots, dtype=np.float64))
 
     @F.pandas_udf("int")
     def nearest(vectors: pd.Series) -> pd.Series:
@@ -207,8 +209,6 @@ def index(rows: DataFrame, tree_size: int = TREE) -> DataFrame:
         if n:
             yield made(*(np.concatenate(x) for x in zip(*held)))
 
-    if not pivots:
-        return rows.sparkSession.createDataFrame([], PAGE)
     # a range of (pivot, hash): a pivot with many vectors, or many equal vectors, spreads over several tasks
     near = rows.select("vec_id", "v", nearest("v").alias("pivot"))
     dealt = near.repartitionByRange("pivot", F.xxhash64("vec_id")).sortWithinPartitions("pivot", "vec_id")

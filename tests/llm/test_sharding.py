@@ -1,0 +1,43 @@
+from __future__ import annotations
+
+import numpy as np
+import pytest
+
+from roomledger.llm import sharding
+
+NAMES = [f"s{i}" for i in range(7)]
+
+
+def test_shares_differ_by_one_slot_at_most():
+    for size in (7, 101, 1009):
+        counts = np.bincount(sharding.lookup_table(NAMES, size), minlength=len(NAMES))
+        assert counts.sum() == size and counts.max() - counts.min() <= 1
+
+
+def test_the_order_of_names_does_not_matter():
+    one, other = sharding.lookup_table(NAMES, 1009), sharding.lookup_table(NAMES[::-1], 1009)
+    assert [NAMES[i] for i in one] == [NAMES[::-1][i] for i in other]
+
+
+def test_removing_a_shard_moves_little_else():
+    before, after = sharding.lookup_table(NAMES, 10007), sharding.lookup_table(NAMES[:-1], 10007)
+    kept = before < 6
+    assert (before[kept] != after[kept]).mean() < 0.1
+
+
+@pytest.mark.parametrize("shards,size", [([], 7), (["a", "a"], 7), (["a", "b"], 8), (["a", "b", "c"], 2)])
+def test_bad_tables_are_refused(shards, size):
+    with pytest.raises(ValueError):
+        sharding.lookup_table(shards, size)
+
+
+def test_placement_against_brute_force(spark):
+    rows = spark.createDataFrame([(i % 50, "x", i) for i in range(300)] + [(None, None, -1)] * 2, "doc_id long, shard string, n int")
+    placed = sharding.place(rows, "doc_id", NAMES, 101).collect()
+    assert len(placed) == 302 and [f for f in placed[0].asDict()] == ["doc_id", "n", "slot", "shard"]
+    table = sharding.lookup_table(NAMES, 101)
+    assert all(r.shard == NAMES[table[r.slot]] and 0 <= r.slot < 101 for r in placed)
+    assert len({(r.doc_id, r.slot) for r in placed}) == 51
+    assert sharding.place(rows.where("false"), "doc_id", NAMES, 101).count() == 0
+    text = sharding.place(rows, "doc_id", NAMES)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text and "hashpartitioning" not in text
