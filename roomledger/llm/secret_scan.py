@@ -52,13 +52,14 @@ def candidates(documents: DataFrame) -> DataFrame:
     word, last = F.get("words", F.col("at")), F.coalesce(F.get("words", F.col("at") - 1), F.lit(""))
     long_run = (F.length(word) >= 16) & word.rlike(r"[0-9]") & word.rlike(r"[A-Za-z0-9+/_\-]{16}")
     follows = (F.length(word) >= 8) & last.rlike(r"[=:]>?$") & word.rlike(r"[0-9]")
-    assigns = (F.length(word) >= 14) & word.rlike(CREDENTIAL[:4] + r"[a-z_\-]*" + CREDENTIAL[4:] + r"""[a-z_\-]*["']?[=:]+["']?\S{8}""")
+    # no pattern here looks again and again at the rest of a very long word
+    assigns = (F.length(word) >= 14) & word.rlike(CREDENTIAL + r"""[a-z_\-]{0,40}["']?[=:]{1,3}["']?\S{8}""")
     found = each.where(long_run | follows | assigns).select(
         "doc_id", "at", word.alias("word"), F.concat_ws(" ", F.get("words", F.col("at") - 2), last).alias("before"), F.coalesce(F.get("words", F.col("at") + 1), F.lit("")).alias("after")
     )
     bare = F.regexp_replace("word", r"""^["'`(\[{<]*[A-Za-z_.\-]+["']?[=:]+>?""", "")
     value = F.regexp_extract(bare, r"[A-Za-z0-9+/_.@:%\-]{8,}={0,2}", 0)
-    return found.withColumn("value", F.regexp_replace(value, r"[.:%\-]+$", "")).where("value <> ''")
+    return found.withColumn("value", F.rtrim(value, F.lit(".:%-"))).where("value <> ''")
 
 
 def dictionary(documents: DataFrame, found: DataFrame) -> DataFrame:
