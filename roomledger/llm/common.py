@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,3 +28,23 @@ def sent_if_small(side: DataFrame, rows: int) -> DataFrame:
 def plain_words(text: Column) -> Column:
     """Words in lower case without punctuation; none for NULL."""
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), WORD_BREAK), "")
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session, so that Python workers can import it there.
+
+    The archive is put together in a folder of the driver; Spark hands it to the executors.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="roomledger-")) / "roomledger.zip"
+    with zipfile.ZipFile(archive, "w") as packed:
+        for file in sorted(root.rglob("*.py")):
+            packed.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
+
+
+_SHIPPED: set[str] = set()

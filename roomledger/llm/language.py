@@ -3,7 +3,7 @@
 Texts become vectors of hashed letter n-grams (1 to 3 letters, lower case, word boundaries marked), weighted
 by ``log(1 + tf) * idf`` and normalised. Each language gets up to ``CENTROIDS`` centroids by spherical k-means.
 A text takes the language of the centroid with the largest cosine. A text farther from its centroid than
-anything the centroid was made from (with a margin) is rejected.
+any text the language was learned from (with a margin) is rejected.
 
 Document frequencies are counted over all training rows. Centroids are fitted on a bounded sample: at most
 ``SAMPLE`` distinct texts a language, one from each of so many hash ranges.
@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roomledger.llm.common import ship
 from roomledger.session import materialize
 
 DIMENSIONS = 4096
@@ -29,7 +30,9 @@ CENTROIDS = 4
 SAMPLE = 512
 #: Languages that one model may have; more is an error, as the centroids are sent to all executors.
 MOST_LANGUAGES = 1000
-#: A text is rejected if its cosine is under this share of the lowest among the sample texts of its centroid.
+#: Clusters with a smaller share of a language's sample give no centroid.
+LEAST_SHARE = 0.05
+#: A text is rejected if its cosine is under this share of the lowest among the sample texts of its language.
 MARGIN = 0.5
 #: Letters that are turned into n-grams at once, which bounds memory for very long texts.
 BLOCK = 1 << 20
@@ -93,23 +96,25 @@ class Model:
 
 
 def _clusters(vectors: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means from far-apart starts; returns centroids and each row's centroid."""
-    starts = [0]
-    while len(starts) < min(k, len(vectors)):
-        nearest = (vectors @ vectors[starts].T).max(axis=1)
-        starts.append(int(nearest.argmin()))
-    centroids = vectors[starts].copy()
+    """Spherical k-means from the first rows (their order is random); returns centroids and each row's cosine.
+
+    Clusters with under ``LEAST_SHARE`` of the rows are dropped: they are mostly texts with a wrong label.
+    """
+    centroids = vectors[:k].copy()
     for _ in range(rounds):
         own = (vectors @ centroids.T).argmax(axis=1)
         for c in range(len(centroids)):
             if (own == c).any():
                 mean = vectors[own == c].sum(axis=0)
                 centroids[c] = mean / max(np.sqrt((mean * mean).sum()), 1e-12)
-    return centroids, (vectors @ centroids.T).argmax(axis=1)
+    sizes = np.bincount((vectors @ centroids.T).argmax(axis=1), minlength=len(centroids))
+    centroids = centroids[sizes >= min(LEAST_SHARE * len(vectors), sizes.max())]
+    return centroids, (vectors @ centroids.T).max(axis=1)
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
     """``labelled``: ``text``, ``lang``. Rows with NULL in either, or without a letter, teach nothing."""
+    ship(labelled.sparkSession)
     rows = labelled.select(F.col("text").cast("string"), F.col("lang").cast("string")).where(r"lang is not null and text rlike '\\p{L}'")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,10 +143,9 @@ def train(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS)
     def cluster(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("h")
         vectors = np.stack([_weighted(counts(t), idf) for t in frame["text"]])
-        found, own = _clusters(vectors, centroids)
-        cosine = (vectors * found[own]).sum(axis=1)
-        used = [c for c in range(len(found)) if (own == c).any()]
-        return pd.DataFrame({"lang": frame["lang"].iloc[0], "part": used, "centroid": [found[c].tolist() for c in used], "lowest": [float(cosine[own == c].min()) for c in used]})
+        found, cosine = _clusters(vectors, centroids)
+        lowest = float(cosine.min())
+        return pd.DataFrame({"lang": frame["lang"].iloc[0], "part": range(len(found)), "centroid": [c.tolist() for c in found], "lowest": lowest})
 
     fitted = texts.groupBy("lang").applyInPandas(cluster, "lang string, part int, centroid array<float>, lowest double")
     fitted = sorted(fitted.collect(), key=lambda r: (r.lang, r.part))
@@ -159,6 +163,7 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
 
     NULL texts and texts without a letter are ``und``, score 0, rejected; so is all if nothing was learned.
     """
+    ship(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roomledger.llm.common import ship
+
 MARK = "▁"
 #: Fixed values of the model file's format: types of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -230,6 +232,7 @@ def tokenized(documents: DataFrame, model: bytes) -> DataFrame:
     """
     names = {"ids", "n_ids", "exact"}
     kept = [F.col(f"`{c}`") for c in documents.columns if c.lower() not in names]
+    ship(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(model)
     returned = pa.struct([("ids", pa.list_(pa.int32())), ("n_ids", pa.int32()), ("exact", pa.bool_())])
 
@@ -255,6 +258,7 @@ def tokenized(documents: DataFrame, model: bytes) -> DataFrame:
 def detokenized(rows: DataFrame, model: bytes) -> DataFrame:
     """Every row with ``text`` decoded from ``ids`` (NULL stays NULL; an id outside the vocabulary is an error)."""
     kept = [F.col(f"`{c}`") for c in rows.columns if c.lower() != "text"]
+    ship(rows.sparkSession)
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("string")

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roomledger.llm import bitplanes
+from roomledger.llm.common import ship
 from roomledger.llm.links import components
 from roomledger.session import materialize
 
@@ -71,6 +72,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprints(documents: DataFrame) -> DataFrame:
     """``doc_id``, ``fp`` (the 64 bits as a signed long) of every row."""
+    ship(documents.sparkSession)
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_hashed, "doc_id long, fp long")
 
 
@@ -153,6 +155,8 @@ def bucket_links(keys: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.
 def links(prints: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
     """``a``, ``b``: links that join all fingerprints within the radius; ``prints``: distinct ``fp``."""
 
+    ship(prints.sparkSession)
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(keys, values):
             a, b = bucket_links(keys, values, radius)

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from roomledger.llm.common import ship
 from roomledger.session import materialize
 
 #: Vectors in a tree, in a leaf, and routing nodes under one parent.
@@ -180,6 +181,7 @@ def _tree_row(tree: dict) -> dict:
 
 def index(rows: DataFrame, tree_size: int = TREE) -> DataFrame:
     """The trees of ``vec_id``, ``v``: one row a tree. All vectors must have the same number of components."""
+    ship(rows.sparkSession)
     picked = rows.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(PIVOTS)).alias("place")).agg(F.min_by("v", "vec_id").alias("v"))
     pivots = [r.v for r in picked.orderBy("place").collect()]
     if not pivots:
@@ -226,6 +228,7 @@ def search(trees: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOC
     Equal scores: the smaller ``vec_id`` first. Fewer than k vectors: all. Vectors with the same id count as
     they are there. The trees are read once for each ``block`` queries (about; queries are dealt by hash).
     """
+    ship(trees.sparkSession)
     queries = materialize(queries.select("vec_id", "v"))
     blocks = max(1, -(-queries.count() // block))
     spark = trees.sparkSession

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roomledger.llm.common import ship
 from roomledger.session import materialize
 
 MOST_LABELLED = 20_000
@@ -102,6 +103,7 @@ def sampled(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
     A document with several grades has the highest, and so have equal texts.
     """
+    ship(documents.sparkSession)
     graded = labels.where("doc_id is not null and grade is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("grade").cast("int").alias("grade"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(MOST_LABELLED // 2))
     chosen = graded.groupBy((F.col("grade") > 0).alias("any"), place.alias("place")).agg(F.min(F.struct(F.xxhash64("doc_id"), "doc_id", "grade")).alias("one"))
@@ -167,6 +169,7 @@ def rated(documents: DataFrame, model: Model) -> DataFrame:
 
     NULL and empty texts are rated by the thresholds alone. If nothing was learned, all is 0 and not toxic.
     """
+    ship(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("severity double, grade int, toxic boolean")
