@@ -16,6 +16,14 @@ def exact_mean(total: Column, n: Column) -> Column:
     return F.try_divide(total.cast("double"), n.cast("double"))
 
 
+def whole_number(value: Column, name: str) -> Column:
+    """A 32-bit integer; a value that is none stops the job instead of being cut."""
+    number = value.try_cast("int")
+    message = F.concat(F.lit(f"{name} holds a value that is no 32-bit whole number: "), value.cast("string"))
+    exact = number.cast("double") == value.cast("double")
+    return F.when(value.isNull() | exact, number).otherwise(F.raise_error(message).cast("int"))
+
+
 def bin_label(
     value: Column,
     edges: Sequence[float] = schema.LEAD_TIME_EDGES,
@@ -31,18 +39,21 @@ def bin_label(
 def calendar_date(year: Column, month_name: Column, day: Column) -> Column:
     """Date from year, English month name and day of month; NULL if there is no such day.
 
-    Built from numbers: parsing text costs several times as much per row. Years have four digits.
+    Built from numbers: parsing text costs several times as much per row. Years outside
+    ``schema.YEARS`` have no such day.
     """
     month = F.nullif(F.array_position(F.lit(list(schema.MONTH_NAMES)), F.lower(month_name)), F.lit(0)).cast("int")
-    first = F.when(year.between(1000, 9999), F.make_date(year, month, F.lit(1)))
+    first = F.when(year.between(*schema.YEARS), F.make_date(year, month, F.lit(1)))
     return F.when(day.between(1, F.day(F.last_day(first))), F.date_add(first, day - 1))
 
 
-def strict_date(text: Column) -> Column:
-    """Date from text; a text that is no date stops the job in any ANSI setting."""
+def strict_date(text: Column, form: str = schema.DATE_FORMAT) -> Column:
+    """Date from text of exactly the given format; anything else stops the job in any ANSI setting."""
     text = text.cast("string")
-    message = F.concat(F.lit("not a yyyy-MM-dd date: "), text)
-    return F.coalesce(text.try_cast("date"), F.when(text.isNotNull(), F.raise_error(message).cast("date")))
+    message = F.concat(F.lit(f"not a {form} date: "), text)
+    parsed = F.try_to_timestamp(text, F.lit(form)).cast("date")
+    whole = F.date_format(parsed, form) == text
+    return F.when(whole, parsed).otherwise(F.when(text.isNotNull(), F.raise_error(message).cast("date")))
 
 
 def two_decimals(value: Column) -> Column:
@@ -66,8 +77,9 @@ def base64_text(content: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Remove white space of any kind from both ends."""
-    return F.regexp_replace(F.regexp_replace(text, r"^\s+", ""), r"\s+$", "")
+    """Remove white space of any kind, as Unicode defines it, from both ends."""
+    space = schema.WHITE_SPACE
+    return F.regexp_replace(F.regexp_replace(text, f"^{space}+", ""), f"{space}+$", "")
 
 
 def insight_value_text(category: Column, subkey: Column, value: Column) -> Column:
@@ -86,8 +98,8 @@ def insight_value_text(category: Column, subkey: Column, value: Column) -> Colum
 
 def bold_amounts(text: Column) -> Column:
     """Set percentages in bold, then dollar amounts (up to the first thousands comma)."""
-    percentages = F.regexp_replace(text, r"(\d+(\.\d+)?)\s*%", r"**$1%**")
-    return F.regexp_replace(percentages, r"\$\s*(\d+(\.\d+)?)", r"**\$$1**")
+    percentages = F.regexp_replace(text, schema.PERCENTAGE_PATTERN, r"**$1%**")
+    return F.regexp_replace(percentages, schema.DOLLAR_PATTERN, r"**\$$1**")
 
 
 def bold_names(text: Column, names: Sequence[str]) -> Column:

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 # Tasks get these functions by value, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-DISTANCE_DECIMALS = 6
 CELLS_AT_ONCE = 1 << 22
 DEFAULT_DIMENSION = 256
 
@@ -39,39 +38,50 @@ def present(batch):
     return batch.filter(batch["embedding"].is_valid())
 
 
-def squared_distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Squared L2 distance of every row of one matrix to every row of the other.
+def _squares(vectors: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", vectors, vectors)
 
-    The product form is exact to far below the six kept decimals for vectors of moderate length;
-    for long ones the difference form is used.
+
+def rough_distances(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared L2 distances by the product form, and how far off those of a left row can be (one column)."""
+    left_sq, right_sq = _squares(left)[:, None], _squares(right)[None, :]
+    margin = 8.0 * (left.shape[1] + 4) * np.finfo(np.float64).eps * (left_sq + right_sq.max(initial=0.0))
+    return left_sq + right_sq - 2.0 * (left @ right.T), margin
+
+
+def exact_distances(left: np.ndarray, right: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Squared L2 distances of some pairs by the difference form, added up in the order of the components.
+
+    A pair's value depends on nothing else, and any engine that adds in this order gets the same double.
     """
-    left_sq, right_sq = np.einsum("ij,ij->i", left, left), np.einsum("ij,ij->i", right, right)
-    largest = max(left_sq.max(initial=0.0), right_sq.max(initial=0.0))
-    if largest * left.shape[1] * np.finfo(np.float64).eps < 1e-3 * 10.0**-DISTANCE_DECIMALS:
-        return np.maximum(left_sq[:, None] + right_sq[None, :] - 2.0 * (left @ right.T), 0.0)
-    out = np.empty((len(left), len(right)))
-    for i, row in enumerate(left):
-        out[i] = ((right - row) ** 2).sum(axis=1)
+    out = np.empty(len(rows))
+    step = max(1, CELLS_AT_ONCE // max(1, left.shape[1]))
+    for start in range(0, len(rows), step):
+        part = slice(start, start + step)
+        squares = (left[rows[part]] - right[cols[part]]) ** 2
+        out[part] = np.add.accumulate(squares, axis=1)[:, -1] if squares.shape[1] else 0.0
     return out
 
 
 def nearest(left: np.ndarray, right: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k nearest right rows of each left row: left index, right index, rounded distance.
+    """The k nearest right rows of each left row: left index, right index, squared distance.
 
-    Equal distances (to six decimals) go to the lower right index. Work is cut into slices of left
-    rows so that one slice of distances stays small.
+    The product form only chooses candidates, with room for its error; they are ordered by their exact
+    distance, and equal ones by the right index. Work is cut into slices of left rows so that one slice
+    of distances stays small.
     """
     k = min(k, len(right))
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     step = max(1, CELLS_AT_ONCE // max(1, len(right)))
     for start in range(0, len(left) if k else 0, step):
-        distances = np.round(squared_distances(left[start : start + step], right), DISTANCE_DECIMALS)
-        kth = np.partition(distances, k - 1, axis=1)[:, k - 1 : k]
-        rows, cols = np.nonzero(distances <= kth)
-        values = distances[rows, cols]
+        part = left[start : start + step]
+        rough, margin = rough_distances(part, right)
+        kth = np.partition(rough, k - 1, axis=1)[:, k - 1 : k]
+        rows, cols = np.nonzero(rough <= kth + 2.0 * margin)
+        values = exact_distances(part, right, rows, cols)
         order = np.lexsort((cols, values, rows))
         rows, cols, values = rows[order], cols[order], values[order]
-        first = np.searchsorted(rows, np.arange(len(distances)))
+        first = np.searchsorted(rows, np.arange(len(part)))
         keep = np.arange(len(rows)) - first[rows] < k
         found.append((rows[keep] + start, cols[keep], values[keep]))
     if not found:
@@ -88,19 +98,22 @@ def visited_cells(
     cell is nearer than the cell's sphere allows, nor than the plane halfway between the cell's
     centre and the centre nearest to the question.
     """
-    squares = squared_distances(questions, centres)
-    distances, between = np.sqrt(squares), np.sqrt(squared_distances(centres, centres))
+    squares, margin = rough_distances(questions, centres)
+    squares = np.maximum(squares, 0.0)
+    distances, between = np.sqrt(squares), np.sqrt(np.maximum(rough_distances(centres, centres)[0], 0.0))
     home = squares.argmin(axis=1)
     if len(centres) > k:
         bound = np.partition(distances, k - 1, axis=1)[:, k - 1 : k]
     else:
         bound = np.full((len(questions), 1), np.inf)
+    # A squared distance is off by the margin at most, so a distance by its root; radii have their own share.
+    longest = max(_squares(centres).max(initial=0.0), _squares(questions).max(initial=0.0))
+    slack = 4.0 * np.sqrt(margin + 8.0 * (questions.shape[1] + 4) * np.finfo(np.float64).eps * (longest + radii.max(initial=0.0) ** 2))
     sphere = distances - radii
-    beyond = squares - squares[np.arange(len(home)), home][:, None]
-    gap = 2.0 * between[home]
-    plane = np.divide(beyond, gap, out=np.zeros_like(beyond), where=gap > 1e-9)
-    slack = 1e-5 * (1.0 + np.abs(distances))
-    return (np.maximum(sphere, plane) <= bound + slack) & (counts > 0)
+    beyond = squares - squares[np.arange(len(home)), home][:, None] - 2.0 * margin
+    gap = 2.0 * (between[home] + slack)
+    plane = np.where(beyond > 0.0, beyond / np.where(gap > 0.0, gap, np.inf), 0.0)
+    return (np.maximum(sphere, plane) <= bound + 2.0 * slack) & (counts > 0)
 
 
 def ranked(question_ids: pa.Array, doc_ids: pa.Array, found: tuple) -> dict[str, pa.Array]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from roomledger import schema
 from roomledger.functions import columns as X
+from roomledger.operators.evaluation import response_times
 
 
 def prompt(context: Column, question: Column, template: str = schema.PROMPT_TEMPLATE) -> Column:
@@ -56,3 +57,15 @@ def assemble(described: DataFrame) -> DataFrame:
     """
     answer = final_answer(F.col("raw_answer"), F.col("has_relevant_info"), F.col("graph"))
     return described.select("question_id", answer.alias("answer"), "graph", "graph_description")
+
+
+def timed(answered: DataFrame, log: DataFrame) -> DataFrame:
+    """Answers as they are returned: with the response time, in the text and as a column.
+
+    ``log`` has ``question_id, started_at, ended_at``, one row a question; an answer without one stays as it is.
+    """
+    times = response_times(log).select("question_id", "response_time")
+    shown = F.when(F.col("response_time").isNull(), F.col("answer")).otherwise(
+        with_response_time(F.col("answer"), F.col("response_time"))
+    )
+    return answered.join(times, "question_id", "left").withColumn("answer", shown)

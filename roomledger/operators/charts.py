@@ -18,13 +18,14 @@ SERIES = {
 HISTOGRAM = "lead_time_distribution"
 
 
-def chart_series(rollup: DataFrame) -> DataFrame:
+def chart_series(rollup: DataFrame, insights: DataFrame | None = None) -> DataFrame:
     """Long table ``chart, label, value`` of all five charts, from the materialized rollup.
 
-    Labels of the histogram are bin numbers; :func:`lead_time_bins` has the edges.
+    ``insights``: those of the rollup, where they are stored already. Labels of the histogram are bin numbers; :func:`lead_time_bins` has the edges.
     """
     names = F.create_map(*[F.lit(x) for chart, insight in SERIES.items() for x in (insight, chart)])
-    bars = I.insights_from_rollup(rollup).where(F.col("category").isin(*SERIES.values())).select(
+    insights = I.insights_from_rollup(rollup) if insights is None else insights
+    bars = insights.where(F.col("category").isin(*SERIES.values())).select(
         F.element_at(names, F.col("category")).alias("chart"), F.col("subkey").alias("label"), "value"
     )
     bins = lead_time_bins(rollup).select(

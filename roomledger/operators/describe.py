@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from roomledger import schema
-from roomledger.functions.columns import exact_mean
+from roomledger.functions.columns import exact_mean, whole_number
 from roomledger.session import literal_table, materialize
 
 BLOCK_VALUES = 65_536
@@ -22,10 +22,10 @@ QUARTILES = {"25%": 0.25, "50%": 0.5, "75%": 0.75}
 
 
 def value_counts(df: DataFrame, column: str, dimension: str | None = None) -> DataFrame:
-    """Frequency table of one column, NULLs left out."""
+    """Frequency table of one column of whole numbers, NULLs left out; a fraction stops the job."""
     return (
         df.where(F.col(column).isNotNull())
-        .groupBy(F.col(column).cast("int").alias("days"))
+        .groupBy(whole_number(F.col(column), column).alias("days"))
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.lit(dimension or column).alias("dimension"), "days", "n")
     )

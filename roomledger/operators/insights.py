@@ -175,7 +175,7 @@ def booking_rollup(df: DataFrame) -> DataFrame:
     return grouped.select(
         dimension.alias("dimension"),
         F.coalesce(*[F.col(k).cast("string") for k in keys]).alias("key"),
-        F.coalesce("lead_time", "total_stays").cast("int").alias("day"),
+        X.whole_number(F.coalesce("lead_time", "total_stays"), "lead_time or total_stays").alias("day"),
         *grouped.columns[len(keys) + 1 :],
     )
 

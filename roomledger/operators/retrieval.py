@@ -12,45 +12,96 @@ from pyspark.sql.window import Window
 
 from roomledger import schema
 from roomledger.functions import vectors as V
+from roomledger.session import materialize
+from roomledger.sources import stores
 
-# Documents up to this size (vectors as doubles, plus keys) are sent to every executor.
+# A side up to this size (vectors as doubles, plus keys) is sent to every executor.
 BROADCAST_BYTES = 64 << 20
-# Beyond it: number of reference vectors, and the sizes of the blocks that meet in one task.
+# By cells: number of reference vectors, and the sizes of the blocks that meet in one task.
 PIVOTS = 64
 BLOCK_DOCUMENTS = 8_192
 BLOCK_QUESTIONS = 8_192
+# Rows of one key that meet in a task, and the most keys with more that are sent to every executor.
+HOT_ROWS = 10_000
+MOST_BROADCAST_KEYS = 100_000
+# Decimals of the distances shown. Ranks come from distances that are not rounded.
+SHOWN_DECIMALS = 6
 
 
 def nearest_documents(
-    questions: DataFrame,
-    documents: DataFrame,
-    k: int = schema.NEIGHBOURS,
-    broadcast_bytes: int = BROADCAST_BYTES,
-    pivots: int = PIVOTS,
-    block_documents: int = BLOCK_DOCUMENTS,
-    block_questions: int = BLOCK_QUESTIONS,
+    questions: DataFrame, documents: DataFrame, k: int = schema.NEIGHBOURS, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
-    """The k nearest documents per question by squared L2 distance: exact, in both ways below.
+    """The k nearest documents per question by squared L2 distance, exactly.
 
     ``questions`` has ``question_id, embedding``; ``documents`` has ``doc_id, embedding``, with
-    unique keys. Result: ``question_id, rank, doc_id, distance``. Distances are rounded to six
-    decimals and equal ones ordered by ``doc_id``. Rows without a vector take no part; they are
-    dropped inside the search, as a filter here would compute the vectors of a lazily embedded
-    table twice. ``documents`` is read more than once, so pass a stored table.
+    unique keys. Result: ``question_id, rank, doc_id, distance``. Equal distances are ordered by
+    ``doc_id``; the distance shown is rounded to six decimals after ranking. Rows without a vector
+    take no part; they are dropped inside the search, as a filter here would compute the vectors
+    of a lazily embedded table twice. ``documents`` is read more than once, so pass a stored table.
 
     If the documents fit ``broadcast_bytes``, every task compares its questions with all of them
-    and nothing is shuffled. Otherwise both sides are cut into blocks, see :func:`_by_cells`.
+    and nothing is shuffled. Otherwise the documents stream past the questions, see
+    :func:`nearest_by_stream`. :func:`nearest_by_cells` suits vectors with few dimensions.
     """
-    questions = questions.select("question_id", "embedding")
-    documents = documents.select("doc_id", "embedding")
-    size = documents.agg(
-        F.coalesce(
-            F.sum(8 * F.size("embedding") + 32 + F.octet_length(F.col("doc_id").cast("string"))), F.lit(0)
-        ).alias("bytes")
-    ).first()["bytes"]
-    if size <= broadcast_bytes:
-        return _by_broadcast(questions, documents, k)
-    return _by_cells(questions, documents, k, pivots, block_documents, block_questions)
+    if _bytes(documents, "doc_id") <= broadcast_bytes:
+        return _shown(_by_broadcast(questions.select("question_id", "embedding"), documents.select("doc_id", "embedding"), k))
+    return nearest_by_stream(questions, documents, k, broadcast_bytes)
+
+
+def _bytes(vectors: DataFrame, key: str) -> int:
+    size = F.sum(8 * F.size("embedding") + 32 + F.octet_length(F.col(key).cast("string")))
+    return vectors.agg(F.coalesce(size, F.lit(0)).alias("bytes")).first()["bytes"]
+
+
+def _shown(found: DataFrame) -> DataFrame:
+    return found.withColumn("distance", F.round("distance", SHOWN_DECIMALS))
+
+
+def _best(candidates: DataFrame, k: int) -> DataFrame:
+    """The k nearest of each question; Spark keeps k in each task before it shuffles."""
+    order = Window.partitionBy("question_id").orderBy("distance", "doc_id")
+    ranked = candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return _shown(ranked.select("question_id", "rank", "doc_id", "distance"))
+
+
+def nearest_by_stream(
+    questions: DataFrame, documents: DataFrame, k: int = schema.NEIGHBOURS, question_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """The same result for any number of documents: they stream past the questions and are never shuffled.
+
+    Questions are stored, cut by the hash of their key into parts of about ``question_bytes``, and sent to
+    every executor one part at a time. A task keeps the k nearest of each question among the documents it
+    has seen, so questions * k * tasks rows are shuffled for each part.
+    """
+    asked = materialize(questions.select("question_id", "embedding").where(F.col("embedding").isNotNull()))
+    parts = max(1, -(-_bytes(asked, "question_id") // max(1, question_bytes)))
+    candidates = None
+    for part in range(parts):
+        own = asked.where(F.pmod(F.xxhash64("question_id"), F.lit(parts)) == part).toArrow().combine_chunks()
+        shared = asked.sparkSession.sparkContext.broadcast((own["question_id"].combine_chunks(), V.matrix(own["embedding"])))
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, vectors = shared.value
+            best = None
+            for batch in map(V.present, batches):
+                if not batch.num_rows or not len(ids):
+                    continue
+                block = batch.sort_by("doc_id")
+                rows, cols, distances = V.nearest(vectors, V.matrix(block["embedding"]), k)
+                new = pa.table({"row": rows, "distance": distances, "doc_id": block["doc_id"].take(pa.array(cols))})
+                if best is not None:
+                    new = pa.concat_tables([best, new]).sort_by([("row", "ascending"), ("distance", "ascending"), ("doc_id", "ascending")])
+                    row = new["row"].to_numpy()
+                    new = new.filter(pa.array(np.arange(len(row)) - np.searchsorted(row, row) < k))
+                best = new.combine_chunks()
+            if best is not None:
+                row = best["row"].to_numpy()
+                found = (row, np.arange(len(row)), best["distance"].to_numpy())
+                yield pa.RecordBatch.from_pydict(V.ranked(ids, best["doc_id"].combine_chunks(), found))
+
+        near = documents.select("doc_id", "embedding").mapInArrow(search, _result_schema(asked, documents))
+        candidates = near if candidates is None else candidates.unionByName(near)
+    return _best(candidates, k)
 
 
 def _result_schema(questions: DataFrame, documents: DataFrame) -> str:
@@ -76,10 +127,17 @@ def _by_broadcast(questions: DataFrame, documents: DataFrame, k: int) -> DataFra
     return questions.mapInArrow(search, _result_schema(questions, documents))
 
 
-def _by_cells(
-    questions: DataFrame, documents: DataFrame, k: int, pivots: int, block_documents: int, block_questions: int
+def nearest_by_cells(
+    questions: DataFrame,
+    documents: DataFrame,
+    k: int = schema.NEIGHBOURS,
+    pivots: int = PIVOTS,
+    block_documents: int = BLOCK_DOCUMENTS,
+    block_questions: int = BLOCK_QUESTIONS,
 ) -> DataFrame:
-    """Exact search of large tables by a partition of space into cells around pivots.
+    """The same result by a partition of space into cells around pivots, for vectors with few dimensions.
+
+    With many dimensions nearly every cell has to be visited, and :func:`nearest_by_stream` moves less.
 
     After the pivot-based kNN join of Lu, Shen, Chen and Ooi (PVLDB 5(10), 2012). Every document
     goes to the cell of its nearest pivot, and a question visits only the cells that can hold one
@@ -90,21 +148,23 @@ def _by_cells(
 
     The driver sees the pivots and two counts per cell: ``pivots`` rows whatever the table sizes.
     """
+    questions = materialize(questions.select("question_id", "embedding"))
+    documents = documents.select("doc_id", "embedding")
     ids = F.xxhash64(F.col("doc_id"))
     # A fixed number of reference vectors, spread by the hash of the key; a sample for pruning only.
     with_vector = documents.where(F.col("embedding").isNotNull())
     chosen = with_vector.orderBy(ids, "doc_id").limit(max(pivots, k)).toArrow()
     if not chosen.num_rows:
-        return _by_broadcast(questions, with_vector, k)
+        return _shown(_by_broadcast(questions, with_vector, k))
     centres = V.matrix(chosen["embedding"])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in map(V.present, batches):
             if not batch.num_rows:
                 continue
-            distances = np.sqrt(V.squared_distances(V.matrix(batch["embedding"]), centres))
-            cell = distances.argmin(axis=1)
-            radius = distances[np.arange(len(cell)), cell]
+            vectors = V.matrix(batch["embedding"])
+            cell = V.rough_distances(vectors, centres)[0].argmin(axis=1)
+            radius = np.sqrt(V.exact_distances(vectors, centres, np.arange(len(cell)), cell))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(radius)],
                 names=["doc_id", "embedding", "cell", "radius"],
@@ -113,10 +173,12 @@ def _by_cells(
     doc_type = documents.schema["doc_id"].dataType.simpleString()
     question_type = questions.schema["question_id"].dataType.simpleString()
     vector_type = questions.schema["embedding"].dataType.simpleString()
-    placed = documents.mapInArrow(
-        assign,
-        f"doc_id {doc_type}, embedding {documents.schema['embedding'].dataType.simpleString()}, "
-        "cell int, radius double",
+    placed = materialize(
+        documents.mapInArrow(
+            assign,
+            f"doc_id {doc_type}, embedding {documents.schema['embedding'].dataType.simpleString()}, "
+            "cell int, radius double",
+        )
     )
     cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("radius").alias("radius")).toArrow()
     counts, radii = np.zeros(len(centres), np.int64), np.zeros(len(centres))
@@ -168,22 +230,37 @@ def _by_cells(
     candidates = (
         left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, _result_schema(questions, documents))
     )
-    order = Window.partitionBy("question_id").orderBy("distance", "doc_id")
-    return (
-        candidates.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .select("question_id", "rank", "doc_id", "distance")
-    )
+    return _best(candidates, k)
+
+
+def _join_hot(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
+    """Join on ``key``, which is unique on the right and may be very frequent or NULL on the left.
+
+    A key with more than ``HOT_ROWS`` rows is cut into parts by the hash of ``question_id``, and its right row is
+    repeated for each part; the list of such keys has at most one row for ``HOT_ROWS`` rows of the left.
+    """
+    counted = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    hot = materialize(counted.where(F.col("n") > HOT_ROWS).select(key, F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("parts")))
+    n = hot.count()
+    hot = F.broadcast(hot) if n <= MOST_BROADCAST_KEYS else hot
+    parts, spread = F.coalesce("parts", F.lit(1)), F.xxhash64("question_id")
+    if not n:  # the usual case
+        salted, copies = left.withColumn("parts", F.lit(1)), right.withColumn("parts", F.lit(1))
+    else:
+        salted, copies = left.join(hot, key, "left"), right.join(hot, key, "left")
+    salt = F.when(F.col(key).isNull(), -1 - F.pmod(spread, F.lit(10_000))).otherwise(F.pmod(spread, parts))
+    salted = salted.withColumn("salt", salt.cast("int")).drop("parts")
+    copies = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return salted.join(copies, [key, "salt"], how).drop("salt")
 
 
 def with_documents(retrieved: DataFrame, documents: DataFrame) -> DataFrame:
-    """Add text and type of the retrieved documents; images stay behind.
+    """Add text and type of the retrieved documents; images are not read from a stored table.
 
-    A document many questions retrieve is a hot key of this join. The document side is
-    broadcast if it is small at run time, and else AQE splits the hot partition.
+    ``retrieved`` is read twice, so pass a stored table.
     """
-    texts = documents.select("doc_id", "page_content", F.col("metadata").getItem("type").alias("type"))
-    return retrieved.join(texts, "doc_id").select(
+    texts = stores.flat_documents(documents).select("doc_id", "page_content", "type")
+    return _join_hot(retrieved, texts, "doc_id", "inner").select(
         "question_id", "rank", "doc_id", "distance", "page_content", "type"
     )
 
@@ -212,8 +289,8 @@ def per_question(questions: DataFrame, retrieved: DataFrame, documents: DataFram
 
     Only the one chart a question shows brings its image along.
     """
-    found = (
-        with_documents(retrieved, documents)
+    found = materialize(
+        with_documents(materialize(retrieved), documents)
         .groupBy("question_id")
         .agg(
             prompt_context().alias("context"),
@@ -221,18 +298,17 @@ def per_question(questions: DataFrame, retrieved: DataFrame, documents: DataFram
             first_graph().alias("graph_doc_id"),
         )
     )
-    graphs = documents.where(F.col("metadata").getItem("type") == "graph").select(
-        F.col("doc_id").alias("graph_doc_id"),
-        F.lit(0).alias("graph_salt"),
-        F.col("metadata").getItem("image_base64").alias("graph"),
-        F.coalesce(F.col("metadata").getItem("description"), F.lit("")).alias("graph_description"),
+    graphs = (
+        stores.flat_documents(documents)
+        .where("type = 'graph'")
+        .select(
+            F.col("doc_id").alias("graph_doc_id"),
+            F.col("image_base64").alias("graph"),
+            F.coalesce("description", F.lit("")).alias("graph_description"),
+        )
     )
-    # Questions without a chart would all meet in one task of the second join; salt sends them apart.
-    salt = F.when(F.col("graph_doc_id").isNull(), F.pmod(F.xxhash64("question_id"), F.lit(10_000)) + 1).otherwise(0)
     return (
-        questions.join(found, "question_id", "left")
-        .withColumn("graph_salt", salt.cast("int"))
-        .join(graphs, ["graph_doc_id", "graph_salt"], "left")
+        _join_hot(questions.join(found, "question_id", "left"), graphs, "graph_doc_id", "left")
         .withColumn("has_relevant_info", F.coalesce("has_relevant_info", F.lit(False)))
-        .drop("graph_doc_id", "graph_salt")
+        .drop("graph_doc_id")
     )

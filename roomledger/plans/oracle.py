@@ -215,17 +215,17 @@ def _vectors(source: str, key: str, text: str) -> str:
 
 def _nearest(questions: str, documents: str) -> str:
     return f"""
-        select question_id, rank::int as rank, doc_id, distance
+        select question_id, rank::int as rank, doc_id, round(distance, 6) as distance
         from (select question_id, doc_id, distance,
                      row_number() over (partition by question_id order by distance, doc_id) as rank
-              from (select question_id, doc_id,
-                           round(list_sum(list_transform(list_zip(q.embedding::double[], d.embedding::double[]),
-                                                         lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) as distance
+              from (select q.question_id, d.doc_id,
+                           list_sum(list_transform(list_zip(q.embedding::double[], d.embedding::double[]),
+                                                   lambda p: (p[1] - p[2]) * (p[1] - p[2]))) as distance
                     from {questions} q, {documents} d))
         where rank <= {schema.NEIGHBOURS}"""
 
 
-_PERCENT, _DOLLAR = r"(\d+(\.\d+)?)\s*%", r"\$\s*(\d+(\.\d+)?)"
+_PERCENT, _DOLLAR = schema.PERCENTAGE_PATTERN, schema.DOLLAR_PATTERN
 
 
 def _formatted(text: str) -> str:
@@ -237,7 +237,7 @@ def _formatted(text: str) -> str:
 
 
 def _stripped(text: str) -> str:
-    return f"regexp_replace(regexp_replace({text}, '^\\s+', ''), '\\s+$', '')"
+    return f"regexp_replace(regexp_replace({text}, '^{schema.WHITE_SPACE}+', ''), '{schema.WHITE_SPACE}+$', '')"
 
 
 def _fallback(raw: str, relevant: str) -> str:
@@ -275,6 +275,10 @@ _PARTS |= {
     "vector_questions": "select vec_id as question_id, embedding from embeddings",
     "vector_documents": "select vec_id as doc_id, embedding, label from embeddings",
     "near_vectors": _nearest("vector_questions", "vector_documents"),
+    "short_vectors": """
+        select vec_id as question_id, vec_id as doc_id,
+               list_transform(embedding, lambda x: (x::double * 0.0001::double)::float) as embedding from embeddings""",
+    "near_short_vectors": _nearest("short_vectors", "short_vectors"),
     "near_described": """
         select question_id, string_agg('vector ' || doc_id || ' of class ' || label, chr(10) || chr(10) order by rank) as context,
                bool_or(label <> 0) as has_relevant_info,
@@ -289,6 +293,16 @@ _PARTS |= {
                round(value * 1000000)::bigint / 1000000.0::double as response_time
         from events""",
     "turns": "select * from conversations",
+    "answer_log": """
+        select conv_id || '-' || turn as question_id, response_time
+        from conversations join log on question_number = conv_id * 10 + turn + 1 where role = 'user'""",
+    "timed": f"""
+        select question_id, case when response_time is null or ends_with(answer, note) then answer
+                   else answer || chr(10) || chr(10) || note end as answer, graph, graph_description, response_time
+        from (select question_id, {_noted('answer', 'graph')} as answer, graph, graph_description, response_time,
+                     '(Response time: ' || printf('%.2f', response_time) || ' seconds)' as note
+              from formatted left join answer_log using (question_id))""",
+    "timed_and_asked": "select * from timed join questions using (question_id)",
 }
 
 _SHOWN = (
@@ -379,6 +393,10 @@ _SELECTS = {
     ),
     "knn_top5": ("select * from near_vectors", "near_vectors"),
     "knn_top5_by_cells": ("select * from near_vectors", "near_vectors"),
+    "knn_top5_by_stream": ("select * from near_vectors", "near_vectors"),
+    "knn_short_vectors": ("select * from near_short_vectors", "near_short_vectors"),
+    "knn_short_vectors_by_stream": ("select * from near_short_vectors", "near_short_vectors"),
+    "knn_short_vectors_by_cells": ("select * from near_short_vectors", "near_short_vectors"),
     "retrieve_documents": ("select * from retrieved", "retrieved"),
     "rag_prompt": (
         f"select question_id, {_text(_TEMPLATE_START)} || context || {_text(_TEMPLATE_MIDDLE)} || "
@@ -389,13 +407,13 @@ _SELECTS = {
     "first_graph": ("select question_id, graph, graph_description from near_described", "near_described"),
     "answer_fallback": (
         f"select conv_id, turn, {_fallback('raw', '(conv_id % 5 <> 0)')} as answer from (select *, "
-        "case when turn % 4 = 3 then ' ' || chr(10) || chr(9) || ' ' "
-        "else chr(10) || '  ' || text || ' ' || chr(9) end as raw from turns)",
+        "case when turn % 4 = 3 then ' ' || chr(10) || chr(9) || chr(160) || ' ' "
+        "else chr(160) || chr(10) || '  ' || text || ' ' || chr(8195) || chr(9) end as raw from turns)",
         "turns",
     ),
     "format_answer": (
-        f"select conv_id, turn, {_formatted('raw')} as answer from (select *, text || ' $ ' || turn || '.5 and ' || turn "
-        "|| ' % for $1,234.50 at City Hotel, Resort Hotels, Directly or Offline TA/TO' as raw from turns)",
+        f"select conv_id, turn, {_formatted('raw')} as answer from (select *, text || ' $ ' || turn || '.5 and ' || turn || chr(160) "
+        "|| '% for $1,234.50 at City Hotel, Resort Hotels, Directly or Offline TA/TO' as raw from turns)",
         "turns",
     ),
     "answer_graph_note": (
@@ -409,6 +427,17 @@ _SELECTS = {
         f"select question_id, {_noted('answer', 'graph')} as answer, graph, graph_description from formatted",
         "formatted",
     ),
+    "timed_answers": ("select * from timed", "timed"),
+    "answers_average_time": (
+        "select round(coalesce(avg(response_time), 0), 6) as average_response_time, count(*) as questions from timed "
+        "where response_time is not null",
+        "timed",
+    ),
+    "answers_report": (
+        "select question_id as question_number, question, answer, case when coalesce(graph, '') <> '' then 'Yes' else 'No' end "
+        "as has_graph, coalesce(printf('%.2f', response_time), 'nan') as response_seconds from timed_and_asked",
+        "timed_and_asked",
+    ),
     "answer_time_suffix": (
         "select question_number, case when ends_with(answer, note) then answer else answer || chr(10) || chr(10) || note "
         "end as answer from (select *, '(Response time: ' || printf('%.2f', response_time) || ' seconds)' as note from log)",

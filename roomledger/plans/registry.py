@@ -93,9 +93,7 @@ def chart_series(spark: SparkSession, folder: str) -> DataFrame:
 def _flat(documents: DataFrame) -> DataFrame:
     keys = {"category": "category", "subkey": "subkey", "type": "type", "graph_name": "graph_name",
             "description": "description", "image_base64": "image"}
-    return documents.select(
-        "doc_id", "page_content", *[F.col("metadata").getItem(k).alias(name) for k, name in keys.items()]
-    )
+    return stores.flat_documents(documents).select("doc_id", "page_content", *[F.col(k).alias(name) for k, name in keys.items()])
 
 
 def insight_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -134,11 +132,33 @@ def vector_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 def vector_neighbours_by_cells(spark: SparkSession, folder: str) -> DataFrame:
     """The same neighbours by the way for documents too large to broadcast."""
-    return R.nearest_documents(
-        S.vector_questions(spark, folder), S.vector_documents(spark, folder), broadcast_bytes=0
+    return R.nearest_by_cells(
+        S.vector_questions(spark, folder), S.vector_documents(spark, folder), pivots=16, block_documents=100, block_questions=100
     )
 
 
+def vector_neighbours_by_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The same neighbours with documents streaming past parts of the questions."""
+    return R.nearest_by_stream(S.vector_questions(spark, folder), S.vector_documents(spark, folder), question_bytes=1 << 20)
+
+
+def _short_vectors(vectors: DataFrame) -> DataFrame:
+    """A ten-thousandth of their length, so that all distances vanish when rounded to six decimals."""
+    return vectors.withColumn("embedding", F.transform("embedding", lambda x: (x * F.lit(0.0001)).cast("float")))
+
+
+def short_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return R.nearest_documents(_short_vectors(S.vector_questions(spark, folder)), _short_vectors(S.vector_documents(spark, folder)))
+
+
+def short_neighbours_by_stream(spark: SparkSession, folder: str) -> DataFrame:
+    return R.nearest_by_stream(_short_vectors(S.vector_questions(spark, folder)), _short_vectors(S.vector_documents(spark, folder)))
+
+
+def short_neighbours_by_cells(spark: SparkSession, folder: str) -> DataFrame:
+    return R.nearest_by_cells(_short_vectors(S.vector_questions(spark, folder)), _short_vectors(S.vector_documents(spark, folder)))
+
+
 def _described_vectors(spark: SparkSession, folder: str) -> DataFrame:
     ids = S.vector_questions(spark, folder).select("question_id")
     found = vector_neighbours(spark, folder)
@@ -159,8 +179,8 @@ def first_graph(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def answer_fallback(spark: SparkSession, folder: str) -> DataFrame:
-    """Every assistant turn as raw answer: odd turns padded, every fourth turn blank."""
-    raw = F.expr("case when turn % 4 = 3 then ' \n\t ' else concat('\n  ', text, ' \t') end")
+    """Every assistant turn as raw answer: odd turns padded, every fourth turn blank; no-break and wide spaces among them."""
+    raw = F.expr("case when turn % 4 = 3 then ' \n\t\u00a0 ' else concat('\u00a0\n  ', text, ' \u2003\t') end")
     relevant = F.col("conv_id") % 5 != 0
     return S.wide_table(spark, folder, "conversations").select(
         "conv_id", "turn", A.with_fallback(raw, relevant).alias("answer")
@@ -169,7 +189,7 @@ def answer_fallback(spark: SparkSession, folder: str) -> DataFrame:
 
 def format_answer(spark: SparkSession, folder: str) -> DataFrame:
     raw = F.expr(
-        "concat(text, ' $ ', turn, '.5 and ', turn, ' % for $1,234.50 at City Hotel, Resort Hotels, "
+        "concat(text, ' $ ', turn, '.5 and ', turn, '\u00a0% for $1,234.50 at City Hotel, Resort Hotels, "
         "Directly or Offline TA/TO')"
     )
     return S.wide_table(spark, folder, "conversations").select("conv_id", "turn", A.format_answer(raw).alias("answer"))
@@ -203,6 +223,22 @@ def answer_questions(spark: SparkSession, folder: str) -> DataFrame:
     return A.assemble(R.per_question(asked, found, store))
 
 
+def timed_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers with their response times, from a log that has no entry for some questions."""
+    return A.timed(answer_questions(spark, folder), S.answer_log(spark, folder))
+
+
+def answers_average_time(spark: SparkSession, folder: str) -> DataFrame:
+    times = timed_answers(spark, folder).where("response_time is not null")
+    return _rounded(E.average_response_time(times), "average_response_time")
+
+
+def answers_report(spark: SparkSession, folder: str) -> DataFrame:
+    asked = S.questions(spark, folder).select(F.col("question_id").alias("question_number"), "question")
+    answered = timed_answers(spark, folder).withColumnRenamed("question_id", "question_number")
+    return E.evaluation_report(answered.join(asked, "question_number"))
+
+
 def answer_time_suffix(spark: SparkSession, folder: str) -> DataFrame:
     times = E.response_times(S.request_log(spark, folder))
     return times.select(
@@ -258,6 +294,10 @@ QUERIES: dict[str, Query] = {
     "embed_documents": embed_documents,
     "knn_top5": vector_neighbours,
     "knn_top5_by_cells": vector_neighbours_by_cells,
+    "knn_top5_by_stream": vector_neighbours_by_stream,
+    "knn_short_vectors": short_neighbours,
+    "knn_short_vectors_by_stream": short_neighbours_by_stream,
+    "knn_short_vectors_by_cells": short_neighbours_by_cells,
     "retrieve_documents": retrieve_documents,
     "rag_prompt": rag_prompt,
     "has_relevant_info": has_relevant_info,
@@ -266,6 +306,9 @@ QUERIES: dict[str, Query] = {
     "format_answer": format_answer,
     "answer_graph_note": answer_graph_note,
     "answer_questions": answer_questions,
+    "timed_answers": timed_answers,
+    "answers_average_time": answers_average_time,
+    "answers_report": answers_report,
     "answer_time_suffix": answer_time_suffix,
     "response_time": response_time,
     "evaluate_latency": evaluate_latency,

@@ -127,6 +127,13 @@ def vector_documents(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def answer_log(spark: SparkSession, folder: str) -> DataFrame:
+    """A request for each user turn that has an event of its number; it takes as long as the event's value says."""
+    turns = table(spark, folder, "conversations").where("role = 'user'")
+    asked = turns.select(F.concat_ws("-", "conv_id", "turn").alias("question_id"), (F.col("conv_id") * 10 + F.col("turn") + 1).alias("question_number"))
+    return asked.join(request_log(spark, folder), "question_number").select("question_id", "started_at", "ended_at")
+
+
 def request_log(spark: SparkSession, folder: str) -> DataFrame:
     """One request per event, which takes as many seconds as the event's value says."""
     return table(spark, folder, "events").selectExpr(

@@ -5,6 +5,8 @@ Every output is replaced as a whole, so a run can be repeated.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,18 +30,33 @@ def build(
     charts: str | None = None,
     embedder: Embedder | None = None,
     columns: T.StructType | None = None,
+    names: Mapping[str, str] | None = None,
+    multi_line: bool = False,
+    separator: str = ",",
+    encoding: str = "UTF-8",
 ) -> dict[str, str]:
     """Insights, chart series and the document store of some bookings; returns their paths.
 
     ``bookings`` is a CSV path or a frame, ``charts`` a folder of PNG files. The bookings are read
-    twice: once for the fill values, once for everything else.
+    twice: once for the fill values, once for everything else. ``names`` maps the library's column
+    names to those of the bookings, where they differ. From CSV, ``rejected`` counts for each column the
+    fields that hold text but none of its type (they are read as missing).
     """
-    frame = csv_bookings.read_bookings(spark, bookings, columns) if isinstance(bookings, str) else bookings
+    paths = {name: f"{output.rstrip('/')}/{name}" for name in ("insights", "charts", "documents")}
+    if isinstance(bookings, str):
+        raw = renamed(csv_bookings.read_raw(spark, bookings, None, multi_line, separator, encoding), names)
+        paths["rejected"] = f"{output.rstrip('/')}/rejected"
+        csv_bookings.rejected_values(raw, columns or schema.BOOKINGS).write.mode("overwrite").parquet(paths["rejected"])
+        frame = csv_bookings.typed_bookings(raw, columns or schema.BOOKINGS)
+    else:
+        frame = renamed(bookings, names)
+    missing = [f.name for f in schema.BOOKINGS if f.name not in frame.columns]
+    if missing:
+        raise ValueError(f"the bookings lack the columns {missing}")
     rollup = materialize(I.booking_rollup(C.clean_bookings(frame)))
     insights = materialize(I.insights_from_rollup(rollup))
-    paths = {name: f"{output.rstrip('/')}/{name}" for name in ("insights", "charts", "documents")}
     stores.save_insights(insights, paths["insights"])
-    H.chart_series(rollup).write.mode("overwrite").parquet(paths["charts"])
+    H.chart_series(rollup, insights).write.mode("overwrite").parquet(paths["charts"])
     files = chart_files.read_charts(spark, charts) if charts else None
     stores.save_documents(D.embed(D.all_documents(insights, files), "page_content", embedder), paths["documents"])
     return paths
@@ -61,5 +78,17 @@ def prompts(
     return described.withColumn("prompt", A.prompt(F.col("context"), F.col("question"), template))
 
 
-def answers(described: DataFrame) -> DataFrame:
-    return A.assemble(described)
+def answers(described: DataFrame, log: DataFrame | None = None) -> DataFrame:
+    """Answers, with response times if there is a request log (``question_id, started_at, ended_at``)."""
+    assembled = A.assemble(described)
+    return assembled if log is None else A.timed(assembled, log)
+
+
+def renamed(bookings: DataFrame, names: Mapping[str, str] | None) -> DataFrame:
+    """Bookings under the library's column names; ``names``: library name to the bookings' name."""
+    if not names:
+        return bookings
+    unknown = [n for n in names.values() if n not in bookings.columns]
+    if unknown:
+        raise ValueError(f"the bookings lack the columns {unknown}")
+    return bookings.withColumnsRenamed({theirs: own for own, theirs in names.items()})

@@ -38,7 +38,12 @@ DOCUMENTS = T.StructType(
     [
         T.StructField("doc_id", T.StringType()),
         T.StructField("page_content", T.StringType()),
-        T.StructField("metadata", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("category", T.StringType()),
+        T.StructField("subkey", T.StringType()),
+        T.StructField("type", T.StringType()),
+        T.StructField("graph_name", T.StringType()),
+        T.StructField("description", T.StringType()),
+        T.StructField("image_base64", T.StringType()),
     ]
 )
 
@@ -48,15 +53,27 @@ ANSWERS = T.StructType(
         T.StructField("answer", T.StringType()),
         T.StructField("graph", T.StringType()),
         T.StructField("graph_description", T.StringType()),
+        T.StructField("response_time", T.DoubleType()),
     ]
 )
 
+#: Format of status dates, and the years that an arrival date may have.
+DATE_FORMAT = "yyyy-MM-dd"
+YEARS = (1000, 9999)
+
 # Columns filled with their mean, and columns filled with their most frequent value.
 MEAN_FILLED = ("children", "agent", "company")
 MODE_FILLED = ("country",)
 
 # ---- Fixed values: results must carry exactly these ----
 
+# White space as Unicode defines it, as a class that Java and RE2 both read.
+WHITE_SPACE = "[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+
+# Amounts that are set in bold: the number is the first group.
+PERCENTAGE_PATTERN = rf"(\d+(\.\d+)?){WHITE_SPACE}*%"
+DOLLAR_PATTERN = rf"\${WHITE_SPACE}*(\d+(\.\d+)?)"
+
 # Texts of a CSV field that stand for a missing value.
 NA_TOKENS = (
     "",

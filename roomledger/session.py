@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: int | str = "*", memory: str = "16g", name: str = "roomledger") -> SparkSession:
+def local_session(cpus: int | str = "*", memory: str = "10g", name: str = "roomledger") -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     return (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -21,6 +23,8 @@ def local_session(cpus: int | str = "*", memory: str = "16g", name: str = "rooml
         # Recording the calling line of every column expression costs most of the planning time.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # A checkpoint goes when nothing refers to it any more.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -28,11 +32,15 @@ def local_session(cpus: int | str = "*", memory: str = "16g", name: str = "rooml
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a test on one machine) gets a folder of its own.
+    A local session without that setting (a test on one machine) gets a folder of its own, which is
+    removed when Python ends. On a cluster there is no folder to fall back on: ValueError.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="roomledger-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)

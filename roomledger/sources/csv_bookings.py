@@ -9,16 +9,32 @@ from pyspark.sql import types as T
 from roomledger import schema
 
 
-def read_raw(spark: SparkSession, path: str, columns: T.StructType | None = None, multi_line: bool = False) -> DataFrame:
-    """All fields as text, as they stand in the file.
+_CORRUPT = "_corrupt_record"
 
-    With ``columns`` the files are not opened for planning; without, the header names them.
-    Fields with line breaks need ``multi_line``, which keeps Spark from splitting a file.
+
+def read_raw(
+    spark: SparkSession,
+    path: str,
+    columns: T.StructType | None = None,
+    multi_line: bool = False,
+    separator: str = ",",
+    encoding: str = "UTF-8",
+) -> DataFrame:
+    """All fields as text, as they stand in the file, each under the name in the header.
+
+    The header of one file names the columns, so their order doesn't matter; a file whose header differs
+    from it stops the job, and so does a row with more or fewer fields than the header. ``columns`` must all
+    be there (ValueError). Fields with line breaks need ``multi_line``, which keeps Spark from splitting a file.
     """
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
-    if columns is not None:
-        reader = reader.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in columns]))
-    return reader.csv(path)
+    reader = spark.read.options(header=True, escape='"', multiLine=multi_line, sep=separator, encoding=encoding)
+    names = reader.csv(path).columns
+    if columns is not None and (missing := [f.name for f in columns if f.name not in names]):
+        raise ValueError(f"the header lacks the columns {missing}")
+    layout = T.StructType([T.StructField(n, T.StringType()) for n in (*names, _CORRUPT)])
+    rows = reader.options(enforceSchema=False, columnNameOfCorruptRecord=_CORRUPT).schema(layout).csv(path)
+    complaint = F.concat(F.lit("a row has another number of fields than the header: "), F.substring(_CORRUPT, 1, 200))
+    refused = F.when(F.col(_CORRUPT).isNotNull(), F.raise_error(complaint).cast("string"))
+    return rows.select(refused.otherwise(F.col(f"`{names[0]}`")).alias(names[0]), *(F.col(f"`{n}`") for n in names[1:]))
 
 
 def _present(column: str) -> Column:
@@ -54,7 +70,13 @@ def rejected_values(raw: DataFrame, columns: T.StructType = schema.BOOKINGS) ->
 
 
 def read_bookings(
-    spark: SparkSession, path: str, columns: T.StructType | None = None, multi_line: bool = False
+    spark: SparkSession,
+    path: str,
+    columns: T.StructType | None = None,
+    multi_line: bool = False,
+    separator: str = ",",
+    encoding: str = "UTF-8",
 ) -> DataFrame:
     """Typed bookings. ``columns`` also sets the types of columns beyond the standard ones."""
-    return typed_bookings(read_raw(spark, path, columns, multi_line), columns or schema.BOOKINGS)
+    raw = read_raw(spark, path, columns, multi_line, separator, encoding)
+    return typed_bookings(raw, columns or schema.BOOKINGS)

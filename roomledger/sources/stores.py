@@ -5,35 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-VALUES_PER_LINE = 10_000
+from roomledger import schema
 
-_VALUES = "map<string,double>"
-_LINES = f"category string, value double, values {_VALUES}"
 
+def insights_as_json(insights: DataFrame) -> DataFrame:
+    """One JSON object per insight value: ``category``, ``subkey`` (null for a single number) and ``value``.
 
-def insights_as_json(insights: DataFrame, values_per_line: int = VALUES_PER_LINE) -> DataFrame:
-    """One JSON object per category: a number, or an object of numbers; a missing value is ``null``.
-
-    A category with very many values is spread over several objects of the same name, so that no
-    task gathers more than about ``values_per_line`` of them. Reads ``insights`` twice.
+    The layout is the same for any number of values, and no category is gathered in one task. A missing
+    value is ``null``.
     """
-    value = F.nanvl("value", F.lit(None).cast("double"))
-    parts = insights.groupBy("category").agg(F.ceil(F.count(F.lit(1)) / F.lit(values_per_line)).alias("parts"))
-    part = F.pmod(F.xxhash64("subkey"), F.col("parts"))
-    entry = F.when(F.col("subkey").isNotNull(), F.struct("subkey", value.alias("value")))
-    nested = (
-        insights.join(parts, "category")
-        .groupBy("category", part.alias("part"))
-        .agg(
-            F.max(F.when(F.col("subkey").isNull(), value)).alias("value"),
-            F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("values"),
-        )
-    )
-    shown = {"ignoreNullFields": "false"}
-    line = F.when(F.size("values") > 0, F.to_json(F.struct("category", "values"), shown)).otherwise(
-        F.to_json(F.struct("category", "value"), shown)
-    )
-    return nested.select("category", line.alias("json"))
+    row = F.struct("category", "subkey", F.nanvl("value", F.lit(None).cast("double")).alias("value"))
+    return insights.select("category", F.to_json(row, {"ignoreNullFields": "false"}).alias("json"))
 
 
 def save_insights(insights: DataFrame, path: str) -> str:
@@ -43,14 +25,30 @@ def save_insights(insights: DataFrame, path: str) -> str:
 
 def load_insights(spark: SparkSession, path: str) -> DataFrame:
     """Saved insights as the long table ``category, subkey, value``."""
-    lines = spark.read.schema(_LINES).json(path)
-    grouped = lines.where(F.col("values").isNotNull()).select("category", F.explode("values").alias("subkey", "value"))
-    single = lines.where(F.col("values").isNull()).select("category", F.lit(None).cast("string").alias("subkey"), "value")
-    return grouped.unionByName(single)
+    return spark.read.schema("category string, subkey string, value double").json(path)
+
+
+def flat_documents(documents: DataFrame) -> DataFrame:
+    """Documents with the entries of ``metadata`` as columns, so that a reader of one entry reads only that.
+
+    Already flat documents stay as they are; entries that ``schema.DOCUMENTS`` doesn't name are not kept.
+    """
+    if "metadata" not in documents.columns:
+        return documents
+    names = [f.name for f in schema.DOCUMENTS if f.name not in ("doc_id", "page_content")]
+    others = [c for c in documents.columns if c not in ("doc_id", "page_content", "metadata", *names)]
+    return documents.select("doc_id", "page_content", *(F.col("metadata").getItem(n).alias(n) for n in names), *others)
+
+
+def with_metadata(documents: DataFrame) -> DataFrame:
+    """Stored documents with ``metadata`` as a map again, for display."""
+    names = [f.name for f in schema.DOCUMENTS if f.name in documents.columns and f.name not in ("doc_id", "page_content")]
+    entries = F.filter(F.array(*(F.struct(F.lit(n).alias("key"), F.col(n).alias("value")) for n in names)), lambda e: e["value"].isNotNull())
+    return documents.withColumn("metadata", F.map_from_entries(entries)).drop(*names)
 
 
 def save_documents(documents: DataFrame, path: str) -> str:
-    documents.write.mode("overwrite").parquet(path)
+    flat_documents(documents).write.mode("overwrite").parquet(path)
     return path
 
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from roomledger import schema
 from roomledger.operators import answers as A
@@ -92,7 +93,7 @@ def test_assembled_answers(spark):
         "question_id string, raw_answer string, has_relevant_info boolean, graph string, graph_description string",
     )
     out = A.assemble(described)
-    assert out.schema == schema.ANSWERS
+    assert out.schema == T_.StructType(schema.ANSWERS.fields[:-1])
     rows = {r.question_id: tuple(r)[1:] for r in out.collect()}
     assert rows["a"] == ("About **5%** at **City Hotel**. A graph is available to illustrate this data.", "img", "d")
     assert rows["b"] == (schema.NO_DATA_ANSWER, "img", "d")
@@ -115,3 +116,9 @@ def test_evaluation(spark):
     assert [(r.question_number, r.has_graph, r.response_seconds) for r in report] == [
         (1, "Yes", f"{1.255:.2f}"), (2, "No", "0.50"), (3, "No", "0.00"),
     ]
+
+
+def test_white_space_of_any_kind(spark):
+    rows = spark.createDataFrame([("\u00a0\u2003\n a b\u3000",), ("\u00a0 \u202f",), ("12\u00a0% and $\u00a05",)], "t string")
+    out = [r[0] for r in rows.select(A.format_answer(A.with_fallback(F.col("t"), F.lit(True)))).collect()]
+    assert out == ["a b", schema.NO_DATA_ANSWER, "**12%** and **$5**"]

@@ -99,3 +99,14 @@ def test_a_bad_status_date_stops_the_job(spark, booking, ansi):
             C.parse_status_date(booking({"reservation_status_date": "2017-13-01"})).collect()
     finally:
         spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+@pytest.mark.parametrize("junk", ["2017", "2017-07-04 junk", "2017-7-4", "04.07.2017", ""])
+def test_only_whole_dates_are_dates(spark, booking, junk):
+    with pytest.raises(PySparkException, match="not a yyyy-MM-dd date"):
+        C.parse_status_date(booking({"reservation_status_date": junk})).collect()
+
+
+def test_another_date_format(spark):
+    rows = spark.createDataFrame([("04.07.2017",), (None,)], "t string").select(X.strict_date(F.col("t"), "dd.MM.yyyy"))
+    assert [r[0] for r in rows.collect()] == [datetime.date(2017, 7, 4), None]

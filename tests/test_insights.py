@@ -154,3 +154,11 @@ def test_month_gap_over_a_year_end(spark):
 def test_revenue_is_kept_by_month(clean):
     total = clean.where("arrival_date is not null").agg(F.sum("total_revenue")).first()[0]
     assert I.monthly_revenue(clean).agg(F.sum("revenue")).first()[0] == total
+
+
+def test_fractions_are_refused_and_not_cut(spark):
+    rows = spark.createDataFrame([(1.0,), (2.0,), (None,)], "d double")
+    assert pairs(D.describe_column(rows, "d"), "subkey", "value")["mean"] == 1.5
+    for bad in (2.9, 3e10):
+        with pytest.raises(Exception, match="no 32-bit whole number"):
+            D.describe_column(rows.unionByName(spark.createDataFrame([(bad,)], "d double")), "d").collect()

@@ -1,17 +1,22 @@
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from roomledger.functions import vectors as V
 from roomledger.operators import retrieval as R
+from roomledger.sources import stores
 
 WAYS = {
-    "broadcast": {},
-    "cells": {"broadcast_bytes": 0},
-    "small blocks": {"broadcast_bytes": 0, "pivots": 7, "block_documents": 20, "block_questions": 15},
-    "one pivot": {"broadcast_bytes": 0, "pivots": 1, "block_documents": 50, "block_questions": 1000},
+    "broadcast": R.nearest_documents,
+    "stream": partial(R.nearest_documents, broadcast_bytes=2500),
+    "stream in one part": R.nearest_by_stream,
+    "cells": R.nearest_by_cells,
+    "small blocks": partial(R.nearest_by_cells, pivots=7, block_documents=20, block_questions=15),
+    "one pivot": partial(R.nearest_by_cells, pivots=1, block_documents=50, block_questions=1000),
 }
 
 
@@ -24,9 +29,9 @@ def frames(spark, questions, documents):
 def brute_force(questions, documents, k):
     out = set()
     for i, q in enumerate(questions.astype(np.float32).astype(float)):
-        distances = np.round(((documents.astype(np.float32).astype(float) - q) ** 2).sum(axis=1), 6)
+        distances = np.add.accumulate((documents.astype(np.float32).astype(float) - q) ** 2, axis=1)[:, -1]
         for rank, j in enumerate(np.lexsort((np.arange(len(documents)), distances))[:k]):
-            out.add((i, rank + 1, f"d{j:05}", round(float(distances[j]), 5)))
+            out.add((i, rank + 1, f"d{j:05}", round(round(float(distances[j]), 6), 5)))
     return out
 
 
@@ -49,17 +54,21 @@ def vectors(kind, n, seed):
         return rng.permutation(data)
     if kind == "grid":
         return rng.integers(0, 3, size=(n, 3)).astype(float)
+    if kind == "short":
+        return rng.normal(size=(n, 8)) * 2e-4
+    if kind == "near copies":
+        return rng.normal(size=8) * 250 + rng.normal(size=(n, 8)) * 1e-4
     return rng.normal(size=(n, 8)) * 1e5
 
 
 @pytest.mark.parametrize("way", WAYS)
-@pytest.mark.parametrize("kind", ["random", "clustered", "a third equal", "grid", "long"])
+@pytest.mark.parametrize("kind", ["random", "clustered", "a third equal", "grid", "short", "near copies", "long"])
 def test_neighbours_against_brute_force(spark, kind, way):
     documents, questions = vectors(kind, 300, 1), vectors(kind, 90, 2)
     if kind == "long":
         documents, questions = np.round(documents, 1), np.round(questions, 1)
     q, d = frames(spark, questions, documents)
-    result = R.nearest_documents(q, d, 5, **WAYS[way])
+    result = WAYS[way](q, d, 5)
     if kind == "long":  # squared distances near 1e11: compare which documents, not six decimals
         assert {r[:3] for r in found(result)} == {r[:3] for r in brute_force(questions, documents, 5)}
     else:
@@ -70,22 +79,37 @@ def test_neighbours_against_brute_force(spark, kind, way):
 def test_fewer_documents_than_asked_for(spark, way):
     documents, questions = vectors("random", 3, 1), vectors("random", 4, 2)
     q, d = frames(spark, questions, documents)
-    assert found(R.nearest_documents(q, d, 5, **WAYS[way])) == brute_force(questions, documents, 5)
-    assert R.nearest_documents(q, d.where("false"), 5, **WAYS[way]).count() == 0
-    assert R.nearest_documents(q.where("false"), d, 5, **WAYS[way]).count() == 0
+    assert found(WAYS[way](q, d, 5)) == brute_force(questions, documents, 5)
+    assert WAYS[way](q, d.where("false"), 5).count() == 0
+    assert WAYS[way](q.where("false"), d, 5).count() == 0
 
 
 @pytest.mark.parametrize("way", WAYS)
 def test_rows_without_vector_take_no_part(spark, way):
     q, d = frames(spark, vectors("random", 6, 1), vectors("random", 40, 2))
     holes = lambda df, key: df.withColumn("embedding", F.when(F.hash(key) % 3 != 0, F.col("embedding")))
-    with_holes = R.nearest_documents(holes(q, "question_id"), holes(d, "doc_id"), 5, **WAYS[way])
+    with_holes = WAYS[way](holes(q, "question_id"), holes(d, "doc_id"), 5)
     without = R.nearest_documents(
         holes(q, "question_id").where("embedding is not null"), holes(d, "doc_id").where("embedding is not null"), 5
     )
     assert found(with_holes) == found(without) != set()
 
 
+def test_ranks_do_not_depend_on_the_way(spark):
+    documents = np.zeros((7, 3))
+    documents[0, 0], documents[6, 0] = 6e-4, 8e-4
+    q, d = frames(spark, np.zeros((1, 3)), documents)
+    for way in WAYS.values():
+        assert [r.doc_id for r in way(q, d, 6).orderBy("rank").collect()] == [f"d{i:05}" for i in (1, 2, 3, 4, 5, 0)]
+
+
+def test_documents_are_not_shuffled_past_few_questions(spark):
+    q, d = frames(spark, vectors("random", 6, 1), vectors("random", 40, 2))
+    text = R.nearest_by_stream(q, d, 5)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 1 and text.index("MapInArrow") > text.index("Exchange")
+    assert "WindowGroupLimit" in text
+
+
 def test_vectors_of_different_length_are_refused(spark):
     d = spark.createDataFrame([("a", [1.0]), ("b", [1.0, 2.0])], "doc_id string, embedding array<float>")
     q = spark.createDataFrame([(1, [1.0])], "question_id long, embedding array<float>")
@@ -96,7 +120,7 @@ def test_vectors_of_different_length_are_refused(spark):
 def test_few_cells_are_visited_where_data_has_clusters():
     documents, questions = vectors("clustered", 1000, 5), vectors("clustered", 200, 5)
     centres = documents[:20]
-    distances = np.sqrt(V.squared_distances(documents, centres))
+    distances = np.sqrt(np.maximum(V.rough_distances(documents, centres)[0], 0.0))
     cell = distances.argmin(axis=1)
     radii = np.array([distances[cell == c, c].max(initial=0.0) for c in range(20)])
     counts = np.bincount(cell, minlength=20)
@@ -116,6 +140,23 @@ def documents_frame(spark):
     )
 
 
+def test_a_document_that_all_questions_retrieve(spark, monkeypatch):
+    monkeypatch.setattr(R, "HOT_ROWS", 10)
+    n = 300
+    questions = spark.range(n).selectExpr("concat('q', id) as question_id")
+    retrieved = questions.selectExpr("question_id", "explode(array(struct(1 as rank, 'd1' as doc_id, 0.1D as distance), struct(2 as rank, 'g1' as doc_id, 0.2D as distance))) as r")
+    rows = R.per_question(questions, retrieved.select("question_id", "r.*"), documents_frame(spark)).collect()
+    assert len(rows) == n == len({r.question_id for r in rows})
+    assert {(r.context, r.has_relevant_info, r.graph) for r in rows} == {("first\n\nGraph: g", True, "aW1n")}
+
+
+def test_the_text_join_reads_no_images(spark, tmp_path):
+    path = stores.save_documents(documents_frame(spark), str(tmp_path / "store"))
+    retrieved = spark.createDataFrame([("q1", 1, "d1", 0.2)], "question_id string, rank int, doc_id string, distance double")
+    text = R.with_documents(retrieved, stores.load_documents(spark, path))._jdf.queryExecution().executedPlan().toString()
+    assert "page_content:string,type:string" in text and "image_base64" not in text
+
+
 def test_per_question(spark):
     questions = spark.createDataFrame([("q1", 1), ("q2", 2), ("q3", 3), ("q4", 4)], "question_id string, extra int")
     retrieved = spark.createDataFrame(

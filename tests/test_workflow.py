@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
+import pytest
 from conftest import EDGE_CSV
 from pyspark.sql import functions as F
 
@@ -43,6 +44,31 @@ def test_from_files_to_answers(spark, edge_csv, tmp_path):
     assert out["3"].answer == schema.NO_DATA_ANSWER
 
 
+def test_renamed_columns_and_rejected_values(spark, edge_csv, tmp_path):
+    text = Path(edge_csv).read_text().replace("hotel,", "property,", 1).replace("lead_time", "days_ahead", 1).replace(",20,2017", ",soon,2017", 1)
+    (tmp_path / "b.csv").write_text(text)
+    names = {"hotel": "property", "lead_time": "days_ahead"}
+    paths = workflow.build(spark, str(tmp_path / "b.csv"), str(tmp_path / "out"), names=names)
+    rejected = {r["column"]: r["rejected"] for r in spark.read.parquet(paths["rejected"]).collect()}
+    assert rejected["lead_time"] == 1 and sum(rejected.values()) == 1
+    found = stores.load_insights(spark, paths["insights"]).where("category = 'revenue_by_hotel'").collect()
+    assert {r.subkey for r in found} == {"City Hotel", "Resort Hotel"}
+    with pytest.raises(ValueError, match="lack the columns"):
+        workflow.build(spark, str(tmp_path / "b.csv"), str(tmp_path / "out"))
+
+
+def test_answers_with_times(spark):
+    described = spark.createDataFrame(
+        [("1", "yes", True, None, None), ("2", "no", True, None, None)],
+        "question_id string, raw_answer string, has_relevant_info boolean, graph string, graph_description string",
+    )
+    log = spark.createDataFrame([("1", "2024-01-01 00:00:00", "2024-01-01 00:00:01.5")], "question_id string, started_at string, ended_at string")
+    out = {r.question_id: r for r in workflow.answers(described, log).collect()}
+    assert out["1"].answer == "yes\n\n(Response time: 1.50 seconds)" and out["1"].response_time == 1.5
+    assert out["2"].answer == "no" and out["2"].response_time is None
+    assert list(out["1"].asDict()) == [f.name for f in schema.ANSWERS]
+
+
 def test_chart_series(clean):
     rows = H.chart_series(I.booking_rollup(clean).cache()).collect()
     series = {}
