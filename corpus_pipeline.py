@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roomledger.llm import decontamination, language, secret_scan, sentencepiece_fst, simhash
-from roomledger.llm.common import table
+from roomledger.llm.common import table, text_digest
 from roomledger.llm.queries import TOKENIZER
 from roomledger.session import materialize, scratch_path
 
@@ -21,15 +21,14 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id; of repeated ids one row."""
-    marked = materialize(simhash.near_copies(docs).where("component_rows > 1"))
-    going = marked.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select("doc_id").distinct()
-    repeated = materialize(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
-    same = lambda side: F.col("doc_id").eqNullSafe(side["__id"])
-    going, repeated = going.withColumnRenamed("doc_id", "__id"), repeated.withColumnRenamed("doc_id", "__id")
-    kept = docs.join(going, same(going), "left_anti")
-    single = kept.join(repeated, same(repeated), "left_anti")
-    return single.unionByName(kept.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id"]))
+    """Of each group of near copies the row with the smallest id (then text digest). Only copies go, whatever their id."""
+    marked = materialize(simhash.copied_rows(docs).withColumnsRenamed({"doc_id": "__id", "digest": "__of"}))
+    keyed = docs.withColumn("__digest", text_digest())
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__of"))
+    kept = keyed.join(marked.where("not first"), same, "left_anti")
+    repeated = marked.where("first and n > 1")
+    single = kept.join(repeated, same, "left_anti")
+    return single.unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "__digest"])).drop("__digest")
 
 
 def without_benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,6 +30,11 @@ def plain_words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), WORD_BREAK), "")
 
 
+def text_digest() -> Column:
+    """128 bits of ``text``; with ``doc_id`` the key of a row, as ids may be NULL or repeated. Never NULL."""
+    return F.coalesce(F.unhex(F.md5(F.col("text").cast("string"))), F.lit(b""))
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once a session, so that Python workers can import it there.
 

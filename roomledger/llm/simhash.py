@@ -20,11 +20,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roomledger.llm import bitplanes
-from roomledger.llm.common import ship
+from roomledger.llm.common import ship, text_digest
 from roomledger.llm.links import components
 from roomledger.session import materialize
 
@@ -67,7 +67,8 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.array([fingerprint(t.as_py()) for t in batch.column("text")], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+        kept = [n for n in batch.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(prints.view(np.int64))], names=[*kept, "fp"])
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
@@ -180,6 +181,15 @@ def links(prints: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) ->
     return keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(compare, "a long, b long").distinct()
 
 
+def _labels(hashed: DataFrame, radius: int, row: Column) -> DataFrame:
+    """``fp, first, component_rows``: of every fingerprint's component the smallest ``row``, and how many there are."""
+    nodes = materialize(hashed.groupBy("fp").agg(F.min(row).alias("first"), F.count("*").alias("n")))
+    roots = components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
+    placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    whole = placed.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("component_rows"))
+    return materialize(placed.drop("first").join(whole, "root").select("fp", "first", "component_rows"))
+
+
 def near_copies(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hex digits), ``component_id`` and ``component_rows`` of every row.
 
@@ -188,10 +198,21 @@ def near_copies(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     and are linked like any other. Other columns of the input are not read.
     """
     hashed = materialize(fingerprints(documents))
-    nodes = materialize(hashed.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
-    roots = components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
-    placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    whole = placed.groupBy("root").agg(F.min("first_id").alias("component_id"), F.sum("n").alias("component_rows"))
-    labels = materialize(placed.join(whole, "root").select("fp", "component_id", "component_rows"))
+    labels = _labels(hashed, radius, F.col("doc_id")).withColumnRenamed("first", "component_id")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return hashed.join(labels, "fp").select("doc_id", digits.alias("fingerprint"), "component_id", "component_rows")
+
+
+def copied_rows(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``doc_id``, ``digest``, ``n``, ``first`` for each distinct row in a component of several rows.
+
+    A row is known by ``doc_id`` and ``digest``, and stands ``n`` times. One of each component is ``first``: that of
+    the smallest ``doc_id`` (NULL comes last), then of the smallest digest. Rows without copies are left out.
+    """
+    ship(documents.sparkSession)
+    read = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_digest().alias("digest"))
+    hashed = materialize(read.mapInArrow(_hashed, "doc_id long, digest binary, fp long"))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("digest"))
+    several = _labels(hashed, radius, row).where("component_rows > 1").withColumn("row", F.col("first")).drop("first")
+    joined = hashed.join(several, "fp").select("doc_id", "digest", (row == F.col("row")).alias("first"))
+    return joined.groupBy("doc_id", "digest", "first").agg(F.count("*").alias("n")).select("doc_id", "digest", "n", "first")

@@ -84,3 +84,12 @@ def test_whole_pipeline(spark):
     documents = spark.read.parquet(f"{FOLDER}/documents.parquet")
     out = corpus_pipeline.run(spark, FOLDER).collect()
     assert 0 < len(out) < documents.count() and len({r.doc_id for r in out}) == len(out)
+
+
+def test_only_copies_go_where_ids_are_null_or_repeated(spark):
+    other = "Twelve small boats left the harbour before the storm came over the hills that evening"
+    third = "A cook in the old kitchen peels potatoes and onions while the soup boils on the stove"
+    fox, copy, weather, no_id = ROWS[0][1], ROWS[2][1], ROWS[3][1], ROWS[8][1]
+    rows = [(1, fox), (None, copy), (None, no_id), (None, other), (None, other), (5, third), (5, weather), (5, weather), (5, copy), (None, None)]
+    kept = sorted(((r.doc_id, r.text) for r in stage(spark, 1, rows, None)), key=repr)
+    assert kept == sorted([(1, fox), (None, no_id), (None, other), (5, third), (5, weather), (None, None)], key=repr)
