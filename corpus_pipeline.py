@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roomledger.llm import decontamination, language, secret_scan, sentencepiece_fst, simhash
-from roomledger.llm.common import table, text_digest
+from roomledger.llm.common import sent_if_small, table, text_digest
 from roomledger.llm.queries import TOKENIZER
 from roomledger.session import materialize, scratch_path
 
@@ -32,9 +32,10 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def without_benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
-    leaks = materialize(decontamination.contained_items(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """Rows that contain no benchmark item; each row is searched by itself, with an id or without."""
+    leaks = materialize(decontamination.contaminated_texts(docs, table(spark, sf_dir, "benchmark")).withColumnRenamed("digest", "__leak"))
+    keyed = docs.withColumn("__digest", text_digest())
+    return keyed.join(sent_if_small(leaks, leaks.count()), F.col("__digest") == F.col("__leak"), "left_anti").drop("__digest")
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roomledger.llm.common import plain_words, sent_if_small
+from roomledger.llm.common import plain_words, sent_if_small, text_digest
 from roomledger.session import materialize
 
 SHINGLE_WORDS = 5
@@ -70,24 +70,35 @@ def contained_items(documents: DataFrame, items: DataFrame, threshold: float = T
     with the same ``item_id``. Rows with a NULL id or text, and texts of fewer than ``n`` words, have no shingles
     and no match. Case and punctuation don't count. Other columns of the inputs are not read.
     """
+    texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
+    return _matches(texts, "doc_id", items, threshold, n)
+
+
+def contaminated_texts(documents: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE_WORDS) -> DataFrame:
+    """``digest`` (see ``text_digest``) of each text that contains an item, whatever its ``doc_id``: each row by itself."""
+    texts = documents.select(text_digest().alias("digest"), F.col("text").cast("string")).where("text is not null")
+    return _matches(texts, "digest", items, threshold, n).select("digest").distinct()
+
+
+def _matches(texts: DataFrame, key: str, items: DataFrame, threshold: float, n: int) -> DataFrame:
+    """Matches of ``texts``: ``key``, ``text``, without NULL. Rows with the same key count as one document."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be over 0 and at most 1")
-    texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
     shingles = materialize(item_shingles(items, n))
     sought = materialize(signatures(shingles, threshold))
     n_shingles, n_sought = shingles.count(), sought.count()
 
-    probes = _positions(texts, n, "doc_id").select("doc_id", "size", _hash(n).alias("h"))
+    probes = _positions(texts, n, key).select(key, "size", _hash(n).alias("h"))
     hits = probes.join(sent_if_small(sought, n_sought), "h").where("size >= least")
-    candidates = materialize(hits.select("doc_id", "item_id").distinct())
+    candidates = materialize(hits.select(key, "item_id").distinct())
 
-    suspects = candidates.select("doc_id").distinct()
-    read_again = texts.join(sent_if_small(suspects, candidates.count()), "doc_id", "left_semi")
-    found = _positions(read_again, n, "doc_id").select("doc_id", _shingle(n).alias("shingle"))
+    suspects = candidates.select(key).distinct()
+    read_again = texts.join(sent_if_small(suspects, candidates.count()), key, "left_semi")
+    found = _positions(read_again, n, key).select(key, _shingle(n).alias("shingle"))
     exact = found.join(sent_if_small(shingles.select("item_id", "shingle", "item_shingles"), n_shingles), "shingle").distinct()
-    counted = exact.groupBy("doc_id", "item_id", "item_shingles").agg(F.count("*").cast("int").alias("shared"))
-    matches = counted.where(F.col("shared") >= _needed(F.col("item_shingles"), threshold)).join(candidates, ["doc_id", "item_id"], "left_semi")
-    return matches.select("doc_id", "item_id", "shared", "item_shingles", (F.col("shared") / F.col("item_shingles")).alias("containment"))
+    counted = exact.groupBy(key, "item_id", "item_shingles").agg(F.count("*").cast("int").alias("shared"))
+    matches = counted.where(F.col("shared") >= _needed(F.col("item_shingles"), threshold)).join(candidates, [key, "item_id"], "left_semi")
+    return matches.select(key, "item_id", "shared", "item_shingles", (F.col("shared") / F.col("item_shingles")).alias("containment"))
 
 
 def _sql(threshold: float = THRESHOLD, n: int = SHINGLE_WORDS) -> str:

@@ -93,3 +93,13 @@ def test_only_copies_go_where_ids_are_null_or_repeated(spark):
     rows = [(1, fox), (None, copy), (None, no_id), (None, other), (None, other), (5, third), (5, weather), (5, weather), (5, copy), (None, None)]
     kept = sorted(((r.doc_id, r.text) for r in stage(spark, 1, rows, None)), key=repr)
     assert kept == sorted([(1, fox), (None, no_id), (None, other), (5, third), (5, weather), (None, None)], key=repr)
+
+
+def test_items_are_searched_by_row_where_ids_are_null_or_repeated(spark, tmp_path):
+    item = "one two three four five six seven eight nine ten"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    leak, clean = f"before {item} after", "a text of its own with more than five words"
+    pieces = ["one two three four five six seven", "four five six seven eight nine ten"]
+    rows = [(None, leak), (None, clean), (None, None), (7, leak), (7, clean), (7, clean), (8, pieces[0]), (8, pieces[1])]
+    kept = sorted(((r.doc_id, r.text) for r in stage(spark, 2, rows, str(tmp_path))), key=repr)
+    assert kept == sorted((r for r in rows if r[1] != leak), key=repr)
