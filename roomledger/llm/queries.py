@@ -5,7 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roomledger.llm import boilerplate, decontamination, language, secret_scan, sentencepiece_fst, sharding, simhash, tool_calls, topk, toxicity
+from roomledger.llm import (
+    boilerplate,
+    centroids,
+    decontamination,
+    divergence,
+    language,
+    secret_scan,
+    sentencepiece_fst,
+    sharding,
+    simhash,
+    tool_calls,
+    topk,
+    toxicity,
+)
 from roomledger.llm.common import table
 
 SHARDS = tuple(f"shard-{i:03d}" for i in range(256))
@@ -61,6 +74,14 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.rated(documents, toxicity.train(documents, labels, evidence_grades=3)).drop("text")
 
 
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"))
+
+
+def op13_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.with_inertia(*centroids.clusters(table(spark, folder, "embeddings")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -74,6 +95,8 @@ QUERIES = {
         op8_secret_scan,
         op9_html_extraction,
         op10_toxicity,
+        op12_source_divergence,
+        op13_centroid_clustering,
     )
 }
 
@@ -81,4 +104,6 @@ ORACLE_SQL = {
     "op2_exact_top_k": topk.ORACLE,
     "op3_benchmark_decontamination": decontamination.ORACLE,
     "op7_tool_call_linking": tool_calls.ORACLE,
+    "op12_source_divergence": divergence.ORACLE,
+    "op13_centroid_clustering": centroids.ORACLE,
 }
