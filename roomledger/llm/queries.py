@@ -11,6 +11,7 @@ from roomledger.llm import (
     decontamination,
     divergence,
     language,
+    licenses,
     secret_scan,
     sentencepiece_fst,
     sharding,
@@ -74,6 +75,12 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.rated(documents, toxicity.train(documents, labels, evidence_grades=3)).drop("text")
 
 
+def op11_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    columns = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    return licenses.labelled(licenses.scan(documents)).select(*columns)
+
+
 def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.audit(table(spark, folder, "documents"))
 
@@ -95,6 +102,7 @@ QUERIES = {
         op8_secret_scan,
         op9_html_extraction,
         op10_toxicity,
+        op11_license_scan,
         op12_source_divergence,
         op13_centroid_clustering,
     )
@@ -104,6 +112,7 @@ ORACLE_SQL = {
     "op2_exact_top_k": topk.ORACLE,
     "op3_benchmark_decontamination": decontamination.ORACLE,
     "op7_tool_call_linking": tool_calls.ORACLE,
+    "op11_license_scan": licenses.ORACLE,
     "op12_source_divergence": divergence.ORACLE,
     "op13_centroid_clustering": centroids.ORACLE,
 }
