@@ -59,7 +59,8 @@ def first_centroids(vectors: DataFrame, centroids: int = CENTROIDS, seed: int =
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), -1)
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return values.reshape(len(column), -1 if len(column) else 0)
 
 
 class SortedLists:
