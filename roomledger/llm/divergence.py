@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from roomledger.llm.common import sent_if_small, ship
-from roomledger.session import materialize
+from roomledger.session import materialize, scratch_path
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A term, in a text whose A-Z are lower-cased, and what separates chunks.
@@ -37,6 +37,13 @@ SLICE_BYTES = 16 << 20
 BROADCAST_BYTES = 32 << 20
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """A table of texts, written to the shared folder as Parquet (a checkpoint keeps rows uncompressed)."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _plain(documents: DataFrame) -> DataFrame:
     return documents.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
 
@@ -98,25 +105,26 @@ def dictionary(counts: DataFrame) -> DataFrame:
     return counts.select("chunk").distinct().select("chunk", terms_of(F.col("chunk")).alias("terms"))
 
 
-def term_counts(counts: DataFrame) -> DataFrame:
+def term_counts(counts: DataFrame, words: DataFrame) -> DataFrame:
     """``lang, source, term, occurrences, fewest, most``; the last two bound the documents that hold the term.
 
-    A document with two chunks of a term counts twice in ``most``, and at most once in ``fewest``.
+    A document with two chunks of a term counts twice in ``most``, and at most once in ``fewest``. ``words`` is the
+    counts' :func:`dictionary`; a chunk stands there once, so no key is hot in the hashed side of the join.
     """
-    joined = counts.join(dictionary(counts), "chunk").select("lang", "source", "docs", "occurrences", F.explode("terms").alias("term"))
+    joined = counts.join(words.hint("shuffle_hash"), "chunk").select("lang", "source", "docs", "occurrences", F.explode("terms").alias("term"))
     return joined.groupBy("lang", "source", "term").agg(
         F.sum("occurrences").alias("occurrences"), F.max("docs").alias("fewest"), F.sum("docs").alias("most")
     )
 
 
-def document_counts(documents: DataFrame, counts: DataFrame, wanted: DataFrame) -> DataFrame:
+def document_counts(documents: DataFrame, words: DataFrame, wanted: DataFrame) -> DataFrame:
     """``lang, term, docs``: the exact number of documents with each of some terms (``lang, term``).
 
     Reads the documents again. Only chunks with a wanted term meet them: sent to every executor if they were
     measured to be small, by a shuffle of each document's distinct chunks if not.
     """
-    terms = dictionary(counts).select("chunk", F.explode(F.array_distinct("terms")).alias("term"))
-    chunks = materialize(counts.select("lang", "chunk").distinct().join(terms, "chunk").join(wanted.select("lang", "term"), ["lang", "term"]))
+    terms = words.select("chunk", F.explode(F.array_distinct("terms")).alias("term"))
+    chunks = materialize(terms.join(wanted.select("lang", "term"), "term"))
     size = chunks.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("chunk") + F.octet_length("term") + 64).alias("bytes")).first()
     rows = _plain(documents).withColumn("row", F.monotonically_increasing_id())
     rows = rows.select("row", "lang", F.explode(F.array_distinct(F.split("text", WHITE_SPACE))).alias("chunk"))
@@ -124,7 +132,7 @@ def document_counts(documents: DataFrame, counts: DataFrame, wanted: DataFrame)
     return found.select("lang", "term", "row").distinct().groupBy("lang", "term").agg(F.count(F.lit(1)).alias("docs"))
 
 
-def kept_terms(documents: DataFrame, counts: DataFrame, terms: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
+def kept_terms(documents: DataFrame, words: DataFrame, terms: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """``lang, term, occurrences`` of the terms in at least ``least`` documents of the language.
 
     Where the bounds of :func:`term_counts` don't decide, documents are counted exactly.
@@ -135,7 +143,7 @@ def kept_terms(documents: DataFrame, counts: DataFrame, terms: DataFrame, least:
     decided = bounded.where(F.col("fewest") >= least).drop("fewest", "most")
     if open_terms.isEmpty():
         return decided
-    exact = document_counts(documents, counts, open_terms).where(F.col("docs") >= least)
+    exact = document_counts(documents, words, open_terms).where(F.col("docs") >= least)
     return decided.unionByName(open_terms.join(exact, ["lang", "term"], "left_semi").drop("fewest", "most"))
 
 
@@ -159,10 +167,11 @@ def audit(documents: DataFrame, least: int = LEAST_DOCUMENTS, terms_shown: int =
     terms and corrected where a term occurs, and only occurrences are joined: a term meets itself in the sources
     that hold it, and a source's terms are combined by share before they meet the other sources.
     """
-    counts = materialize(chunk_counts(documents))
-    terms = materialize(term_counts(counts))
-    kept = materialize(kept_terms(documents, counts, terms, least))
-    held = materialize(terms.join(kept.select("lang", "term"), ["lang", "term"]).select("lang", "source", "term", F.col("occurrences").alias("n")))
+    counts = _stored(chunk_counts(documents), "chunk-counts")
+    words = _stored(dictionary(counts), "chunks")
+    terms = _stored(term_counts(counts, words), "term-counts")
+    kept = _stored(kept_terms(documents, words, terms, least), "kept-terms")
+    held = _stored(terms.join(kept.select("lang", "term"), ["lang", "term"]).select("lang", "source", "term", F.col("occurrences").alias("n")), "held-terms")
 
     languages = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("occurrences").alias("lang_total"))
     totals = held.groupBy("lang", "source").agg(F.sum("n").alias("total"))
@@ -174,7 +183,7 @@ def audit(documents: DataFrame, least: int = LEAST_DOCUMENTS, terms_shown: int =
     groups = materialize(groups.withColumn("absent", share(zero, F.col("total"), F.col("kept"))))
     small = sent_if_small(groups, groups.count())
 
-    used = materialize(held.join(small, ["lang", "source"]).select("lang", "source", "term", share(F.col("n"), F.col("total"), F.col("kept")).alias("p"), "absent", "lang_total", "kept"))
+    used = _stored(held.join(small, ["lang", "source"]).select("lang", "source", "term", share(F.col("n"), F.col("total"), F.col("kept")).alias("p"), "absent", "lang_total", "kept"), "term-shares")
     parts = _pairs(small, used).unionByName(_over_used(used, kept, terms_shown))
     return parts.select("lang", "source", "part", "item", "value", "rank")
 

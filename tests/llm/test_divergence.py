@@ -65,10 +65,11 @@ def test_documents_with_several_chunks_of_a_term_count_once(spark):
     data = [("en", "s", "foo foo, foo; foo."), ("en", "t", "foo, Foo (foo)"), ("en", "t", "bar"), ("en", "u", "bar, bar")]
     docs = table(spark, data)
     counts = D.chunk_counts(docs)
-    terms = D.term_counts(counts)
-    assert {(r.lang, r.term, r.occurrences) for r in D.kept_terms(docs, counts, terms, 2).collect()} == {("en", "foo", 7), ("en", "bar", 3)}
-    assert {r.term for r in D.kept_terms(docs, counts, terms, 3).collect()} == set()
-    exact = D.document_counts(docs, counts, terms.select("lang", "term").distinct())
+    words = D.dictionary(counts)
+    terms = D.term_counts(counts, words)
+    assert {(r.lang, r.term, r.occurrences) for r in D.kept_terms(docs, words, terms, 2).collect()} == {("en", "foo", 7), ("en", "bar", 3)}
+    assert {r.term for r in D.kept_terms(docs, words, terms, 3).collect()} == set()
+    exact = D.document_counts(docs, words, terms.select("lang", "term").distinct())
     assert {(r.term, r.docs) for r in exact.collect()} == {("foo", 2), ("bar", 2)}
 
 
