@@ -1,7 +1,8 @@
 """Source divergence audit: how differently the sources of a language use its terms.
 
 Chunk factorization: a term never crosses ASCII white space, so documents are counted as white-space chunks
-first, every globally distinct chunk is cut into terms once, and the terms are joined back to the counts.
+first, every globally distinct chunk is cut into terms once, and the terms are joined back to the counts. A chunk is
+counted in lower case and without the characters at its ends that no term holds, so ``Word,`` and ``word`` are one.
 Terms: runs of ASCII letters and of characters beyond ASCII, only A-Z lower-cased.
 
 Documents without text count as empty ones, without language or source as ``''``; a repeated row counts as
@@ -27,6 +28,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A term, in a text whose A-Z are lower-cased, and what separates chunks.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 WHITE_SPACE = r"[\x09-\x0D\x20]+"
+NOT_IN_TERMS = "".join(chr(c) for c in range(128) if not chr(c).isalpha())
 
 #: Documents of a language that a term must stand in, ranks shown of each group's terms, and the scale of shares.
 LEAST_DOCUMENTS = 10
@@ -66,8 +68,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part, start = batch.slice(start, end - start), end
             lists = pc.ascii_split_whitespace(part["text"])
             lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
-            chunks = lists.flatten().dictionary_encode()
-            codes, names = chunks.indices.to_numpy(zero_copy_only=False).astype(np.int64), chunks.dictionary
+            raw = lists.flatten().dictionary_encode()
+            chunks = pc.ascii_trim(pc.ascii_lower(raw.dictionary), NOT_IN_TERMS).dictionary_encode()
+            codes = chunks.indices.to_numpy(zero_copy_only=False).astype(np.int64)[raw.indices.to_numpy(zero_copy_only=False)]
+            names = chunks.dictionary
             lang, source = part["lang"].dictionary_encode(), part["source"].dictionary_encode()
             group = lang.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(source.dictionary) + source.indices.to_numpy(zero_copy_only=False)
             width = len(names)
@@ -96,8 +100,8 @@ def chunk_counts(documents: DataFrame) -> DataFrame:
 
 
 def terms_of(chunk: Column) -> Column:
-    """The terms of a chunk in their order, repeats included."""
-    return F.regexp_extract_all(F.translate(chunk, UPPER, LOWER), F.lit(f"({TERM})"), F.lit(1))
+    """The terms of a chunk (in lower case) in their order, repeats included."""
+    return F.regexp_extract_all(chunk, F.lit(f"({TERM})"), F.lit(1))
 
 
 def dictionary(counts: DataFrame) -> DataFrame:
@@ -127,7 +131,9 @@ def document_counts(documents: DataFrame, words: DataFrame, wanted: DataFrame) -
     chunks = materialize(terms.join(wanted.select("lang", "term"), "term"))
     size = chunks.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("chunk") + F.octet_length("term") + 64).alias("bytes")).first()
     rows = _plain(documents).withColumn("row", F.monotonically_increasing_id())
-    rows = rows.select("row", "lang", F.explode(F.array_distinct(F.split("text", WHITE_SPACE))).alias("chunk"))
+    split = F.split(F.translate("text", UPPER, LOWER), WHITE_SPACE)
+    own = F.array_distinct(F.transform(split, lambda c: F.btrim(c, F.lit(NOT_IN_TERMS))))
+    rows = rows.select("row", "lang", F.explode(own).alias("chunk"))
     found = rows.join(F.broadcast(chunks) if (size["bytes"] or 0) <= BROADCAST_BYTES else chunks, ["lang", "chunk"])
     return found.select("lang", "term", "row").distinct().groupBy("lang", "term").agg(F.count(F.lit(1)).alias("docs"))
 
