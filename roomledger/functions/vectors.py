@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CELLS_AT_ONCE = 1 << 22
+# Components of a distance that are worked out between two comparisons with the bound, and how many pairs of a
+# matrix cost as much as one pair by itself.
+COMPONENTS_AT_ONCE = 16
+PAIRS_WORTH = 16
 DEFAULT_DIMENSION = 256
 
 Embedder = Callable[[Column], Column]
@@ -45,8 +49,11 @@ def _squares(vectors: np.ndarray) -> np.ndarray:
 def rough_distances(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Squared L2 distances by the product form, and how far off those of a left row can be (one column)."""
     left_sq, right_sq = _squares(left)[:, None], _squares(right)[None, :]
-    margin = 8.0 * (left.shape[1] + 4) * np.finfo(np.float64).eps * (left_sq + right_sq.max(initial=0.0))
-    return left_sq + right_sq - 2.0 * (left @ right.T), margin
+    return left_sq + right_sq - 2.0 * (left @ right.T), rough_margin(left, right)
+
+
+def rough_margin(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return 8.0 * (left.shape[1] + 4) * np.finfo(np.float64).eps * (_squares(left)[:, None] + _squares(right).max(initial=0.0))
 
 
 def exact_distances(left: np.ndarray, right: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
@@ -89,6 +96,53 @@ def nearest(left: np.ndarray, right: np.ndarray, k: int) -> tuple[np.ndarray, np
     return tuple(np.concatenate(part) for part in zip(*found))
 
 
+def nearest_within(left: np.ndarray, right: np.ndarray, k: int, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As :func:`nearest`, but only right rows at most ``bounds`` (squared, one for each left row) away.
+
+    Distances grow with every component, so they are worked out for ``COMPONENTS_AT_ONCE`` components at a time and
+    work on a pair ends when its part of the distance exceeds the bound. Left rows without a bound take all pairs.
+    """
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    open_rows = np.flatnonzero(~np.isfinite(bounds))
+    if len(open_rows):
+        rows, cols, values = nearest(left[open_rows], right, k)
+        found.append((open_rows[rows], cols, values))
+    closed, step = np.flatnonzero(np.isfinite(bounds)), max(1, CELLS_AT_ONCE // max(1, len(right)))
+    for start in range(0, len(closed) if len(right) else 0, step):
+        own = closed[start : start + step]
+        rows, cols, values = _within(left[own], right, bounds[own])
+        order = np.lexsort((cols, values, rows))
+        rows, cols, values = rows[order], cols[order], values[order]
+        keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+        found.append((own[rows[keep]], cols[keep], values[keep]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    rows, cols, values = (np.concatenate(part) for part in zip(*found))
+    order = np.argsort(rows, kind="stable")
+    return rows[order], cols[order], values[order]
+
+
+def _within(left: np.ndarray, right: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs at most the bound of their left row apart, with exact distances."""
+    limit = bounds[:, None] + 2.0 * rough_margin(left, right)
+    rows, cols = np.arange(len(left)), np.arange(len(right))
+    total = np.zeros((len(left), len(right)))
+    for start in range(0, left.shape[1], COMPONENTS_AT_ONCE):
+        part = slice(start, start + COMPONENTS_AT_ONCE)
+        total += rough_distances(left[rows, part], right[cols, part])[0]
+        alive = total <= limit[rows]
+        if alive.sum() * PAIRS_WORTH <= alive.size:  # few enough to go on pair by pair
+            break
+        keep_rows, keep_cols = alive.any(axis=1), alive.any(axis=0)
+        if not (keep_rows.all() and keep_cols.all()):
+            total, rows, cols = total[np.ix_(keep_rows, keep_cols)], rows[keep_rows], cols[keep_cols]
+    at = np.nonzero(total <= limit[rows])
+    rows, cols = rows[at[0]], cols[at[1]]
+    values = exact_distances(left, right, rows, cols)
+    near = values <= bounds[rows]
+    return rows[near], cols[near], values[near]
+
+
 def visited_cells(
     questions: np.ndarray, centres: np.ndarray, radii: np.ndarray, counts: np.ndarray, k: int
 ) -> np.ndarray:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,7 @@ def nearest_documents(
     of a lazily embedded table twice. ``documents`` is read more than once, so pass a stored table.
 
     If the documents fit ``broadcast_bytes``, every task compares its questions with all of them
-    and nothing is shuffled. Otherwise the documents stream past the questions, see
+    and nothing is shuffled. Otherwise questions stream past pages of documents, see
     :func:`nearest_by_stream`. :func:`nearest_by_cells` suits vectors with few dimensions.
     """
     if _bytes(documents, "doc_id") <= broadcast_bytes:
@@ -65,43 +67,74 @@ def _best(candidates: DataFrame, k: int) -> DataFrame:
 
 
 def nearest_by_stream(
-    questions: DataFrame, documents: DataFrame, k: int = schema.NEIGHBOURS, question_bytes: int = BROADCAST_BYTES
+    questions: DataFrame, documents: DataFrame, k: int = schema.NEIGHBOURS, page_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
-    """The same result for any number of documents: they stream past the questions and are never shuffled.
+    """The same result for any number of questions and documents, which meet as pages of rows in tasks.
 
-    Questions are stored, cut by the hash of their key into parts of about ``question_bytes``, and sent to
-    every executor one part at a time. A task keeps the k nearest of each question among the documents it
-    has seen, so questions * k * tasks rows are shuffled for each part.
+    Documents are cut by the hash of their key into pages of about ``page_bytes``. A task holds one page and the
+    questions stream past it, so only questions are repeated (once a page). First every question meets one page;
+    its k-th distance there bounds its neighbours, travels with the question, and ends work on farther documents
+    after a part of their components, see :func:`~roomledger.functions.vectors.nearest_within`. Beyond the bound
+    nothing is returned, so little more than k rows a question are shuffled back.
+
+    Nothing but a sum of sizes reaches the driver, and the plan is the same for any number of pages.
     """
     asked = materialize(questions.select("question_id", "embedding").where(F.col("embedding").isNotNull()))
-    parts = max(1, -(-_bytes(asked, "question_id") // max(1, question_bytes)))
-    candidates = None
-    for part in range(parts):
-        own = asked.where(F.pmod(F.xxhash64("question_id"), F.lit(parts)) == part).toArrow().combine_chunks()
-        shared = asked.sparkSession.sparkContext.broadcast((own["question_id"].combine_chunks(), V.matrix(own["embedding"])))
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, vectors = shared.value
-            best = None
-            for batch in map(V.present, batches):
-                if not batch.num_rows or not len(ids):
+    stored = documents.select("doc_id", "embedding")
+    pages = max(1, -(-_bytes(stored, "doc_id") // max(1, page_bytes)))
+    strips = max(1, -(-_bytes(asked, "question_id") // max(1, page_bytes)))
+    paged = stored.withColumn("page", F.pmod(F.xxhash64("doc_id"), F.lit(pages)).cast("int"))
+    unbounded = asked.withColumn("bound", F.lit(float("inf")))
+
+    # The first page meets the questions in strips of about a page each.
+    strip = F.pmod(F.xxhash64("question_id"), F.lit(strips)).cast("int")
+    first_page = paged.where("page = 0").withColumn("page", F.explode(F.sequence(F.lit(0), F.lit(strips - 1))))
+    near = materialize(_met(first_page, unbounded.withColumn("page", strip), strips, k))
+    if pages == 1:
+        return _best(near, k)
+    bounds = near.where(F.col("rank") == k).select("question_id", F.col("distance").alias("found_bound"))
+    bounded = unbounded.join(bounds, "question_id", "left").withColumn("bound", F.coalesce("found_bound", "bound"))
+    visits = bounded.drop("found_bound").withColumn("page", F.explode(F.sequence(F.lit(1), F.lit(pages - 1))))
+    return _best(near.unionByName(_met(paged.where("page > 0"), visits, pages, k)), k)
+
+
+def _met(held: DataFrame, streamed: DataFrame, pages: int, k: int) -> DataFrame:
+    """The k nearest documents within ``bound`` of each question, for each page that the question visits.
+
+    ``held``: ``doc_id, embedding, page``; ``streamed``: ``question_id, embedding, bound, page``. A partition is a
+    page: its documents come first and become one matrix, its questions follow in batches.
+    """
+    result = _result_schema(streamed, held)
+    none = {side: F.lit(None).cast(df.schema[key].dataType) for side, df, key in (("q", streamed, "question_id"), ("d", held, "doc_id"))}
+    no_bound = F.lit(None).cast("double").alias("bound")
+    documents = held.select("page", F.lit(0).alias("side"), none["q"].alias("question_id"), "doc_id", "embedding", no_bound)
+    questions = streamed.select("page", F.lit(1).alias("side"), "question_id", none["d"].alias("doc_id"), "embedding", "bound")
+    # Arrays of floats and of doubles meet as doubles, which keep every value.
+    placed = documents.unionByName(questions).repartitionById(pages, F.col("page")).sortWithinPartitions("page", "side", "doc_id")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, parts, ids, vectors = None, [], None, None
+        for batch in map(V.present, batches):
+            keys = batch["page"].to_numpy() * 2 + batch["side"].to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+            for start, end in zip(cuts, cuts[1:]):
+                if start == end:
                     continue
-                block = batch.sort_by("doc_id")
-                rows, cols, distances = V.nearest(vectors, V.matrix(block["embedding"]), k)
-                new = pa.table({"row": rows, "distance": distances, "doc_id": block["doc_id"].take(pa.array(cols))})
-                if best is not None:
-                    new = pa.concat_tables([best, new]).sort_by([("row", "ascending"), ("distance", "ascending"), ("doc_id", "ascending")])
-                    row = new["row"].to_numpy()
-                    new = new.filter(pa.array(np.arange(len(row)) - np.searchsorted(row, row) < k))
-                best = new.combine_chunks()
-            if best is not None:
-                row = best["row"].to_numpy()
-                found = (row, np.arange(len(row)), best["distance"].to_numpy())
-                yield pa.RecordBatch.from_pydict(V.ranked(ids, best["doc_id"].combine_chunks(), found))
-
-        near = documents.select("doc_id", "embedding").mapInArrow(search, _result_schema(asked, documents))
-        candidates = near if candidates is None else candidates.unionByName(near)
-    return _best(candidates, k)
+                part = batch.slice(start, end - start)
+                own, side = divmod(int(keys[start]), 2)
+                if own != page:
+                    page, parts, ids, vectors = own, [], None, None
+                if side == 0:
+                    parts.append(part.select(["doc_id", "embedding"]))
+                    continue
+                if vectors is None and parts:
+                    table = pa.Table.from_batches(parts).combine_chunks()
+                    ids, vectors, parts = table["doc_id"].combine_chunks(), V.matrix(table["embedding"]), []
+                if vectors is not None:
+                    found = V.nearest_within(V.matrix(part["embedding"]), vectors, k, part["bound"].to_numpy())
+                    yield pa.RecordBatch.from_pydict(V.ranked(part["question_id"], ids, found))
+
+    return placed.mapInArrow(search, result)
 
 
 def _result_schema(questions: DataFrame, documents: DataFrame) -> str:
@@ -237,7 +270,8 @@ def _join_hot(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFram
     """Join on ``key``, which is unique on the right and may be very frequent or NULL on the left.
 
     A key with more than ``HOT_ROWS`` rows is cut into parts by the hash of ``question_id``, and its right row is
-    repeated for each part; the list of such keys has at most one row for ``HOT_ROWS`` rows of the left.
+    repeated for each part; the list of such keys has at most one row for ``HOT_ROWS`` rows of the left, which is read
+    twice.
     """
     counted = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     hot = materialize(counted.where(F.col("n") > HOT_ROWS).select(key, F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("parts")))
@@ -254,13 +288,23 @@ def _join_hot(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFram
     return salted.join(copies, [key, "salt"], how).drop("salt")
 
 
-def with_documents(retrieved: DataFrame, documents: DataFrame) -> DataFrame:
-    """Add text and type of the retrieved documents; images are not read from a stored table.
+def _join_unique(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
+    """Join on ``key``, which is unique on the right, a stored table that is measured first.
 
-    ``retrieved`` is read twice, so pass a stored table.
+    Up to ``BROADCAST_BYTES`` it goes to every executor, and frequent keys of the left don't matter; beyond that see
+    :func:`_join_hot`.
     """
+    texts = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in right.columns]
+    size = right.agg(F.coalesce(F.sum(reduce(operator.add, texts) + 64), F.lit(0)).alias("bytes")).first()["bytes"]
+    if size <= BROADCAST_BYTES:
+        return left.join(F.broadcast(right), key, how)
+    return _join_hot(materialize(left), right, key, how)
+
+
+def with_documents(retrieved: DataFrame, documents: DataFrame) -> DataFrame:
+    """Add text and type of the retrieved documents; images are not read from a stored table."""
     texts = stores.flat_documents(documents).select("doc_id", "page_content", "type")
-    return _join_hot(retrieved, texts, "doc_id", "inner").select(
+    return _join_unique(retrieved, texts, "doc_id", "inner").select(
         "question_id", "rank", "doc_id", "distance", "page_content", "type"
     )
 
@@ -289,8 +333,8 @@ def per_question(questions: DataFrame, retrieved: DataFrame, documents: DataFram
 
     Only the one chart a question shows brings its image along.
     """
-    found = materialize(
-        with_documents(materialize(retrieved), documents)
+    found = (
+        with_documents(retrieved, documents)
         .groupBy("question_id")
         .agg(
             prompt_context().alias("context"),
@@ -308,7 +352,7 @@ def per_question(questions: DataFrame, retrieved: DataFrame, documents: DataFram
         )
     )
     return (
-        _join_hot(questions.join(found, "question_id", "left"), graphs, "graph_doc_id", "left")
+        _join_unique(questions.join(found, "question_id", "left"), graphs, "graph_doc_id", "left")
         .withColumn("has_relevant_info", F.coalesce("has_relevant_info", F.lit(False)))
         .drop("graph_doc_id")
     )

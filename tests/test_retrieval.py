@@ -103,11 +103,44 @@ def test_ranks_do_not_depend_on_the_way(spark):
         assert [r.doc_id for r in way(q, d, 6).orderBy("rank").collect()] == [f"d{i:05}" for i in (1, 2, 3, 4, 5, 0)]
 
 
-def test_documents_are_not_shuffled_past_few_questions(spark):
-    q, d = frames(spark, vectors("random", 6, 1), vectors("random", 40, 2))
-    text = R.nearest_by_stream(q, d, 5)._jdf.queryExecution().executedPlan().toString()
-    assert text.count("Exchange") == 1 and text.index("MapInArrow") > text.index("Exchange")
-    assert "WindowGroupLimit" in text
+def test_fifty_pages_and_a_plan_that_does_not_grow(spark, monkeypatch):
+    documents, questions = vectors("clustered", 400, 1), vectors("clustered", 60, 2)
+    q, d = frames(spark, questions, documents)
+    size, steps = R._bytes(d, "doc_id"), []
+    for pages in (2, 50):
+        out = R.nearest_by_stream(q, d, 5, -(-size // pages))
+        text = out._jdf.queryExecution().executedPlan().toString()
+        steps.append([text.count(step) for step in ("Exchange", "Union", "MapInArrow", "Join", "Scan")])
+        assert "WindowGroupLimit" in text
+        assert found(out) == brute_force(questions, documents, 5)
+    assert steps[0] == steps[1]
+    monkeypatch.setattr(type(d), "toArrow", lambda self: pytest.fail("rows collected"))
+    collect = type(d).collect
+    monkeypatch.setattr(type(d), "collect", lambda self: collect(self) if self.columns == ["bytes"] else pytest.fail("rows collected"))
+    R.nearest_by_stream(q, d, 5, size // 50)
+
+
+def test_questions_and_documents_of_other_float_types(spark):
+    documents, questions = vectors("random", 100, 1), vectors("random", 20, 2)
+    q, d = frames(spark, questions, documents)
+    wide = q.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    assert found(R.nearest_by_stream(wide, d, 5, 2000)) == brute_force(questions, documents, 5)
+
+
+@pytest.mark.parametrize("dims", [1, 16, 17, 70])
+def test_bounded_search_in_one_page(dims):
+    rng = np.random.default_rng(dims)
+    left, right = rng.normal(size=(40, dims)), np.concatenate([rng.normal(size=(300, dims)), np.zeros((30, dims))])
+    _, _, values = V.nearest(left, right, 5)
+    bounds = values.reshape(40, 5)[:, 4].copy()
+    expected = V.nearest(left, right, 5)
+    bounds[::4] = np.inf
+    for got, want in zip(V.nearest_within(left, right, 5, bounds), expected):
+        assert (got == want).all()
+    tight = np.full(40, -1.0)
+    assert all(len(part) == 0 for part in V.nearest_within(left, right, 5, tight))
+    rows, _, distances = V.nearest_within(left, right, 5, bounds * 0.9)
+    assert (distances <= (bounds * 0.9)[rows]).all()
 
 
 def test_vectors_of_different_length_are_refused(spark):
@@ -140,8 +173,10 @@ def documents_frame(spark):
     )
 
 
-def test_a_document_that_all_questions_retrieve(spark, monkeypatch):
+@pytest.mark.parametrize("broadcast_bytes", [R.BROADCAST_BYTES, 0])
+def test_a_document_that_all_questions_retrieve(spark, monkeypatch, broadcast_bytes):
     monkeypatch.setattr(R, "HOT_ROWS", 10)
+    monkeypatch.setattr(R, "BROADCAST_BYTES", broadcast_bytes)
     n = 300
     questions = spark.range(n).selectExpr("concat('q', id) as question_id")
     retrieved = questions.selectExpr("question_id", "explode(array(struct(1 as rank, 'd1' as doc_id, 0.1D as distance), struct(2 as rank, 'g1' as doc_id, 0.2D as distance))) as r")
@@ -157,7 +192,9 @@ def test_the_text_join_reads_no_images(spark, tmp_path):
     assert "page_content:string,type:string" in text and "image_base64" not in text
 
 
-def test_per_question(spark):
+@pytest.mark.parametrize("broadcast_bytes", [R.BROADCAST_BYTES, 0])
+def test_per_question(spark, monkeypatch, broadcast_bytes):
+    monkeypatch.setattr(R, "BROADCAST_BYTES", broadcast_bytes)
     questions = spark.createDataFrame([("q1", 1), ("q2", 2), ("q3", 3), ("q4", 4)], "question_id string, extra int")
     retrieved = spark.createDataFrame(
         [("q1", 2, "d1", 0.2), ("q1", 1, "d2", 0.1), ("q1", 4, "g1", 0.4), ("q1", 3, "g2", 0.3),
