@@ -1,23 +1,37 @@
-"""Exact descriptive statistics of whole-number columns (days, nights) from value counts.
+"""Exact descriptive statistics: of whole-number columns (days, nights) from value counts, of real ones by rounds.
 
-Everything works on a frequency table ``(dimension, days, n)``: one row per distinct value.
+Whole numbers work on a frequency table ``(dimension, days, n)``: one row per distinct value.
 Values are 32-bit integers, so a block of 65,536 neighbouring values bounds both kinds of window
 used here: at most 65,536 rows in a block and at most 65,536 blocks in a dimension.
+
+Real numbers may all be distinct, so they are never grouped by value. A double's bits, with those of negative
+numbers turned, order like the doubles; each round counts the next ``ROUND_BITS`` of them among the values that
+can still be a quartile. A round shuffles and returns at most ``2 ** ROUND_BITS`` rows a wanted rank.
 """
 
 from __future__ import annotations
 
+import math
+import sys
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from roomledger import schema
 from roomledger.functions.columns import exact_mean, whole_number
-from roomledger.session import literal_table, materialize
+from roomledger.session import literal_table, materialize, stored
+
+# Tasks get the Arrow function by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_VALUES = 65_536
+ROUND_BITS = 12
 QUARTILES = {"25%": 0.25, "50%": 0.5, "75%": 0.75}
 
 
@@ -117,12 +131,75 @@ def describe(counts: DataFrame, dimensions: Sequence[str]) -> DataFrame:
 def describe_column(df: DataFrame, column: str) -> DataFrame:
     """Count, mean, sample deviation, minimum, quartiles and maximum of one integer column.
 
-    The table is read once; the frequency table is written, as later steps read it twice.
+    The table is read once; the frequency table is written, as later steps read it twice. Real numbers (also
+    decimals, as doubles): see :func:`describe_real`.
     """
+    if _is_real(df, column):
+        return describe_real(df, column)
     counts = materialize(value_counts(df, column))
     return describe(counts, [column]).select("subkey", "value")
 
 
+def _is_real(df: DataFrame, column: str) -> bool:
+    kind = df.select(column).schema[0].dataType
+    return isinstance(kind, (T.FloatType, T.DoubleType)) or (isinstance(kind, T.DecimalType) and kind.scale > 0)
+
+
+def real_values(df: DataFrame, column: str) -> DataFrame:
+    """``value``: a column as doubles, without missing values and NaN."""
+    value = F.col(column).cast("double")
+    return df.select((value + 0.0).alias("value")).where(F.col("value").isNotNull() & ~F.isnan("value"))
+
+
+@F.arrow_udf(T.LongType())
+def order_key(values: pa.Array) -> pa.Array:
+    """A whole number for each double that orders as the doubles do."""
+    bits = values.to_numpy(zero_copy_only=False).view(np.int64)
+    return pa.array(bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF)))
+
+
+def value_of_key(key: int) -> float:
+    bits = key ^ ((key >> 63) & 0x7FFFFFFFFFFFFFFF)
+    return float(np.array([bits], dtype=np.int64).view(np.float64)[0])
+
+
+def keys_at(keys: DataFrame, ranks: Sequence[int]) -> dict[int, int]:
+    """The ``key`` at each of some ranks (from 0) in ascending order; ``keys`` is read once a round."""
+    shift, inside = 64, {rank: (0, rank) for rank in ranks}  # rank -> bits known so far, rank among the keys with them
+    while shift and inside:
+        known, shift = shift, max(0, shift - ROUND_BITS)
+        wanted = keys if known == 64 else keys.where(F.shiftright("key", known).isin(sorted({bits for bits, _ in inside.values()})))
+        counted = wanted.groupBy(F.shiftright("key", shift).alias("bits")).agg(F.count(F.lit(1)).alias("n")).collect()
+        counts = sorted((row["bits"], row["n"]) for row in counted)
+        for rank, (bits, left) in inside.items():
+            for next_bits, n in counts:
+                if known < 64 and next_bits >> (known - shift) != bits:
+                    continue
+                if left < n:
+                    inside[rank] = (next_bits, left)
+                    break
+                left -= n
+    return {rank: bits for rank, (bits, _) in inside.items()}
+
+
+def describe_real(df: DataFrame, column: str) -> DataFrame:
+    """As :func:`describe_column` for any number; quartiles are exact, without a sort or a table of all values."""
+    keys = stored(real_values(df, column).select("value", order_key("value").alias("key")), "order-keys")
+    value = F.col("value")
+    row = keys.agg(
+        F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max")
+    ).first()
+    n, stats = row["count"], {k: None if row[k] is None else float(row[k]) for k in row.asDict()}
+    if n:
+        places = {label: (n - 1) * fraction for label, fraction in QUARTILES.items()}
+        found = keys_at(keys.select("key"), sorted({f(p) for p in places.values() for f in (math.floor, math.ceil)}))
+        for label, place in places.items():
+            low, high = value_of_key(found[math.floor(place)]), value_of_key(found[math.ceil(place)])
+            stats[label] = low if low == high else low + (high - low) * (place - math.floor(place))
+    labels = list(schema.DESCRIBE_LABELS)
+    return literal_table(df.sparkSession, subkey=labels, value=pa.array([stats.get(s) for s in labels], pa.float64()))
+
+
 def histogram(counts: DataFrame, bins: int = schema.HISTOGRAM_BINS) -> DataFrame:
     """Equal-width bins over [min, max], closed on the left, the last on both sides.
 
@@ -158,5 +235,36 @@ def histogram(counts: DataFrame, bins: int = schema.HISTOGRAM_BINS) -> DataFrame
     )
 
 
+def real_histogram(df: DataFrame, column: str, bins: int = schema.HISTOGRAM_BINS) -> DataFrame:
+    """As :func:`histogram` for any number: edges in doubles, and each value in the bin whose edges hold it.
+
+    A bin's number comes from a division, which may be off by one at an edge; it is then corrected by comparing
+    the value with the edges themselves. Infinite values have no bins (ValueError).
+    """
+    values = real_values(df, column)
+    row = values.agg(F.min("value").alias("low"), F.max("value").alias("high")).first()
+    low, high = row["low"], row["high"]
+    if low is None:
+        edges = [None] * (bins + 1)
+        number = F.lit(None).cast("int")
+    else:
+        if not math.isfinite(high - low):
+            raise ValueError(f"{column} holds values too far apart for bins: {low} and {high}")
+        if low == high:
+            low, high = low - 0.5, high + 0.5
+        edges = [*(i * ((high - low) / bins) + low for i in range(bins)), high]
+        at = F.least(F.floor((F.col("value") - low) / (high - low) * bins).cast("int"), F.lit(bins - 1))
+        bounds = F.lit(edges)
+        at = F.when(F.col("value") < F.get(bounds, at), at - 1).otherwise(at)
+        number = F.when((F.col("value") >= F.get(bounds, at + 1)) & (at < bins - 1), at + 1).otherwise(at)
+    counted = values.groupBy(number.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    table = literal_table(
+        df.sparkSession, bin=pa.array(range(bins), pa.int32()), bin_start=pa.array(edges[:-1], pa.float64()), bin_end=pa.array(edges[1:], pa.float64())
+    )
+    return table.join(counted, "bin", "left").select("bin", "bin_start", "bin_end", F.coalesce("n", F.lit(0)).alias("count"))
+
+
 def histogram_of_column(df: DataFrame, column: str, bins: int = schema.HISTOGRAM_BINS) -> DataFrame:
+    if _is_real(df, column):
+        return real_histogram(df, column, bins)
     return histogram(materialize(value_counts(df, column)), bins)
