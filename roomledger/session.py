@@ -61,6 +61,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a wide table to the shared folder as Parquet, so that readers take only the columns they need."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def literal_table(spark: SparkSession, **columns: list) -> DataFrame:
     """A few constant rows as a local relation, which Spark can plan by its true size."""
     return spark.createDataFrame(pa.table(columns))

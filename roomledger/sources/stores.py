@@ -1,11 +1,15 @@
-"""Insights as JSON, documents with their vectors as Parquet. Writing twice replaces."""
+"""Insights as JSON, documents with their vectors as Parquet in versions. Writing twice replaces."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from roomledger import schema
+from roomledger.session import literal_table
 
 
 def insights_as_json(insights: DataFrame) -> DataFrame:
@@ -48,9 +52,41 @@ def with_metadata(documents: DataFrame) -> DataFrame:
 
 
 def save_documents(documents: DataFrame, path: str) -> str:
-    flat_documents(documents).write.mode("overwrite").parquet(path)
+    """A new version of the store, whole or not at all.
+
+    Each version is a folder of its own; once it is written, one small row in ``pointers`` names it. A reader sees
+    the version before until then, and for good if the write fails. Older versions stay for readers that still
+    use them; :func:`unused_versions` lists what may be removed.
+    """
+    path = path.rstrip("/")
+    spark, before = documents.sparkSession, _pointers(documents.sparkSession, path)
+    version = f"version-{uuid.uuid4().hex}"
+    flat_documents(documents).write.parquet(f"{path}/{version}")
+    number = 1 + max((p["number"] for p in before or []), default=0)
+    pointer = literal_table(spark, number=[number], version=[version])
+    pointer.coalesce(1).write.mode("append").json(f"{path}/pointers")
     return path
 
 
+def _pointers(spark: SparkSession, path: str) -> list[Row] | None:
+    """All pointers of a store, one small row for each time it was written, the current one last; None without any."""
+    try:
+        rows = spark.read.schema("number long, version string").json(f"{path}/pointers")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return sorted(rows.collect()) or None
+
+
 def load_documents(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The current version of a store, or a plain Parquet folder of documents."""
+    path = path.rstrip("/")
+    pointers = _pointers(spark, path)
+    return spark.read.parquet(path if pointers is None else f"{path}/{pointers[-1]['version']}")
+
+
+def unused_versions(spark: SparkSession, path: str) -> list[str]:
+    """Folders of versions before the current one, oldest first."""
+    path = path.rstrip("/")
+    return [f"{path}/{p['version']}" for p in (_pointers(spark, path) or [])[:-1]]

@@ -1,0 +1,130 @@
+"""CSV files with line breaks in fields, read in splits; types of columns beyond the standard ones."""
+
+from __future__ import annotations
+
+import csv
+import io
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from roomledger import schema
+from roomledger.functions import records as P
+from roomledger.operators import cleaning as C
+from roomledger.sources import csv_bookings, csv_splits
+
+CELLS = ["a", "1", "x y", "", '"', '""', ",", "\n", "\n\n", 'q"q', '5" pipe', "é", 'line\nbreak, and "quotes"\n\n', "z" * 50]
+
+
+def text_of(rows: int, seed: int, breaks: str = "\n") -> str:
+    pick = random.Random(seed)
+    out = io.StringIO()
+    writer = csv.writer(out, lineterminator="\n")
+    writer.writerow(["k", "a", "b"])
+    for i in range(rows):
+        writer.writerow([i, *("".join(pick.choice(CELLS) for _ in range(pick.randint(0, 4))) for _ in "ab")])
+    return out.getvalue().replace("\n", breaks)
+
+
+@pytest.fixture
+def small_splits(spark):
+    settings = {"spark.sql.files.maxPartitionBytes": "700", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("breaks", ["\n", "\r\n"])
+def test_the_rows_of_a_file_read_in_one_task(spark, tmp_path, small_splits, breaks):
+    (tmp_path / "a.csv").write_bytes(text_of(700, 1, breaks).encode())
+    assert csv_splits.lines(spark, str(tmp_path)).rdd.getNumPartitions() > 30
+    whole = spark.read.options(header=True, escape='"', multiLine=True).csv(str(tmp_path))
+    assert rows_of(csv_bookings.read_raw(spark, str(tmp_path), multi_line=True)) == rows_of(whole)
+
+
+def test_several_files_a_long_field_and_no_last_line_end(spark, tmp_path, small_splits):
+    (tmp_path / "a.csv").write_text(text_of(40, 2))
+    (tmp_path / "b.csv").write_text("k,a,b\n\n\n" + 'L,"' + "one line, two\n" * 500 + '",end\n\nM,m,"last\none"')
+    (tmp_path / "c.csv").write_text("k,a,b\n")
+    found = {r.k: r for r in csv_bookings.read_raw(spark, str(tmp_path), multi_line=True).collect()}
+    assert len(found) == 42 and found["L"].a == "one line, two\n" * 500 and found["L"].b == "end" and found["M"].b == "last\none"
+
+
+def test_other_headers_and_field_counts_stop_the_job(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('k,a\n1,"x\ny"\n')
+    (tmp_path / "b.csv").write_text('k,other\n1,"x\ny"\n')
+    with pytest.raises(Exception, match="header of a file differs"):
+        csv_bookings.read_raw(spark, str(tmp_path), multi_line=True).collect()
+    (tmp_path / "b.csv").write_text('k,a\n1,"x\ny",3\n')
+    with pytest.raises(Exception, match="another number of fields"):
+        csv_bookings.read_raw(spark, str(tmp_path), multi_line=True).collect()
+
+
+def test_another_separator_and_odd_names(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('k.1;a b\n1;"x\n,y"\n2;"z;\n"\n')
+    raw = csv_bookings.read_raw(spark, str(tmp_path), multi_line=True, separator=";")
+    assert raw.columns == ["k.1", "a b"] and rows_of(raw) == [("1", "x\n,y"), ("2", "z;\n")]
+
+
+@pytest.mark.parametrize(
+    "line,from_record,from_quote",
+    [
+        ("a,b", False, True), ('a,"b', True, False), ('a,"b"', False, False), ('"', True, False), ('""', False, True), ('"""', True, False),
+        ('5" pipe,x', False, False), ('a,"b""c', True, False), ('x","y', True, True), ('"a"junk"x,"b', True, True), ("", False, True),
+    ],
+)
+def test_a_line_maps_states_to_states(line, from_record, from_quote):
+    assert (P.ends_inside(line, False, ","), P.ends_inside(line, True, ",")) == (from_record, from_quote)
+
+
+def test_prefix_scan_over_splits(spark):
+    keeps, turns, opens, closes = (False, True), (True, False), (True, True), (False, False)
+    maps = [keeps, turns, keeps, turns, turns, closes, turns, opens, keeps, turns, closes, keeps]
+    expected, state = [], False
+    for i, m in enumerate(maps):
+        if state:
+            expected.append(i)
+        state = m[state]
+    rows = spark.createDataFrame([("f", i, *m) for i, m in enumerate(maps)] + [("g", 0, *opens), ("g", 9, *keeps)], P.STATES)
+    assert sorted(map(tuple, csv_splits.states_at_start(rows).collect())) == [("f", i) for i in expected] + [("g", 9)]
+
+
+RAW = [
+    ("1", " 1 ", "1.0", "True", "x", None, "9" * 20, "1", "True", "1"),
+    ("2", "+3", "1e3", "false", "1", None, "1", "1d", None, "-inf"),
+    (None, "4", "5", "TRUE", "1", "NA", "1", "1", "False", ".5"),
+]
+
+
+def test_types_from_values(spark):
+    raw = spark.createDataFrame(RAW, "a string, b string, c string, d string, e string, f string, g string, `h.x` string, i string, j string")
+    kinds = {f.name: f.dataType.simpleString() for f in csv_bookings.inferred_types(raw) if f.name in raw.columns}
+    assert kinds == {
+        "a": "bigint", "b": "bigint", "c": "double", "d": "boolean", "e": "string", "f": "double", "g": "string", "h.x": "string",
+        "i": "string", "j": "double",
+    }
+    typed = csv_bookings.typed_bookings(raw, csv_bookings.inferred_types(raw)).collect()
+    assert [tuple(r)[:4] for r in typed] == [(1, 1, 1.0, True), (2, 3, 1000.0, False), (None, 4, 5.0, True)]
+    assert csv_bookings.inferred_types(raw.where(F.lit(False)))["a"].dataType.simpleString() == "double"
+
+
+def test_the_union_of_files_decides_the_type(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("hotel,points\nx,1\n")
+    (tmp_path / "b.csv").write_text("hotel,points\nx,1.0\ny,2\n")
+    read = csv_bookings.read_bookings(spark, str(tmp_path))
+    assert rows_of(C.drop_copies(read)) == [("x", 1.0), ("y", 2.0)]
+    text = csv_bookings.read_bookings(spark, str(tmp_path), infer=False)
+    assert rows_of(C.drop_copies(text)) == [("x", "1"), ("x", "1.0"), ("y", "2")]
+
+
+def test_given_types_are_kept_and_cost_no_pass(spark):
+    raw = spark.createDataFrame([("1",)], "lead_time string")
+    assert csv_bookings.inferred_types(raw) is schema.BOOKINGS

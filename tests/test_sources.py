@@ -138,6 +138,30 @@ def test_document_store_round_trip(spark, clean, tmp_path):
     assert back.count() == back.select("doc_id").distinct().count()
 
 
+def test_a_failed_write_leaves_the_store_as_it_was(spark, tmp_path):
+    path = str(tmp_path / "store")
+    table = lambda *ids: spark.createDataFrame([(i, "text") for i in ids], "doc_id string, page_content string")
+    ids = lambda: sorted(r.doc_id for r in stores.load_documents(spark, path).collect())
+    broken = table("c", "d").withColumn("page_content", F.when(F.col("doc_id") == "d", F.raise_error(F.lit("lost"))).otherwise("x"))
+    with pytest.raises(Exception, match="lost"):
+        stores.save_documents(broken, path)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|Unable to infer"):
+        ids()
+    stores.save_documents(table("a", "b"), path)
+    reader = stores.load_documents(spark, path)
+    with pytest.raises(Exception, match="lost"):
+        stores.save_documents(broken, path)
+    assert ids() == ["a", "b"]
+    stores.save_documents(table("e"), path)
+    assert ids() == ["e"] and reader.count() == 2  # a reader keeps the version it opened
+    assert len(stores.unused_versions(spark, path)) == 1
+
+
+def test_a_plain_folder_is_a_store(spark, tmp_path):
+    spark.createDataFrame([("a", "x")], "doc_id string, page_content string").write.parquet(str(tmp_path / "plain"))
+    assert stores.load_documents(spark, str(tmp_path / "plain")).count() == 1 and stores.unused_versions(spark, str(tmp_path / "plain")) == []
+
+
 def test_spread_deals_rows_evenly(spark):
     one = spark.range(0, 8000, 1, 1).select(F.lit("same").alias("x"))
     sizes = [r["count"] for r in splits.spread(one).groupBy(F.spark_partition_id()).count().collect()]
