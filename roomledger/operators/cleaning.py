@@ -6,13 +6,22 @@ before copies are removed, and copies are compared after filling.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roomledger import schema
 from roomledger.functions import columns as X
+from roomledger.session import materialize, stored
+
+# Columns that hold a row's digest; the most repeated digests sent to every executor; bits of the map beyond that.
+_DIGEST = ("__digest_a", "__digest_b")
+MOST_DIGESTS = 2_000_000
+BITMAP_BITS = 1 << 29
 
 
 def fill_values(df: DataFrame, mean_columns: Sequence[str] = (), mode_columns: Sequence[str] = ()) -> DataFrame:
@@ -50,7 +59,7 @@ def impute(
     mode_columns: Sequence[str] = schema.MODE_FILLED,
 ) -> DataFrame:
     """Fill NULLs with the column mean or the most frequent value; an all-NULL column stays NULL."""
-    values = fill_values(df, mean_columns, mode_columns)
+    values = materialize(fill_values(df, mean_columns, mode_columns))
     fill = values.select(F.struct(*values.columns)).scalar()
     filled = {c: F.coalesce(F.col(c), F.col("_fill").getField(c)) for c in values.columns}
     return df.withColumn("_fill", fill).withColumns(filled).drop("_fill")
@@ -64,17 +73,93 @@ def impute_mode(df: DataFrame, columns: Sequence[str] = schema.MODE_FILLED) -> D
     return impute(df, (), columns)
 
 
-def drop_copies(df: DataFrame) -> DataFrame:
-    """Keep one of the rows that are equal in all columns.
+def drop_copies(df: DataFrame, most_digests: int = MOST_DIGESTS) -> DataFrame:
+    """Keep one of the rows that are equal in all columns; only rows that may be copies are shuffled.
+
+    The table is written once with a digest of 128 bits a row. Digests are counted first (narrow rows, combined in
+    each task), and only rows whose digest occurs more than once move; these are compared in full, so a collision
+    costs a move and never a row. Copies within a task collapse before they move, so a row copied very often costs
+    each task one row. Rows with an unrepeated digest stay where they are and read only the columns asked for.
 
-    Copies within a task collapse before the shuffle, so a row copied very often costs each
-    task one row.
+    Up to ``most_digests`` repeated digests are sent to every executor (16 bytes each). If there are more, a bitmap of
+    fixed size goes out in their place; rows that hit it by chance move as well.
+    """
+    if any(not _digestible(f.dataType) for f in df.schema) or len({c.lower() for c in df.columns}) < len(df.columns):
+        return df.dropDuplicates()
+    names = [F.col(f"`{c}`") for c in df.columns]
+    gaps = [c.isNull() for c in names]
+    marks = {mark: F.xxhash64(F.lit(seed), *names, *gaps) for seed, mark in enumerate(_DIGEST)}
+    table = stored(df.withColumns(marks), "rows-with-digests")
+    counted = table.groupBy(*_DIGEST).agg(F.count(F.lit(1)).alias("n"))
+    repeated = materialize(counted.where("n > 1").select(*_DIGEST))
+    n = repeated.count()
+    if not n:
+        return table.drop(*_DIGEST)
+    alone, suspects = _split(table, repeated, n <= most_digests)
+    return alone.drop(*_DIGEST).unionByName(suspects.drop(*_DIGEST).dropDuplicates())
+
+
+def _split(table: DataFrame, repeated: DataFrame, exact: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows whose digest surely occurs once, and the others."""
+    if exact:
+        sent = F.broadcast(repeated)
+        return table.join(sent, list(_DIGEST), "left_anti"), table.join(sent, list(_DIGEST), "left_semi")
+    # One row for 32,768 bits; a bit is set where a repeated digest's first half falls on it.
+    place = F.pmod(F.col(_DIGEST[0]), F.lit(BITMAP_BITS))
+    rows = repeated.select(F.floor(place / 32_768).cast("int").alias("__part"), (place % 32_768).alias("__bit"))
+    bits = F.broadcast(rows.groupBy("__part").agg(F.bitmap_construct_agg("__bit").alias("__bits")))
+    keyed = table.withColumns({"__part": F.floor(place / 32_768).cast("int"), "__bit": (place % 32_768).cast("int")})
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.call_function("getbit", byte, F.col("__bit") % 8) == 1, F.lit(False))
+    tested = keyed.join(bits, "__part", "left").withColumn("__hit", hit).drop("__part", "__bit", "__bits")
+    return tested.where(~F.col("__hit")).drop("__hit"), tested.where("__hit").drop("__hit")
+
+
+def _digestible(kind: T.DataType) -> bool:
+    """Whether equal values of a type surely have equal hashes, and Parquet can hold them."""
+    if isinstance(kind, T.ArrayType):
+        return _digestible(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_digestible(f.dataType) for f in kind)
+    if isinstance(kind, T.StringType):
+        return kind.isUTF8BinaryCollation()
+    return isinstance(kind, (T.NumericType, T.BooleanType, T.BinaryType, T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
+def parse_status_date(df: DataFrame, form: str = schema.DATE_FORMAT) -> DataFrame:
+    """Status dates of a given format, or with ``form="infer"`` of the one format that fits all of them.
+
+    A value that doesn't have the format stops the job; so does a column that fits no format or several ones.
     """
-    return df.dropDuplicates()
+    text = F.col("reservation_status_date").cast("string")
+    if form == schema.INFERRED_FORMAT:
+        form = date_format_of(df, "reservation_status_date")
+    return df.withColumn("reservation_status_date", X.strict_date(text, form))
 
 
-def parse_status_date(df: DataFrame) -> DataFrame:
-    return df.withColumn("reservation_status_date", X.strict_date(F.col("reservation_status_date")))
+def date_format_of(df: DataFrame, column: str, formats: Sequence[str] = schema.DATE_FORMATS) -> str:
+    """The one of some formats that every value of a column has; ValueError if none or several give dates.
+
+    Each value is the set of formats it has, as bits; one aggregate intersects them. Formats under which every value
+    is the same date are no contradiction: the first of them counts. A column without values has the first format.
+    """
+    text = F.col(column).cast("string")
+    dates = [F.try_to_timestamp(text, F.lit(f)).cast("date") for f in formats]
+    whole = [F.when(F.date_format(d, f) == text, d) for d, f in zip(dates, formats)]
+    bits = reduce(operator.add, (F.when(d.isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, d in enumerate(whole)))
+    same = [
+        F.bool_and(F.coalesce(whole[i] == whole[j], F.lit(False))).alias(f"{i}={j}") for i in range(len(formats)) for j in range(i + 1, len(formats))
+    ]
+    row = df.where(text.isNotNull()).agg(F.bit_and(bits).alias("bits"), F.min(F.when(bits == 0, text)).alias("odd"), *same).first()
+    if row["bits"] is None:
+        return formats[0]
+    fitting = [i for i in range(len(formats)) if row["bits"] >> i & 1]
+    if not fitting:
+        example = "" if row["odd"] is None else f", such as {row['odd']!r}"
+        raise ValueError(f"no date format fits all values of {column}{example}")
+    if not all(row[f"{fitting[0]}={j}"] for j in fitting[1:]):
+        raise ValueError(f"the dates of {column} fit several formats, so name one: {[formats[i] for i in fitting]}")
+    return formats[fitting[0]]
 
 
 def derive_stays(df: DataFrame) -> DataFrame:
@@ -100,10 +185,10 @@ def lead_time_bins(
     return df.withColumn("lead_time_bin", X.bin_label(F.col("lead_time"), edges, labels))
 
 
-def derive_columns(df: DataFrame) -> DataFrame:
+def derive_columns(df: DataFrame, date_format: str = schema.DATE_FORMAT) -> DataFrame:
     """All row-wise steps; Spark folds them into one projection."""
     return (
-        df.transform(parse_status_date)
+        df.transform(parse_status_date, date_format)
         .transform(derive_stays)
         .transform(derive_arrival_date)
         .transform(derive_revenue)
@@ -111,5 +196,10 @@ def derive_columns(df: DataFrame) -> DataFrame:
     )
 
 
-def clean_bookings(df: DataFrame) -> DataFrame:
-    return df.transform(impute).transform(drop_copies).transform(derive_columns)
+def clean_bookings(
+    df: DataFrame,
+    date_format: str = schema.DATE_FORMAT,
+    mean_columns: Sequence[str] = schema.MEAN_FILLED,
+    mode_columns: Sequence[str] = schema.MODE_FILLED,
+) -> DataFrame:
+    return df.transform(impute, mean_columns, mode_columns).transform(drop_copies).transform(derive_columns, date_format)

@@ -305,11 +305,48 @@ _PARTS |= {
     "timed_and_asked": "select * from timed join questions using (question_id)",
 }
 
+
+
+def _stats(value: str, source: str, places: int) -> str:
+    return f"""
+        select subkey, round(value, {places}) as value from (
+            select unnest([{", ".join(_text(s) for s in schema.DESCRIBE_LABELS)}]) as subkey,
+                   unnest([count(x)::double, avg(x), stddev_samp(x), min(x), quantile_cont(x, 0.25), quantile_cont(x, 0.5),
+                           quantile_cont(x, 0.75), max(x)]) as value
+            from (select {value} as x from {source}))"""
+
+
 _SHOWN = (
     _COLUMNS.replace("adr,", "adr::double as adr,") + ", l_orderkey, l_linenumber"
 )
 _SELECTS = {
     "scan_bookings": (f"select {_COLUMNS.replace('adr,', 'adr::double as adr,')} from bookings", "bookings"),
+    "scan_typed_columns": (
+        f"""select distinct {_SHOWN}, stays_in_week_nights::double as points, stays_in_weekend_nights::bigint as visits,
+                   is_canceled = 1 as member, case when l_linenumber = 1 then 'A1' else stays_in_week_nights::varchar end as code
+            from bookings""",
+        "bookings",
+    ),
+    "scan_line_breaks": ("select page_id::varchar as page_id, url, html from pages", None),
+    "status_date_formats": (
+        "select l_orderkey, l_linenumber, reservation_status_date::date::varchar as found, "
+        "reservation_status_date::date::varchar as given from bookings",
+        "bookings",
+    ),
+    "price_stats": (_stats("l_extendedprice", "lineitem", 4), None),
+    "revenue_stats": (_stats("total_revenue::double", "clean", 4), "clean"),
+    "price_histogram": (
+        """with bounds as (select min(l_extendedprice) as low, max(l_extendedprice) as high from lineitem),
+        edges as (
+            select i, case when i = 20 then high else i * ((high - low) / 20.0::double) + low end as edge
+            from range(21) t(i) cross join bounds)
+        select a.i::int as bin, round(any_value(a.edge), 6) as bin_start, round(any_value(b.edge), 6) as bin_end,
+               count(l_extendedprice) as count
+        from edges a join edges b on b.i = a.i + 1
+        left join lineitem on l_extendedprice >= a.edge and (l_extendedprice < b.edge or a.i = 19)
+        group by a.i""",
+        None,
+    ),
     "impute_mean": (f"select {_SHOWN} from mean_filled", "mean_filled"),
     "impute_mode": (f"select {_SHOWN} from mode_filled", "mode_filled"),
     "dedup_rows": (f"select {_SHOWN} from (select distinct * from bookings)", "bookings"),

@@ -11,9 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roomledger import schema
 from roomledger.operators import answers as A
 from roomledger.operators import charts as H
 from roomledger.operators import cleaning as C
+from roomledger.operators import describe as D
 from roomledger.operators import documents as T
 from roomledger.operators import evaluation as E
 from roomledger.operators import insights as I
@@ -70,6 +72,48 @@ def scan_bookings(spark: SparkSession, folder: str) -> DataFrame:
     return csv_bookings.read_bookings(spark, path)
 
 
+def scan_typed_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """Bookings with columns that have no type, in mixed spellings; copies show only once types are found."""
+    points, visits = F.col("stays_in_week_nights").cast("string"), F.col("stays_in_weekend_nights").cast("string")
+    spelling = F.monotonically_increasing_id() % 3
+    rows = S.bookings(spark, folder).withColumns(
+        {
+            "points": F.when(spelling == 0, points).when(spelling == 1, F.concat(points, F.lit(".0"))).otherwise(F.concat(F.lit("0"), points)),
+            "visits": F.when(spelling == 0, F.concat(F.lit("+"), visits)).otherwise(visits),
+            "member": F.when(F.col("is_canceled") == 1, "True").otherwise("false"),
+            "code": F.when(F.col("l_linenumber") == 1, "A1").otherwise(points),
+        }
+    )
+    path = scratch_path(spark, "typed-csv")
+    rows.write.option("header", True).csv(path)
+    return C.drop_copies(csv_bookings.read_bookings(spark, path))
+
+
+def scan_line_breaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Web pages, full of quotes and line breaks, written as CSV and read back in splits."""
+    path = scratch_path(spark, "pages-csv")
+    options = {"header": True, "quoteAll": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    S.wide_table(spark, folder, "pages").write.options(**options).csv(path)
+    return csv_bookings.read_raw(spark, path, multi_line=True)
+
+
+def status_date_formats(spark: SparkSession, folder: str) -> DataFrame:
+    """Status dates in a format that is found from them, and in one that is given."""
+    rows = S.bookings(spark, folder).select("l_orderkey", "l_linenumber", F.col("reservation_status_date").cast("date").alias("date"))
+    slashes = rows.withColumn("reservation_status_date", F.date_format("date", "M/d/yyyy"))
+    found = C.parse_status_date(slashes, schema.INFERRED_FORMAT).withColumnRenamed("reservation_status_date", "found")
+    dots = found.withColumn("reservation_status_date", F.date_format("date", "dd.MM.yyyy"))
+    return C.parse_status_date(dots, "dd.MM.yyyy").withColumnRenamed("reservation_status_date", "given").drop("date")
+
+
+def price_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(D.describe_column(S.wide_table(spark, folder, "lineitem"), "l_extendedprice"), "value", places=4)
+
+
+def price_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(D.histogram_of_column(S.wide_table(spark, folder, "lineitem"), "l_extendedprice"), "bin_start", "bin_end")
+
+
 def insights(spark: SparkSession, folder: str) -> DataFrame:
     return I.insights_long(clean_bookings(spark, folder))
 
@@ -138,8 +182,8 @@ def vector_neighbours_by_cells(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def vector_neighbours_by_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """The same neighbours with documents streaming past parts of the questions."""
-    return R.nearest_by_stream(S.vector_questions(spark, folder), S.vector_documents(spark, folder), question_bytes=1 << 20)
+    """The same neighbours with questions streaming past pages of documents."""
+    return R.nearest_by_stream(S.vector_questions(spark, folder), S.vector_documents(spark, folder), page_bytes=1 << 18)
 
 
 def _short_vectors(vectors: DataFrame) -> DataFrame:
@@ -260,6 +304,12 @@ def evaluation_report(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "scan_bookings": lambda spark, folder: _plain(scan_bookings(spark, folder)),
+    "scan_typed_columns": lambda spark, folder: _plain(scan_typed_columns(spark, folder)),
+    "scan_line_breaks": scan_line_breaks,
+    "status_date_formats": lambda spark, folder: _plain(status_date_formats(spark, folder)),
+    "price_stats": price_stats,
+    "price_histogram": price_histogram,
+    "revenue_stats": _on_clean(lambda df: _rounded(D.describe_column(df, "total_revenue"), "value", places=4)),
     "impute_mean": _on_bookings(C.impute_mean),
     "impute_mode": _on_bookings(C.impute_mode),
     "dedup_rows": _on_bookings(C.drop_copies),

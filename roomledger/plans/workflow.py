@@ -5,7 +5,7 @@ Every output is replaced as a whole, so a run can be repeated.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,26 +34,31 @@ def build(
     multi_line: bool = False,
     separator: str = ",",
     encoding: str = "UTF-8",
+    date_format: str = schema.DATE_FORMAT,
+    mean_columns: Sequence[str] = schema.MEAN_FILLED,
+    mode_columns: Sequence[str] = schema.MODE_FILLED,
 ) -> dict[str, str]:
     """Insights, chart series and the document store of some bookings; returns their paths.
 
     ``bookings`` is a CSV path or a frame, ``charts`` a folder of PNG files. The bookings are read
-    twice: once for the fill values, once for everything else. ``names`` maps the library's column
+    twice: once for the fill values, once to be filled and written with their digests, from where copies are found. ``names`` maps the library's column
     names to those of the bookings, where they differ. From CSV, ``rejected`` counts for each column the
-    fields that hold text but none of its type (they are read as missing).
+    fields that hold text but none of its type (they are read as missing); columns without a type get the one that
+    fits all their values. ``date_format`` is that of the status dates (``"infer"``: the one that fits all of them),
+    ``mean_columns`` and ``mode_columns`` are the columns whose gaps are filled.
     """
     paths = {name: f"{output.rstrip('/')}/{name}" for name in ("insights", "charts", "documents")}
     if isinstance(bookings, str):
         raw = renamed(csv_bookings.read_raw(spark, bookings, None, multi_line, separator, encoding), names)
         paths["rejected"] = f"{output.rstrip('/')}/rejected"
         csv_bookings.rejected_values(raw, columns or schema.BOOKINGS).write.mode("overwrite").parquet(paths["rejected"])
-        frame = csv_bookings.typed_bookings(raw, columns or schema.BOOKINGS)
+        frame = csv_bookings.typed_bookings(raw, csv_bookings.inferred_types(raw, columns or schema.BOOKINGS))
     else:
         frame = renamed(bookings, names)
     missing = [f.name for f in schema.BOOKINGS if f.name not in frame.columns]
     if missing:
         raise ValueError(f"the bookings lack the columns {missing}")
-    rollup = materialize(I.booking_rollup(C.clean_bookings(frame)))
+    rollup = materialize(I.booking_rollup(C.clean_bookings(frame, date_format, mean_columns, mode_columns)))
     insights = materialize(I.insights_from_rollup(rollup))
     stores.save_insights(insights, paths["insights"])
     H.chart_series(rollup, insights).write.mode("overwrite").parquet(paths["charts"])

@@ -61,6 +61,24 @@ ANSWERS = T.StructType(
 DATE_FORMAT = "yyyy-MM-dd"
 YEARS = (1000, 9999)
 
+#: Stands for the format that fits all status dates, and the formats it is chosen from.
+INFERRED_FORMAT = "infer"
+DATE_FORMATS = (
+    "yyyy-MM-dd",
+    "yyyy-MM-dd HH:mm:ss",
+    "yyyy/MM/dd",
+    "yyyyMMdd",
+    "MM/dd/yyyy",
+    "M/d/yyyy",
+    "dd/MM/yyyy",
+    "d/M/yyyy",
+    "dd-MM-yyyy",
+    "dd.MM.yyyy",
+    "d.M.yyyy",
+    "dd MMM yyyy",
+    "MMM dd, yyyy",
+)
+
 # Columns filled with their mean, and columns filled with their most frequent value.
 MEAN_FILLED = ("children", "agent", "company")
 MODE_FILLED = ("country",)

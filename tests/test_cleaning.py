@@ -7,6 +7,7 @@ from conftest import pairs
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from roomledger import schema
 from roomledger.functions import columns as X
 from roomledger.operators import cleaning as C
 
@@ -46,6 +47,79 @@ def test_one_row_may_be_a_third_of_all(spark):
     assert C.drop_copies(df).count() == 20_001
 
 
+@pytest.mark.parametrize("most_digests", [C.MOST_DIGESTS, 0])
+def test_copies_are_compared_in_full(spark, monkeypatch, most_digests):
+    monkeypatch.setattr(C, "BITMAP_BITS", 1 << 16)
+    nan = float("nan")
+    rows = [(1.0, 0.0, None, "a", [1]), (1.0, -0.0, None, "a", [1]), (nan, 1.0, "x", None, None), (nan, 1.0, None, "x", None), (nan, 1.0, "x", None, None)]
+    df = spark.createDataFrame(rows, "a double, b double, c string, d string, e array<int>")
+    assert sorted(map(repr, C.drop_copies(df, most_digests).collect())) == sorted(map(repr, df.dropDuplicates().collect()))
+    monkeypatch.setattr(F, "xxhash64", lambda *columns: F.lit(7).cast("long"))  # all digests collide
+    many = spark.range(100).select((F.col("id") % 60).alias("k"))
+    assert sorted(r.k for r in C.drop_copies(many, most_digests).collect()) == list(range(60))
+
+
+def test_only_copies_move(spark):
+    wide = lambda n, copies: spark.range(n).select((F.col("id") % (n - copies)).alias("k"), F.repeat(F.lit("x"), F.lit(300)).alias("t"))
+    for copies in (0, 40):
+        out = C.drop_copies(wide(4000, copies))
+        assert out.count() == 4000 - copies
+        text = out._jdf.queryExecution().executedPlan().toString()
+        assert ("Exchange hashpartitioning" in text) == bool(copies)
+    moved = wide(4000, 40).transform(C.drop_copies)
+    moved.collect()
+    # The rows that reach the comparison in full: the two of each copied row, whatever the table's size.
+    plan = moved._jdf.queryExecution().executedPlan()
+    assert _rows_shuffled(plan) <= 80
+
+
+def _rows_shuffled(plan) -> int:
+    """Rows written by the shuffles of a finished plan."""
+    final = plan.finalPhysicalPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan
+    total, waiting = 0, [final]
+    while waiting:
+        node = waiting.pop()
+        if node.getClass().getSimpleName() == "ShuffleExchangeExec":
+            total += node.metrics().apply("shuffleRecordsWritten").value()
+        if node.getClass().getSimpleName().endswith("QueryStageExec"):
+            waiting.append(node.plan())
+        children = node.children()
+        waiting += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+def test_columns_that_have_no_digest(spark):
+    df = spark.sql("select map('a', 1) as m union all select map('a', 1)")
+    assert C.drop_copies(df.select(F.map_keys("m").alias("k"), F.lit(None).alias("nothing"))).count() == 1
+    assert C.drop_copies(spark.range(5).where("id < 0")).count() == 0
+
+
+def dates(spark, *texts):
+    return spark.createDataFrame([(t,) for t in texts], "reservation_status_date string")
+
+
+@pytest.mark.parametrize(
+    "texts,form",
+    [
+        (("2017-07-04", None), "yyyy-MM-dd"), (("04.07.2017", "01.01.2016"), "dd.MM.yyyy"), (("04/07/2017", "13/07/2017"), "dd/MM/yyyy"),
+        (("1/13/2017", "12/1/2017"), "M/d/yyyy"), (("20170104",), "yyyyMMdd"), (("07/07/2017", "08/08/2017"), "MM/dd/yyyy"), ((None,), "yyyy-MM-dd"),
+    ],
+)
+def test_date_formats_are_found(spark, texts, form):
+    df = dates(spark, *texts)
+    assert C.date_format_of(df, "reservation_status_date") == form
+    assert C.parse_status_date(df, schema.INFERRED_FORMAT).count() == len(texts)
+
+
+def test_dates_that_fit_no_format_or_several(spark):
+    with pytest.raises(ValueError, match="fit several formats.*MM/dd/yyyy.*dd/MM/yyyy"):
+        C.parse_status_date(dates(spark, "01/02/2017", "03/03/2017"), schema.INFERRED_FORMAT)
+    with pytest.raises(ValueError, match="no date format fits.*soon"):
+        C.parse_status_date(dates(spark, "2017-01-01", "soon"), schema.INFERRED_FORMAT)
+    with pytest.raises(ValueError, match="no date format fits"):
+        C.parse_status_date(dates(spark, "2017-01-01", "01.01.2017"), schema.INFERRED_FORMAT)
+
+
 def test_clean_edge_table(clean):
     rows = clean.collect()
     assert len(rows) == 7
