@@ -21,14 +21,19 @@ from roomledger.session import materialize, stored
 # Columns that hold a row's digest; the most repeated digests sent to every executor; bits of the map beyond that.
 _DIGEST = ("__digest_a", "__digest_b")
 MOST_DIGESTS = 2_000_000
+FEW_ROWS = 4_000_000
+_ROWS = "__rows"
 BITMAP_BITS = 1 << 29
 
 
-def fill_values(df: DataFrame, mean_columns: Sequence[str] = (), mode_columns: Sequence[str] = ()) -> DataFrame:
+def fill_values(
+    df: DataFrame, mean_columns: Sequence[str] = (), mode_columns: Sequence[str] = (), rows: str | None = None
+) -> DataFrame:
     """One row with the mean of some columns and the most frequent value of others.
 
     The table is read once: rows are grouped by each mode column, which leaves one small row per
-    distinct value, and means come from the same groups. Ties go to the smallest value.
+    distinct value, and means come from the same groups. Ties go to the smallest value. ``rows`` names
+    a column for the number of rows.
     """
     measures = [F.count(F.lit(1)).alias("_rows")]
     for c in mean_columns:
@@ -50,6 +55,8 @@ def fill_values(df: DataFrame, mean_columns: Sequence[str] = (), mode_columns: S
         counted = (F.col("_set") == set_id) & F.col(c).isNotNull()
         rank = F.when(counted, F.struct(-F.col("_rows"), F.col(c)))
         fills.append(F.min_by(c, rank).alias(c))
+    if rows:
+        fills.append(F.coalesce(F.sum(F.when(once, F.col("_rows"))), F.lit(0)).alias(rows))
     return groups.agg(*fills)
 
 
@@ -59,10 +66,16 @@ def impute(
     mode_columns: Sequence[str] = schema.MODE_FILLED,
 ) -> DataFrame:
     """Fill NULLs with the column mean or the most frequent value; an all-NULL column stays NULL."""
-    values = materialize(fill_values(df, mean_columns, mode_columns))
-    fill = values.select(F.struct(*values.columns)).scalar()
-    filled = {c: F.coalesce(F.col(c), F.col("_fill").getField(c)) for c in values.columns}
-    return df.withColumn("_fill", fill).withColumns(filled).drop("_fill")
+    return _imputed(df, mean_columns, mode_columns)[0]
+
+
+def _imputed(df: DataFrame, mean_columns: Sequence[str], mode_columns: Sequence[str]) -> tuple[DataFrame, int]:
+    """The filled table and its number of rows; the one row of fill values is worked out here, once."""
+    found = fill_values(df, mean_columns, mode_columns, _ROWS)
+    values = found.first()
+    kinds = {f.name: f.dataType for f in found.schema}
+    filled = {c: F.coalesce(F.col(c), F.lit(values[c]).cast(kinds[c])) for c in (*mean_columns, *mode_columns)}
+    return (df.withColumns(filled) if filled else df), values[_ROWS]
 
 
 def impute_mean(df: DataFrame, columns: Sequence[str] = schema.MEAN_FILLED) -> DataFrame:
@@ -73,7 +86,7 @@ def impute_mode(df: DataFrame, columns: Sequence[str] = schema.MODE_FILLED) -> D
     return impute(df, (), columns)
 
 
-def drop_copies(df: DataFrame, most_digests: int = MOST_DIGESTS) -> DataFrame:
+def drop_copies(df: DataFrame, most_digests: int = MOST_DIGESTS, rows: int | None = None) -> DataFrame:
     """Keep one of the rows that are equal in all columns; only rows that may be copies are shuffled.
 
     The table is written once with a digest of 128 bits a row. Digests are counted first (narrow rows, combined in
@@ -83,7 +96,11 @@ def drop_copies(df: DataFrame, most_digests: int = MOST_DIGESTS) -> DataFrame:
 
     Up to ``most_digests`` repeated digests are sent to every executor (16 bytes each). If there are more, a bitmap of
     fixed size goes out in their place; rows that hit it by chance move as well.
+
+    ``rows``: how many rows there are, if known. Up to ``FEW_ROWS`` a shuffle of them costs less than writing them.
     """
+    if rows is not None and rows <= FEW_ROWS:
+        return df.dropDuplicates()
     if any(not _digestible(f.dataType) for f in df.schema) or len({c.lower() for c in df.columns}) < len(df.columns):
         return df.dropDuplicates()
     names = [F.col(f"`{c}`") for c in df.columns]
@@ -202,4 +219,5 @@ def clean_bookings(
     mean_columns: Sequence[str] = schema.MEAN_FILLED,
     mode_columns: Sequence[str] = schema.MODE_FILLED,
 ) -> DataFrame:
-    return df.transform(impute, mean_columns, mode_columns).transform(drop_copies).transform(derive_columns, date_format)
+    filled, rows = _imputed(df, mean_columns, mode_columns)
+    return drop_copies(filled, rows=rows).transform(derive_columns, date_format)

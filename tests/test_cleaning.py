@@ -34,6 +34,7 @@ def test_columns_without_values_and_empty_tables(spark):
     df = spark.createDataFrame([(None, None), (None, None)], "v double, c string")
     assert C.impute(df, ("v",), ("c",)).collect() == [(None, None)] * 2
     assert C.impute(df.where("false"), ("v",), ("c",)).count() == 0
+    assert C.impute(df, (), ()).count() == 2 and C.fill_values(df, ("v",), ("c",), "n").first().n == 2
     assert C.impute_mean(df, ("v",)).count() == 2 and C.impute_mode(df, ("c",)).count() == 2
 
 
@@ -88,6 +89,12 @@ def _rows_shuffled(plan) -> int:
     return total
 
 
+def test_cleaning_of_few_and_of_many_rows_agrees(edge, monkeypatch):
+    few = sorted(C.clean_bookings(edge).collect(), key=repr)
+    monkeypatch.setattr(C, "FEW_ROWS", 3)
+    assert sorted(C.clean_bookings(edge).collect(), key=repr) == few and len(few) == 7
+
+
 def test_columns_that_have_no_digest(spark):
     df = spark.sql("select map('a', 1) as m union all select map('a', 1)")
     assert C.drop_copies(df.select(F.map_keys("m").alias("k"), F.lit(None).alias("nothing"))).count() == 1
