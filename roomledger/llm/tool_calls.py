@@ -3,8 +3,8 @@
 1. Calls and results become one row for each (conversation, identifier), combined in each task first, so that a
    repeated identifier costs nothing in the join. They meet in a hash join.
 2. Calls are ordered topologically along what they refer to: level 0 refers to no known call, every other level
-   is one more than the highest it refers to. The levels are peeled off one join at a time; the work of a round is
-   that of the calls it settles and what refers to them. Calls in a circle get no level.
+   is one more than the highest it refers to. Chains are settled by pointer jumping in a logarithmic number of
+   rounds, calls that wait for several others are peeled off. Calls in a circle get no level.
 3. Arguments are checked against the parameters of the called tool.
 4. Every call comes out as canonical JSON: sorted keys, no white space.
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roomledger.session import materialize
+from roomledger.session import materialize, scratch_path
 
 #: Types that a parameter may have, by the JSON types (as Spark names them) that fit; integers are numbers too.
 TYPES = {
@@ -104,31 +104,61 @@ def linked(calls: DataFrame, results: DataFrame) -> DataFrame:
 def levels(calls: DataFrame) -> DataFrame:
     """``conv_id, call_id, level`` of every call that is in or behind no circle; ``calls`` has one row a call.
 
-    References to unknown identifiers say nothing. A round settles the calls that wait for no other any more.
+    References to unknown identifiers say nothing. A call that waits for one other is a pointer to it; pointers jump
+    over each other, twice as far each round, until they lead to a call that waits for none or for several. So a chain
+    of n calls takes log2(n) rounds. Calls that wait for several are then peeled off, one round for each of them that
+    lie behind one another. Every round reads stored tables only, so no plan grows with the rounds.
     """
     nodes = calls.select(*KEY, F.array_distinct(F.coalesce("refers_to", F.array().cast("array<string>"))).alias("refers_to"))
-    uses = nodes.select(*KEY, F.explode("refers_to").alias("used"))
     known = nodes.select("conv_id", F.col("call_id").alias("used"))
-    uses = materialize(uses.join(known, ["conv_id", "used"]))
-    waits = uses.groupBy(*KEY).agg(F.count("*").alias("waits"))
+    uses = materialize(nodes.select(*KEY, F.explode("refers_to").alias("used")).join(known, ["conv_id", "used"]))
+    waits = uses.groupBy(*KEY).agg(F.count("*").alias("waits"), F.min("used").alias("used"))
     nodes = materialize(nodes.select(*KEY).join(waits, KEY, "left"))
-    done = nodes.where("waits is null").select(*KEY, F.lit(0).alias("level"))
-    waiting, newest, level = nodes.where("waits is not null"), done, 0
-    parts = [done]
+    free, several = nodes.where("waits is null").select(*KEY, F.lit(0).alias("level")), nodes.where("waits > 1")
+    pointers = _jumped(nodes.where("waits = 1").select(*KEY, F.col("used").alias("root"), F.lit(1).alias("steps")))
+    settled = _peeled(free, several.select(*KEY, "waits"), uses, pointers)
+    behind = pointers.join(settled.withColumnsRenamed({"call_id": "root", "level": "root_level"}), ["conv_id", "root"])
+    return settled.unionByName(behind.select(*KEY, (F.col("root_level") + F.col("steps")).cast("int").alias("level")))
+
+
+def _jumped(pointers: DataFrame) -> DataFrame:
+    """Pointers whose ``root`` is no pointer itself, with the ``steps`` to it; those into a circle keep some root."""
+    own = pointers.select("conv_id", F.col("call_id").alias("root"), F.lit(True).alias("open"))
+    pointers = materialize(pointers.join(own, ["conv_id", "root"], "left").withColumn("open", F.coalesce("open", F.lit(False))))
+    longest = pointers.groupBy("conv_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    for _ in range(longest.bit_length()):
+        if pointers.where("open").isEmpty():
+            break
+        at = pointers.select("conv_id", F.col("call_id").alias("root"), F.col("root").alias("next"), F.col("steps").alias("more"), F.col("open").alias("still"))
+        moved = pointers.where("open").join(at, ["conv_id", "root"])
+        moved = moved.select(*KEY, F.col("next").alias("root"), (F.col("steps") + F.col("more")).alias("steps"), F.col("still").alias("open"))
+        pointers = materialize(pointers.where("not open").select(moved.columns).unionByName(moved))
+    return pointers
+
+
+def _peeled(free: DataFrame, several: DataFrame, uses: DataFrame, pointers: DataFrame) -> DataFrame:
+    """Levels of the free calls and of those that wait for several, through pointers or directly."""
+    spark = free.sparkSession
+    if several.isEmpty():
+        return free
+    path = scratch_path(spark, "call-levels")
+    free.write.parquet(path)
+    targets = pointers.select("conv_id", F.col("call_id").alias("used"), "root", "steps")
+    edges = uses.join(several.select(*KEY), KEY, "left_semi").join(targets, ["conv_id", "used"], "left")
+    edges = materialize(edges.select(*KEY, F.coalesce("root", "used").alias("root"), F.coalesce("steps", F.lit(0)).alias("steps")))
+    waiting, newest = several.withColumn("level", F.lit(0)), free
     while True:
-        level += 1
-        freed = newest.select("conv_id", F.col("call_id").alias("used")).join(uses, ["conv_id", "used"])
-        fewer = freed.groupBy(*KEY).agg(F.count("*").alias("freed"))
-        waiting = materialize(waiting.join(fewer, KEY, "left").select(*KEY, (F.col("waits") - F.coalesce("freed", F.lit(0))).alias("waits")))
-        newest = waiting.where("waits = 0").select(*KEY, F.lit(level).alias("level"))
+        freed = newest.withColumnsRenamed({"call_id": "root", "level": "root_level"}).join(edges, ["conv_id", "root"])
+        fewer = freed.groupBy(*KEY).agg(F.count("*").alias("freed"), F.max(F.col("root_level") + F.col("steps") + 1).alias("behind"))
+        waiting = waiting.join(fewer, KEY, "left").select(
+            *KEY, (F.col("waits") - F.coalesce("freed", F.lit(0))).alias("waits"), F.greatest("level", F.coalesce("behind", F.lit(0))).cast("int").alias("level")
+        )
+        waiting = materialize(waiting)
+        newest = waiting.where("waits = 0").select(*KEY, "level")
         if newest.isEmpty():
-            break
-        parts.append(newest)
+            return spark.read.schema(free.schema).parquet(path)
+        newest.write.mode("append").parquet(path)
         waiting = waiting.where("waits > 0")
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
 
 
 def problems(calls: DataFrame, schemas: DataFrame) -> DataFrame:

@@ -1,6 +1,10 @@
 from __future__ import annotations
 
 import json
+import random
+import time
+
+import pytest
 
 from roomledger.llm import tool_calls as T
 
@@ -74,6 +78,36 @@ def test_a_long_chain_and_a_hot_identifier(spark):
     assert (rows[2, "same"].n_calls, rows[2, "same"].n_results, rows[2, "same"].status) == (500, 300, "linked")
 
 
+def plain_levels(refers):
+    """Level by level over a dict of call -> calls it refers to."""
+    level, left = {}, {c: {u for u in used if u in refers} for c, used in refers.items()}
+    while free := [c for c, used in left.items() if used <= level.keys()]:
+        for c in free:
+            level[c] = 1 + max((level[u] for u in left.pop(c)), default=-1)
+    return level
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_levels_of_any_graph(spark, seed):
+    pick = random.Random(seed)
+    n = 60
+    refers = {f"c{i}": [f"c{pick.randrange(max(1, i - 4), i + (seed == 3 and i % 20 == 0) * 5 or i)}" for _ in range(pick.choice([0, 1, 1, 1, 1, 2, 3]))] if i > 1 else [] for i in range(n)}
+    refers |= {"x": ["y"], "y": ["x"], "z": ["x", "c1"], "self": ["self"], "after": ["self"], "both": ["c59", "c58", "gone"]}
+    rows = spark.createDataFrame([(k % 2, c, used) for k in range(2) for c, used in refers.items()], "conv_id long, call_id string, refers_to array<string>")
+    found = T.levels(rows).collect()
+    expected = plain_levels(refers)
+    assert sorted((r.conv_id, r.call_id, r.level) for r in found) == sorted((k, c, v) for k in range(2) for c, v in expected.items())
+
+
+def test_a_chain_of_5000_calls(spark):
+    rows = spark.range(5000).selectExpr("1L as conv_id", "concat('c', id) as call_id", "array(concat('c', id - 1)) as refers_to")
+    start = time.monotonic()
+    found = T.levels(rows)
+    assert found.where("call_id <> concat('c', level)").count() == 0 and found.count() == 5000
+    assert time.monotonic() - start < 60
+    assert found._jdf.queryExecution().toString().count("Join") < 20
+
+
 def test_empty_tables(spark):
     assert formatted(spark, [], []) == {}
     assert len(formatted(spark, [], [(1, 1, "x", "y")])) == 1
