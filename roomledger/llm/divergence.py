@@ -12,7 +12,7 @@ part. An empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +25,8 @@ from roomledger.llm.common import sent_if_small, ship
 from roomledger.session import materialize, scratch_path
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A term, in a text whose A-Z are lower-cased, and what separates chunks.
+#: A term, in a text whose A-Z are lower-cased, and the ASCII characters that stand in none.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-WHITE_SPACE = r"[\x09-\x0D\x20]+"
 NOT_IN_TERMS = "".join(chr(c) for c in range(128) if not chr(c).isalpha())
 
 #: Documents of a language that a term must stand in, ranks shown of each group's terms, and the scale of shares.
@@ -37,6 +36,8 @@ SHARE = 1_000_000_000
 #: Text counted at once in a task, and the most text (chunks with their terms) sent to every executor.
 SLICE_BYTES = 16 << 20
 BROADCAST_BYTES = 32 << 20
+#: Rows (a source's share of a term) whose pairs are worked out at once in a task.
+PAIRED_ROWS = 200_000
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
@@ -58,8 +59,8 @@ def _group_sums(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return (key[first], *(np.add.reduceat(v[order], first) for v in values))
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks of each (lang, source) with the documents they stand in and their occurrences, slice by slice."""
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, pa.Array]]:
+    """Documents, and their distinct chunks: (document, chunk) as one number, occurrences, and the chunks' texts."""
     for batch in batches:
         sizes = np.cumsum(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False).astype(np.int64))
         ends = np.flatnonzero(np.diff(sizes // SLICE_BYTES, append=-1)) + 1 if len(sizes) else []
@@ -71,25 +72,47 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = lists.flatten().dictionary_encode()
             chunks = pc.ascii_trim(pc.ascii_lower(raw.dictionary), NOT_IN_TERMS).dictionary_encode()
             codes = chunks.indices.to_numpy(zero_copy_only=False).astype(np.int64)[raw.indices.to_numpy(zero_copy_only=False)]
-            names = chunks.dictionary
-            lang, source = part["lang"].dictionary_encode(), part["source"].dictionary_encode()
-            group = lang.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(source.dictionary) + source.indices.to_numpy(zero_copy_only=False)
-            width = len(names)
-            if not width:
-                continue
-            in_row, times = np.unique(np.repeat(np.arange(len(lengths), dtype=np.int64), lengths) * width + codes, return_counts=True)
-            key, docs, occurrences = _group_sums(group[in_row // width] * width + in_row % width, np.ones_like(times), times)
-            group, code = key // width, pa.array(key % width)
-            out = pa.RecordBatch.from_pydict(
-                {
-                    "lang": lang.dictionary.take(pa.array(group // len(source.dictionary))),
-                    "source": source.dictionary.take(pa.array(group % len(source.dictionary))),
-                    "chunk": names.take(code),
-                    "docs": pa.array(docs),
-                    "occurrences": pa.array(occurrences),
-                }
-            )
-            yield out.filter(pc.greater(pc.binary_length(out["chunk"]), 0))
+            if len(codes):
+                rows = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
+                yield part, *np.unique(rows * len(chunks.dictionary) + codes, return_counts=True), chunks.dictionary
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of each (lang, source) with the documents they stand in and their occurrences, slice by slice."""
+    for part, in_row, times, names in _slices(batches):
+        lang, source, width = part["lang"].dictionary_encode(), part["source"].dictionary_encode(), len(names)
+        group = lang.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(source.dictionary) + source.indices.to_numpy(zero_copy_only=False)
+        key, docs, occurrences = _group_sums(group[in_row // width] * width + in_row % width, np.ones_like(times), times)
+        group = key // width
+        out = pa.RecordBatch.from_pydict(
+            {
+                "lang": lang.dictionary.take(pa.array(group // len(source.dictionary))),
+                "source": source.dictionary.take(pa.array(group % len(source.dictionary))),
+                "chunk": names.take(pa.array(key % width)),
+                "docs": pa.array(docs),
+                "occurrences": pa.array(occurrences),
+            }
+        )
+        yield out.filter(pc.greater(pc.binary_length(out["chunk"]), 0))
+
+
+def _holding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's distinct chunks."""
+    for part, in_row, _, names in _slices(batches):
+        row, code = pa.array(in_row // len(names)), pa.array(in_row % len(names))
+        yield pa.RecordBatch.from_pydict({"row": part["row"].take(row), "lang": part["lang"].take(row), "chunk": names.take(code)})
+
+
+def _holding_any(wanted: pa.Array) -> Callable:
+    """As :func:`_holding`, for some chunks only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, in_row, _, names in _slices(batches):
+            in_row = in_row[pc.is_in(names, wanted).to_numpy(zero_copy_only=False)[in_row % len(names)]]
+            row, code = pa.array(in_row // len(names)), pa.array(in_row % len(names))
+            yield pa.RecordBatch.from_pydict({"row": part["row"].take(row), "lang": part["lang"].take(row), "chunk": names.take(code)})
+
+    return run
 
 
 def chunk_counts(documents: DataFrame) -> DataFrame:
@@ -124,17 +147,16 @@ def term_counts(counts: DataFrame, words: DataFrame) -> DataFrame:
 def document_counts(documents: DataFrame, words: DataFrame, wanted: DataFrame) -> DataFrame:
     """``lang, term, docs``: the exact number of documents with each of some terms (``lang, term``).
 
-    Reads the documents again. Only chunks with a wanted term meet them: sent to every executor if they were
-    measured to be small, by a shuffle of each document's distinct chunks if not.
+    Reads the documents again. Only chunks with a wanted term go on: picked in the tasks if these chunks were
+    measured to be small enough to be sent there, by a shuffle of each document's distinct chunks if not.
     """
+    ship(documents.sparkSession)
     terms = words.select("chunk", F.explode(F.array_distinct("terms")).alias("term"))
     chunks = materialize(terms.join(wanted.select("lang", "term"), "term"))
-    size = chunks.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("chunk") + F.octet_length("term") + 64).alias("bytes")).first()
+    size = chunks.agg(F.sum(F.octet_length("chunk") + 16)).first()[0] or 0
     rows = _plain(documents).withColumn("row", F.monotonically_increasing_id())
-    split = F.split(F.translate("text", UPPER, LOWER), WHITE_SPACE)
-    own = F.array_distinct(F.transform(split, lambda c: F.btrim(c, F.lit(NOT_IN_TERMS))))
-    rows = rows.select("row", "lang", F.explode(own).alias("chunk"))
-    found = rows.join(F.broadcast(chunks) if (size["bytes"] or 0) <= BROADCAST_BYTES else chunks, ["lang", "chunk"])
+    pick = _holding_any(chunks.select("chunk").distinct().toArrow()["chunk"].combine_chunks()) if size <= BROADCAST_BYTES else _holding
+    found = rows.mapInArrow(pick, "row long, lang string, chunk string").join(chunks, ["lang", "chunk"])
     return found.select("lang", "term", "row").distinct().groupBy("lang", "term").agg(F.count(F.lit(1)).alias("docs"))
 
 
@@ -170,14 +192,14 @@ def audit(documents: DataFrame, least: int = LEAST_DOCUMENTS, terms_shown: int =
     Part ``pair``: every other source of the language by the summed difference of the shares of all kept terms.
     Part ``term``: the source's most over-used terms against the whole language. Ties go to the smaller item.
     A source without terms has a share for every kept term too; so pairs are worked out from the shares of absent
-    terms and corrected where a term occurs, and only occurrences are joined: a term meets itself in the sources
-    that hold it, and a source's terms are combined by share before they meet the other sources.
+    terms and corrected where a term occurs: the shares of a term are brought together and paired there, summed in
+    the task, and a source's terms are combined by share before they meet the other sources.
     """
     counts = _stored(chunk_counts(documents), "chunk-counts")
     words = _stored(dictionary(counts), "chunks")
     terms = _stored(term_counts(counts, words), "term-counts")
     kept = _stored(kept_terms(documents, words, terms, least), "kept-terms")
-    held = _stored(terms.join(kept.select("lang", "term"), ["lang", "term"]).select("lang", "source", "term", F.col("occurrences").alias("n")), "held-terms")
+    held = _stored(terms.join(kept.select("lang", "term").hint("shuffle_hash"), ["lang", "term"]).select("lang", "source", "term", F.col("occurrences").alias("n")), "held-terms")
 
     languages = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("occurrences").alias("lang_total"))
     totals = held.groupBy("lang", "source").agg(F.sum("n").alias("total"))
@@ -206,6 +228,60 @@ def _over_used(used: DataFrame, kept: DataFrame, shown: int) -> DataFrame:
     return ranked.where(F.col("rank") <= shown)
 
 
+def _both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Summed corrections of each two sources over the terms that both hold; rows come sorted by term, then source.
+
+    Rows ``step`` apart that still belong to one term are a pair, so all pairs of a step are worked out at once, and a
+    step needs no more memory than the rows. Pairs are added up before they leave the task.
+    """
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) < PAIRED_ROWS:
+            continue
+        whole = pa.Table.from_batches(held).combine_chunks()
+        term = _runs_of(whole)
+        last = int(np.searchsorted(term, term[-1]))  # the last term may go on in the next batch
+        yield from _paired(whole.slice(0, last), term[:last])
+        held = whole.slice(last).to_batches()
+    if held:
+        whole = pa.Table.from_batches(held).combine_chunks()
+        yield from _paired(whole, _runs_of(whole))
+
+
+def _runs_of(rows: pa.Table) -> np.ndarray:
+    """A number for each row that grows where (lang, term) changes."""
+    new = np.zeros(rows.num_rows, bool)
+    for name in ("lang", "term"):
+        column = rows[name].combine_chunks()
+        new[1:] |= pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
+    return np.cumsum(new)
+
+
+def _paired(rows: pa.Table, term: np.ndarray) -> Iterator[pa.RecordBatch]:
+    lang, source = (rows[c].combine_chunks().dictionary_encode() for c in ("lang", "source"))
+    langs, sources = (c.indices.to_numpy(zero_copy_only=False).astype(np.int64) for c in (lang, source))
+    n, p, absent = len(source.dictionary), rows["p"].to_numpy(), rows["absent"].to_numpy()
+    f = lambda a, b: (a - b) ** 2 // (a + b)
+    keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for step in range(1, int(np.bincount(term).max(initial=0))):
+        at = np.flatnonzero(term[step:] == term[:-step])
+        a, b = at, at + step
+        gain = f(p[a], p[b]) - f(p[a], absent[b]) - f(absent[a], p[b]) + f(absent[a], absent[b])
+        new, added = _group_sums((langs[a] * n + sources[a]) * n + sources[b], gain)
+        keys, sums = _group_sums(np.concatenate([keys, new]), np.concatenate([sums, added]))
+    if len(keys):
+        left, right = pa.array(keys // n % n), pa.array(keys % n)
+        yield pa.RecordBatch.from_pydict(
+            {
+                "lang": lang.dictionary.take(pa.array(keys // n // n)),
+                "source": source.dictionary.take(left),
+                "item": source.dictionary.take(right),
+                "value": pa.array(sums),
+            }
+        )
+
+
 def _pairs(groups: DataFrame, used: DataFrame) -> DataFrame:
     other = groups.select("lang", F.col("source").alias("item"), F.col("absent").alias("other_absent"))
     none = F.coalesce(F.col("kept") * difference(F.col("absent"), F.col("other_absent")), F.lit(0).cast("long"))
@@ -219,13 +295,9 @@ def _pairs(groups: DataFrame, used: DataFrame) -> DataFrame:
         alike.join(other, "lang").where(F.col("source") != F.col("item")).groupBy("lang", "source", "item").agg(F.sum(gain).alias("value"))
     )
     # A term of both: what the two one-sided corrections got wrong.
-    left = used.select("lang", "term", "source", "p", "absent")
-    right = used.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"), F.col("absent").alias("other_absent"))
-    p, q, p0, q0 = (F.col(c) for c in ("p", "q", "absent", "other_absent"))
-    both = (
-        left.join(right, ["lang", "term"]).where(F.col("source") < F.col("item")).groupBy("lang", "source", "item")
-        .agg(F.sum(difference(p, q) - difference(p, q0) - difference(p0, q) + difference(p0, q0)).alias("value"))
-    )
+    placed = used.select("lang", "term", "source", "p", "absent").repartition("lang", "term").sortWithinPartitions("lang", "term", "source")
+    partial = placed.mapInArrow(_both, "lang string, source string, item string, value long")
+    both = partial.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     corrections = one_sided.unionByName(both)
     turned = corrections.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), "value")
     summed = everywhere_absent.unionByName(corrections).unionByName(turned).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))

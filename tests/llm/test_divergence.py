@@ -3,6 +3,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +80,25 @@ def test_undecided_terms_by_a_shuffle(spark, monkeypatch):
     assert sorted(tuple(r) for r in D.audit(table(spark, data), 10, 10).collect()) == brute(data, 10, 10)
 
 
+@pytest.mark.parametrize("rows", [1, 7, 1000])
+def test_pairs_of_a_term_across_batches(monkeypatch, rows):
+    monkeypatch.setattr(D, "PAIRED_ROWS", rows)
+    table = [(f"l{i % 2}", f"t{i}", f"s{j}", 10 * i + j * j, 3 + j) for i in range(12) for j in range(i)]
+    table.sort()
+    batches = pa.table(dict(zip(("lang", "term", "source", "p", "absent"), zip(*table)))).to_batches(max_chunksize=5)
+    found = Counter()
+    for batch in D._both(iter(batches)):
+        for r in batch.to_pylist():
+            found[r["lang"], r["source"], r["item"]] += r["value"]
+    f = lambda a, b: (a - b) ** 2 // (a + b)
+    expected = Counter()
+    for la, t, s, p, p0 in table:
+        for lb, u, o, q, q0 in table:
+            if (la, t) == (lb, u) and s < o:
+                expected[la, s, o] += f(p, q) - f(p, q0) - f(p0, q) + f(p0, q0)
+    assert found == expected
+
+
 def test_chunks_are_cut_once(spark):
     data = [("en", f"s{i % 3}", "Same words again, same (SAME) same-again") for i in range(50)]
     counts = D.chunk_counts(table(spark, data))
@@ -88,6 +108,7 @@ def test_chunks_are_cut_once(spark):
 
 def test_long_texts_and_slices(spark, monkeypatch):
     monkeypatch.setattr(D, "SLICE_BYTES", 1000)
+    monkeypatch.setattr(D, "PAIRED_ROWS", 3)
     data = [("en", "a", "word " * 30_000 + "x" * 20_000), ("en", "b", "word other " * 10), ("en", "b", None)] * 2
     assert sorted(tuple(r) for r in D.audit(table(spark, data), 2, 10).collect()) == brute(data, 2, 10)
 
