@@ -1,11 +1,14 @@
 """Secrets in texts: candidates by shape, false positives removed by a random forest.
 
-1. Candidates. Texts are cut at white space. A word is a candidate if it holds a long run of key characters with
-   a digit, or stands after an assignment sign, or assigns to a credential's name itself. Words are examined one
-   by one as they are generated, with their neighbours, and only candidates are kept.
+1. Candidates. Texts are cut at white space, words that may hold a key are cut into fields at quotes, brackets,
+   commas, semicolons, ``&``, ``?`` and assignment signs, and every field is looked at. A field is a candidate if it
+   holds a long run of key characters with a digit, if it stands after an assignment sign and has a digit, or if a
+   credential's name is assigned to it. Words are examined one by one as they are generated, with their neighbours,
+   and only candidates are kept.
 2. Features: length, shares of character classes, changes between classes, variety, dictionary coverage, path
    and address signs, credential and checksum words before it. The dictionary is the corpus: a run of letters is
-   a word if it stands alone in ``DICTIONARY_COUNT`` or more places.
+   a word if it stands alone in ``DICTIONARY_COUNT`` places and once in ``DICTIONARY_CHARACTERS`` characters, so that
+   what random keys share by chance is no word in any size of corpus.
 3. A random forest (Spark ML) is trained on labelled findings and gives each candidate a probability.
 
 Labelled findings are a table of candidates with ``label``. Where there is none, ``distant_labels`` labels the
@@ -23,11 +26,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roomledger.llm.common import sent_if_small
+from roomledger.llm.common import BROADCAST_ROWS, sent_if_small, text_digest
 from roomledger.session import materialize
 
 MOST_LABELLED = 20_000
 DICTIONARY_COUNT = 5
+DICTIONARY_CHARACTERS = 5_000_000
 LEAST_PROBABILITY = 0.5
 PLACEHOLDER = "[SECRET]"
 
@@ -41,33 +45,58 @@ FEATURES = (
 )
 
 
+#: A field: printable ASCII without separators, at a word's end with the padding of base64. Between fields, assignment signs matter.
+FIELD = r"""[!#-%*+\-./-9@A-Z\\^_a-z~]"""
+FIELDS = rf"""([=:]+>?|{FIELD}+(?:={{1,2}}(?=["'`,;)}}\]]*$))?)"""
+ASSIGNMENT = r"[=:]>?$"
+
+
 def candidates(documents: DataFrame) -> DataFrame:
-    """``doc_id, at, value, before, word, after``: ``at`` is the number of the word, ``before`` the two words in front.
+    """``doc_id, digest, at, field, value, name, before, word, after, assigned``.
 
-    Rows with NULL in ``text`` have none. Rows with a NULL ``doc_id`` and repeated rows are scanned like any other.
+    ``at`` is the number of the word, ``field`` that of the field in it, ``before`` the two words in front, ``name``
+    what the value is assigned to in its word (else empty), ``digest`` that of the whole text: it is the key of what
+    was found, as ids may be NULL or repeated. Rows with NULL in ``text`` have no candidate.
     """
     words = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+")
-    worded = documents.select(F.col("doc_id").cast("long"), words.alias("words"))
-    each = worded.select("doc_id", "words", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("at"))
+    worded = documents.select(F.col("doc_id").cast("long"), text_digest().alias("digest"), words.alias("words"))
+    each = worded.select("doc_id", "digest", "words", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("at"))
     word, last = F.get("words", F.col("at")), F.coalesce(F.get("words", F.col("at") - 1), F.lit(""))
+    before = F.concat_ws(" ", F.get("words", F.col("at") - 2), last)
     long_run = (F.length(word) >= 16) & word.rlike(r"[0-9]") & word.rlike(r"[A-Za-z0-9+/_\-]{16}")
-    follows = (F.length(word) >= 8) & last.rlike(r"[=:]>?$") & word.rlike(r"[0-9]")
+    follows = (F.length(word) >= 8) & last.rlike(ASSIGNMENT) & (word.rlike(r"[0-9]") | before.rlike(CREDENTIAL))
     # no pattern here looks again and again at the rest of a very long word
-    assigns = (F.length(word) >= 14) & word.rlike(CREDENTIAL + r"""[a-z_\-]{0,40}["']?[=:]{1,3}["']?\S{8}""")
+    assigns = (F.length(word) >= 12) & word.rlike(CREDENTIAL + r"""[a-z_\-]{0,40}["']{0,2}[=:]{1,3}>?["']{0,2}\S{8}""")
     found = each.where(long_run | follows | assigns).select(
-        "doc_id", "at", word.alias("word"), F.concat_ws(" ", F.get("words", F.col("at") - 2), last).alias("before"), F.coalesce(F.get("words", F.col("at") + 1), F.lit("")).alias("after")
+        "doc_id", "digest", "at", last.rlike(ASSIGNMENT).alias("told"), word.alias("word"), before.alias("before"), F.coalesce(F.get("words", F.col("at") + 1), F.lit("")).alias("after")
     )
-    bare = F.regexp_replace("word", r"""^["'`(\[{<]*[A-Za-z_.\-]+["']?[=:]+>?""", "")
-    value = F.regexp_extract(bare, r"[A-Za-z0-9+/_.@:%\-]{8,}={0,2}", 0)
-    return found.withColumn("value", F.rtrim(value, F.lit(".:%-"))).where("value <> ''")
+    cut = found.withColumn("fields", F.regexp_extract_all("word", F.lit(FIELDS), 1))
+    signs = F.get("fields", F.col("field") - 1).rlike(r"^[=:]")
+    each = cut.select("*", F.posexplode("fields").alias("field", "raw")).withColumn("name", F.when(signs, F.coalesce(F.get("fields", F.col("field") - 2), F.lit(""))).otherwise(""))
+    first = (F.col("field") == 0) & F.col("told")
+    value, digit = F.col("value"), F.col("value").rlike("[0-9]")
+    each = each.withColumn("value", F.rtrim("raw", F.lit(".%-"))).withColumn("assigned", first | F.coalesce(signs, F.lit(False)))
+    key = (F.length(value) >= 16) & digit & value.rlike(r"[A-Za-z0-9+/_\-]{16}")
+    given = F.col("assigned") & (first & digit | _credential())
+    chosen = each.where((F.length(value) >= 8) & ~value.rlike("^[=:]") & (key | given))
+    return chosen.select("doc_id", "digest", "at", "field", "value", "name", "before", "word", "after", "assigned")
+
+
+def _credential() -> Column:
+    """Whether the name a value is assigned to, or without one the words in front, speak of a credential."""
+    return F.when(F.col("name") != "", F.col("name").rlike(CREDENTIAL)).otherwise((F.col("field") == 0) & F.col("before").rlike(CREDENTIAL))
 
 
 def dictionary(documents: DataFrame, found: DataFrame) -> DataFrame:
     """``run``: the letter runs of candidates that are words of the corpus."""
     runs = materialize(found.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("value"), F.lit(r"(\p{L}{3,})"), 1))).alias("run")).distinct())
     words = documents.select(F.explode(F.split(F.lower("text"), r"\P{L}+")).alias("run"))
-    counted = words.join(sent_if_small(runs, runs.count()), "run").groupBy("run").agg(F.count("*").alias("n"))
-    return counted.where(F.col("n") >= DICTIONARY_COUNT).select("run")
+    characters = documents.agg(F.sum(F.length("text"))).first()[0] or 0
+    # where the runs are too many to be sent, words are counted in each task before they are shuffled
+    small = runs.count() <= BROADCAST_ROWS
+    counted = (words.join(F.broadcast(runs), "run") if small else words).groupBy("run").agg(F.count("*").alias("n"))
+    often = counted.where(F.col("n") >= max(DICTIONARY_COUNT, characters / DICTIONARY_CHARACTERS)).select("run")
+    return often if small else often.join(runs, "run", "left_semi")
 
 
 def _count(pattern: str) -> Column:
@@ -82,7 +111,7 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
     n = F.length("value").cast("double")
     told = found.join(covered, "value", "left")
     return told.select(
-        *found.columns,
+        *(c for c in found.columns if c != "assigned"),
         n.alias("length"),
         (_count("[0-9]") / n).alias("digits"),
         (_count("[A-Z]") / n).alias("upper"),
@@ -91,10 +120,10 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
         (F.size(F.array_distinct(F.split("value", ""))) / F.least(n, F.lit(36.0))).alias("variety"),
         (F.coalesce("covered", F.lit(0)) / n).alias("coverage"),
         (_count(r"[/.\\]") / n).alias("path"),
-        F.col("word").rlike(r"@|://|^www[.]").cast("double").alias("address"),
-        (F.col("before").rlike(CREDENTIAL) | F.col("word").rlike(CREDENTIAL)).cast("double").alias("credential"),
-        F.col("before").rlike(CHECKSUM).cast("double").alias("checksum"),
-        (F.col("before").rlike("[=:]>?$") | F.col("word").rlike("^[^=:]+[=:]")).cast("double").alias("assigned"),
+        F.col("value").rlike(r"@|^//|^www[.]").cast("double").alias("address"),
+        _credential().cast("double").alias("credential"),
+        F.when(F.col("name") != "", F.col("name").rlike(CHECKSUM)).otherwise(F.col("before").rlike(CHECKSUM)).cast("double").alias("checksum"),
+        F.col("assigned").cast("double").alias("assigned"),
         F.col("word").rlike("[\"'`]").cast("double").alias("quoted"),
         F.col("value").rlike(PROVIDER).cast("double").alias("provider"),
     )
@@ -144,30 +173,44 @@ def judged(featured: DataFrame, forest: Forest) -> DataFrame:
     return scored.withColumn("is_secret", F.col("probability") >= LEAST_PROBABILITY)
 
 
+def _judged_candidates(documents: DataFrame, labelled: DataFrame | None) -> DataFrame:
+    found = materialize(candidates(documents))
+    featured = materialize(with_features(found, dictionary(documents, found)))
+    return judged(featured, train(distant_labels(featured) if labelled is None else labelled))
+
+
 def findings(documents: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
-    """``doc_id, at, value, before, after, probability, is_secret`` of every candidate.
+    """``doc_id, at, field, value, before, after, probability, is_secret`` of every candidate.
 
     Empty tables, and texts that are NULL, empty or without candidates, give no row. Only ``doc_id`` and ``text``
-    are read. ``labelled``: see ``train``; by default the clear cases among the candidates.
+    are read. Repeated rows have their findings as often. ``labelled``: see ``train``; by default the clear cases
+    among the candidates.
     """
-    found = materialize(candidates(documents))
-    featured = materialize(with_features(found, dictionary(documents, found)))
-    forest = train(distant_labels(featured) if labelled is None else labelled)
-    return judged(featured, forest).select("doc_id", "at", "value", "before", "after", "probability", "is_secret")
+    return _judged_candidates(documents, labelled).select("doc_id", "at", "field", "value", "before", "after", "probability", "is_secret")
 
 
 def redacted(documents: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """All documents, with ``PLACEHOLDER`` in place of their secrets and ``n_chars`` (if there) counted anew.
 
-    Rows that share a ``doc_id`` share their secrets. Rows with a NULL ``doc_id`` stay as they are if they hold no
-    secret, and lose all secrets found in such rows otherwise.
+    A secret goes from the word where it was found, in the rows with that very text, whatever their ids; the same
+    characters elsewhere stay unless they were found there too. NULL stays NULL.
     """
-    secrets = findings(documents, labelled).where("is_secret").select("doc_id", "value").distinct()
-    # longer values first, as one may hold another; the secrets of one document are bounded by its text
-    lists = secrets.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct(F.length("value"), "value")), asc=False).alias("__secrets"))
-    lists = materialize(lists.withColumnRenamed("doc_id", "__doc_id"))
-    joined = documents.join(sent_if_small(lists, lists.count() * 4), F.col("doc_id").eqNullSafe(F.col("__doc_id")), "left")
-    clean = F.aggregate("__secrets", F.col("text"), lambda text, s: F.replace(text, s["value"], F.lit(PLACEHOLDER)))
+    secrets = _judged_candidates(documents, labelled).where("is_secret").select("digest", "at", "value").distinct()
+    # the secrets of one text are bounded by it; longer values first, as one may hold another
+    one = F.struct("at", F.length("value").alias("size"), "value")
+    lists = secrets.groupBy("digest").agg(F.sort_array(F.collect_set(one), asc=False).alias("__secrets"))
+    lists = materialize(lists.withColumnRenamed("digest", "__digest"))
+    entries = lists.agg(F.sum(F.size("__secrets") + 1)).first()[0] or 0
+    joined = documents.withColumn("__of", text_digest()).join(sent_if_small(lists, entries), F.col("__of") == F.col("__digest"), "left")
+    # white space and words in turns; a text that begins with white space has an empty word in front of it
+    parts = F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]+|[^\x20\x09-\x0D]+)"), 1)
+    indented = F.col("text").rlike(r"^[\x20\x09-\x0D]").cast("int")
+
+    def without(part: Column, i: Column) -> Column:
+        here = F.filter("__secrets", lambda s: (s["at"] * 2 - indented) == i)
+        return F.aggregate(here, part, lambda text, s: F.replace(text, s["value"], F.lit(PLACEHOLDER)))
+
+    clean = F.array_join(F.transform(parts, without), "")
     changed = joined.withColumn("text", F.when(F.col("__secrets").isNotNull(), clean).otherwise(F.col("text")))
     if "n_chars" in documents.columns:
         kind = dict(documents.dtypes)["n_chars"]
