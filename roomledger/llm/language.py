@@ -2,8 +2,9 @@
 
 Texts become vectors of hashed letter n-grams (1 to 3 letters, lower case, word boundaries marked), weighted
 by ``log(1 + tf) * idf`` and normalised. Each language gets up to ``CENTROIDS`` centroids by spherical k-means.
-A text takes the language of the centroid with the largest cosine. A text farther from its centroid than
-any text the language was learned from (with a margin) is rejected.
+A text takes the language of the centroid with the largest cosine. A text is rejected if its cosine is far under
+what nearly all sample texts of that language and of about its length reach: cosines grow with the length, for texts
+of a language and, more slowly, for texts of none.
 
 Document frequencies are counted over all training rows. Centroids are fitted on a bounded sample: at most
 ``SAMPLE`` distinct texts a language, one from each of so many hash ranges.
@@ -30,10 +31,15 @@ CENTROIDS = 4
 SAMPLE = 512
 #: Languages that one model may have; more is an error, as the centroids are sent to all executors.
 MOST_LANGUAGES = 1000
-#: Clusters with a smaller share of a language's sample give no centroid.
-LEAST_SHARE = 0.05
-#: A text is rejected if its cosine is under this share of the lowest among the sample texts of its language.
-MARGIN = 0.5
+#: A cluster with a smaller share of a language's sample is dropped if it is shown to be another language's.
+SMALL_SHARE = 0.05
+#: A text is rejected under this share of the cosine that all but ``LOW`` of the sample texts of its length reach.
+MARGIN = 0.35
+LOW = 0.05
+#: Lengths are told apart by their binary logarithm; a limit rests on so many sample texts (if there are as many).
+LENGTHS, LEAST_TEXTS = 32, 20
+#: In texts of fewer n-grams (binary logarithm) than this the limit falls in proportion: a word or two say little.
+SHORT = 7
 #: Letters that are turned into n-grams at once, which bounds memory for very long texts.
 BLOCK = 1 << 20
 FACTOR, SPREAD = np.uint64(1_000_003), np.uint64(0x9E3779B97F4A7C15)
@@ -77,11 +83,15 @@ def _weighted(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return (vector / norm if norm else vector).astype(np.float32)
 
 
+def _length(grams: int) -> int:
+    return min(LENGTHS - 1, max(0, int(grams).bit_length() - 1))
+
+
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]  # of each centroid
     centroids: np.ndarray  # one row each
-    radius: np.ndarray  # lowest cosine that is accepted
+    limits: np.ndarray  # lowest cosine that is accepted, by centroid and length
     idf: np.ndarray
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
@@ -90,16 +100,15 @@ class Model:
             return UNKNOWN, 0.0, True
         if not self.languages:
             return UNKNOWN, 0.0, True
-        cosine = self.centroids @ _weighted(counts(text), self.idf)
+        grams = counts(text)
+        cosine = self.centroids @ _weighted(grams, self.idf)
         best = int(cosine.argmax())
-        return self.languages[best], float(min(1.0, max(0.0, cosine[best]))), bool(cosine[best] < self.radius[best])
+        limit = self.limits[best, _length(grams.sum())]
+        return self.languages[best], float(min(1.0, max(0.0, cosine[best]))), bool(cosine[best] < limit)
 
 
-def _clusters(vectors: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means from the first rows (their order is random); returns centroids and each row's cosine.
-
-    Clusters with under ``LEAST_SHARE`` of the rows are dropped: they are mostly texts with a wrong label.
-    """
+def _clusters(vectors: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spherical k-means from the first rows (their order is random); returns centroids, each row's cluster and cosine."""
     centroids = vectors[:k].copy()
     for _ in range(rounds):
         own = (vectors @ centroids.T).argmax(axis=1)
@@ -107,9 +116,33 @@ def _clusters(vectors: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray
             if (own == c).any():
                 mean = vectors[own == c].sum(axis=0)
                 centroids[c] = mean / max(np.sqrt((mean * mean).sum()), 1e-12)
-    sizes = np.bincount((vectors @ centroids.T).argmax(axis=1), minlength=len(centroids))
-    centroids = centroids[sizes >= min(LEAST_SHARE * len(vectors), sizes.max())]
-    return centroids, (vectors @ centroids.T).max(axis=1)
+    cosine = vectors @ centroids.T
+    return centroids, cosine.argmax(axis=1), cosine.max(axis=1)
+
+
+def _limits(lengths: np.ndarray, cosines: np.ndarray) -> np.ndarray:
+    """Lowest accepted cosine by length. A limit rests on the sample texts of the nearest lengths and is no lower than
+    that of shorter texts; it falls in proportion for short texts and for those shorter than all in the sample."""
+    full, out = max(SHORT, int(lengths.min())), np.zeros(LENGTHS)
+    for length in range(LENGTHS):
+        away = np.abs(lengths - length)
+        widths = np.sort(away)
+        near = cosines[away <= widths[min(LEAST_TEXTS, len(widths)) - 1]]
+        out[length] = MARGIN * np.quantile(near, LOW) * min(1.0, (length + 1) / (full + 1))
+    return np.maximum.accumulate(out)
+
+
+def _mislabelled(languages: np.ndarray, centroids: np.ndarray, share: np.ndarray, lengths: list, limits: dict[str, np.ndarray]) -> np.ndarray:
+    """Which small clusters are another language's: nearer to one of its large clusters than to any of their own
+    language, and as near as its texts of that length are. A rare script or dialect is far from all and stays."""
+    large, out = share >= SMALL_SHARE, np.zeros(len(share), dtype=bool)
+    for c in np.flatnonzero(~large):
+        cosine = centroids @ centroids[c]
+        own, other = cosine[large & (languages == languages[c])], np.flatnonzero(large & (languages != languages[c]))
+        if len(own) and len(other):
+            best = other[cosine[other].argmax()]
+            out[c] = cosine[best] > own.max() and cosine[best] * MARGIN >= limits[languages[best]][int(np.median(lengths[c]))]
+    return out
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
@@ -142,15 +175,32 @@ def train(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS)
 
     def cluster(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("h")
-        vectors = np.stack([_weighted(counts(t), idf) for t in frame["text"]])
-        found, cosine = _clusters(vectors, centroids)
-        lowest = float(cosine.min())
-        return pd.DataFrame({"lang": frame["lang"].iloc[0], "part": range(len(found)), "centroid": [c.tolist() for c in found], "lowest": lowest})
-
-    fitted = texts.groupBy("lang").applyInPandas(cluster, "lang string, part int, centroid array<float>, lowest double")
-    fitted = sorted(fitted.collect(), key=lambda r: (r.lang, r.part))
-    rows_of = np.array([r.centroid for r in fitted], dtype=np.float32).reshape(len(fitted), DIMENSIONS)
-    return Model(tuple(r.lang for r in fitted), rows_of, np.array([MARGIN * r.lowest for r in fitted]), idf)
+        grams = [counts(t) for t in frame["text"]]
+        found, own, cosine = _clusters(np.stack([_weighted(g, idf) for g in grams]), centroids)
+        lengths = np.array([_length(g.sum()) for g in grams])
+        rows = [(c.tolist(), lengths[own == i].tolist(), cosine[own == i].tolist()) for i, c in enumerate(found) if (own == i).any()]
+        told = pd.DataFrame(rows, columns=["centroid", "lengths", "cosines"])
+        return told.assign(lang=frame["lang"].iloc[0], part=range(len(rows)))[["lang", "part", "centroid", "lengths", "cosines"]]
+
+    fitted = texts.groupBy("lang").applyInPandas(cluster, "lang string, part int, centroid array<float>, lengths array<int>, cosines array<double>")
+    return _model(sorted(fitted.collect(), key=lambda r: (r.lang, r.part)), idf)
+
+
+def _model(fitted: list, idf: np.ndarray) -> Model:
+    """From the clusters of all languages: ``lang``, ``centroid``, and ``lengths`` and ``cosines`` of their texts."""
+    languages, rows = np.array([r.lang for r in fitted], dtype=object), np.array([r.centroid for r in fitted], dtype=np.float32).reshape(len(fitted), DIMENSIONS)
+
+    def limits(of: list) -> dict[str, np.ndarray]:
+        by_language: dict[str, list] = {}
+        for r in of:
+            by_language.setdefault(r.lang, []).append(r)
+        return {lang: _limits(np.concatenate([r.lengths for r in rs]), np.concatenate([r.cosines for r in rs])) for lang, rs in by_language.items()}
+
+    sizes = np.array([len(r.lengths) for r in fitted])
+    share = sizes / np.array([sizes[languages == lang].sum() for lang in languages])
+    kept = ~_mislabelled(languages, rows, share, [r.lengths for r in fitted], limits(fitted)) if fitted else np.zeros(0, dtype=bool)
+    found = limits([r for r, k in zip(fitted, kept) if k])
+    return Model(tuple(languages[kept]), rows[kept], np.array([found[lang] for lang in languages[kept]]).reshape(-1, LENGTHS), idf)
 
 
 def held_out(doc_id: str = "doc_id"):

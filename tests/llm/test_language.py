@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+import math
 import random
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from roomledger.llm import language
 
@@ -79,3 +81,62 @@ def test_the_sample_is_bounded_and_copies_count_once(spark):
     rows = [(prose(rng, "xx"), "xx") for _ in range(60)] + [("mi tu mi tu", "xx")] * 200 + [("öff äkt", "yy")]
     model = language.train(spark.createDataFrame(rows, "text string, lang string"), sample=8, centroids=3)
     assert 1 <= sum(x == "xx" for x in model.languages) <= 3 and model.predict("äkt öff")[0] == "yy"
+
+
+def noise(rng, first, last, words):
+    return " ".join("".join(chr(rng.randrange(first, last)) for _ in range(rng.randrange(2, 10))) for _ in range(words))
+
+
+@pytest.mark.parametrize("first,last", [(ord("a"), ord("z") + 1), (0x430, 0x450), (0x4E00, 0x9FA0)])
+def test_random_letters_are_rejected_at_every_length(spark, first, last):
+    rng = random.Random(4)
+    frame = spark.createDataFrame([(prose(rng, lang, rng.choice([3, 10, 40, 200, 1000])), lang) for lang in SYLLABLES for _ in range(200)], "text string, lang string")
+    model = language.train(frame)
+    for words in (20, 100, 1000, 20_000):
+        assert model.predict(noise(rng, first, last, words))[2]
+    kept = [model.predict(prose(rng, lang, n)) for lang in SYLLABLES for n in (4, 20, 100, 500, 3000) for _ in range(10)]
+    assert not any(rejected for *_, rejected in kept)
+
+
+def test_a_rare_script_stays_and_wrong_labels_go(spark):
+    """Two in a hundred texts of xx are in other letters, two in a hundred of yy are really in zz."""
+    rng = random.Random(5)
+    other = {"xx": lambda: noise(random.Random(rng.randrange(5)), 0x10D0, 0x10D8, 30), "yy": lambda: prose(rng, "zz", 30)}
+    rows = [(i, other[lang]() if i % 50 == 0 and lang in other else prose(rng, lang, 30), lang) for i in range(300) for lang in SYLLABLES]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), centroids=8)
+    assert model.predict(noise(random.Random(3), 0x10D0, 0x10D8, 30))[::2] == ("xx", False)
+    assert all(model.predict(prose(rng, "zz", n))[::2] == ("zz", False) for n in (10, 30, 90) for _ in range(20))
+
+
+def test_predictions_are_those_of_a_plain_version(spark, rows):
+    """All of it in plain Python: document frequencies, sample order, spherical k-means, nearest centroid."""
+    frame = spark.createDataFrame([r for r in rows if r[0] != 1004], "doc_id long, text string, lang string")
+    told = language.identify(frame, language.learn(frame)).collect()
+    learned = [(t, lang) for d, t, lang in rows if d != 1004 and t and lang and any(map(str.isalpha, t)) and (d is None or zlib.crc32(str(d).encode()) % 5)]
+    idf = np.log((1 + len(learned)) / (1 + sum((brute_counts(t) > 0).astype(int) for t, _ in learned))) + 1
+
+    def vector(text):
+        weighted = [math.log(1 + n) * w for n, w in zip(brute_counts(text), idf)]
+        norm = math.sqrt(sum(x * x for x in weighted))
+        return np.array([x / norm for x in weighted])
+
+    centroids = []
+    for lang in SYLLABLES:
+        places = {}
+        for text in {t for t, known in learned if known == lang}:
+            h = xxhash.xxh64_intdigest(text.encode(), 42)
+            h -= (1 << 64) if h >> 63 else 0
+            places[h % language.SAMPLE] = min(places.get(h % language.SAMPLE, (h, text)), (h, text))
+        vectors = [vector(t) for _, t in sorted(places.values())]
+        means = vectors[: language.CENTROIDS]
+        for _ in range(12):
+            groups = [[] for _ in means]
+            for v in vectors:
+                groups[max(range(len(means)), key=lambda c: (means[c] @ v, -c))].append(v)
+            means = [sum(g) / math.sqrt((sum(g) ** 2).sum()) if g else m for g, m in zip(groups, means)]
+        centroids += [(lang, m) for m in means]
+    for r in told:
+        if r.text and any(map(str.isalpha, r.text)):
+            of = vector(r.text)
+            lang, mean = max(centroids, key=lambda c: c[1] @ of)
+            assert r.lang_pred == lang and abs(r.score - mean @ of) < 0.01
