@@ -39,7 +39,7 @@ def calls_in(messages: DataFrame) -> DataFrame:
     text makes none.
     """
     item = "struct<id:string,name:string,arguments:string,refers_to:array<string>>"
-    parsed = messages.where("text like '{%'").withColumn("calls", F.from_json("text", f"tool_calls array<{item}>")["tool_calls"])
+    parsed = messages.where(F.col("text").rlike(r"^[\x20\x09\x0A\x0D]*\{")).withColumn("calls", F.from_json("text", f"tool_calls array<{item}>")["tool_calls"])
     each = parsed.select(F.col("conv_id"), F.col("turn"), F.explode("calls").alias("c"))
     return each.select("conv_id", "turn", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"), F.col("c.refers_to").alias("refers_to"))
 

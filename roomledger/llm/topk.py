@@ -226,10 +226,10 @@ def search(trees: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOC
     """``query_id, rank, vec_id, score`` of the k best vectors of each query, not counting rows with its own id.
 
     Equal scores: the smaller ``vec_id`` first. Fewer than k vectors: all. Vectors with the same id count as
-    they are there. The trees are read once for each ``block`` queries (about; queries are dealt by hash).
+    they are there; as a query an id is searched once, with its smallest vector (component by component). The trees are read once for each ``block`` queries (about; queries are dealt by hash).
     """
     ship(trees.sparkSession)
-    queries = materialize(queries.select("vec_id", "v"))
+    queries = materialize(queries.groupBy("vec_id").agg(F.min("v").alias("v")))
     blocks = max(1, -(-queries.count() // block))
     spark = trees.sparkSession
     found = None
@@ -267,6 +267,6 @@ ORACLE = """
 with v as (select vec_id, [floor(256 * x::double)::bigint for x in embedding] v from embeddings
  where vec_id is not null and embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
 scored as (select q.vec_id query_id, o.vec_id, list_sum([q.v[i] * o.v[i] for i in range(1, len(q.v) + 1)])::bigint score
- from v q join v o on o.vec_id <> q.vec_id where q.vec_id % 50 = 0),
+ from (select vec_id, min(v) v from v where vec_id % 50 = 0 group by vec_id) q join v o on o.vec_id <> q.vec_id),
 ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int rank from scored)
 select query_id, rank, vec_id, score from ranked where rank <= 5"""

@@ -115,7 +115,7 @@ def test_empty_tables(spark):
 
 def test_messages(spark):
     text = json.dumps({"tool_calls": [{"id": "k", "name": "find", "arguments": {"q": "x"}, "refers_to": ["j"]}, {"id": "l"}]})
-    rows = [(1, 0, "assistant", text), (1, 1, "tool", '{"tool_call_id":"k","content":"done"}'), (1, 2, "user", "{broken"), (1, 3, "user", None), (1, 4, "tool", "no json"), (None, None, None, None)]
+    rows = [(1, 0, "assistant", "\n " + text), (1, 1, "tool", '{"tool_call_id":"k","content":"done"}'), (1, 2, "user", "{broken"), (1, 3, "user", None), (1, 4, "tool", "no json"), (None, None, None, None)]
     messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     calls = {r.call_id: r for r in T.calls_in(messages).collect()}
     assert json.loads(calls["k"].arguments) == {"q": "x"} and calls["k"].refers_to == ["j"] and calls["l"].name is None

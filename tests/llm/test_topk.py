@@ -69,5 +69,7 @@ def test_odd_rows(spark):
     assert {(r.vec_id, tuple(r.v)) for r in topk.quantised(rows).collect()} == {(1, (128, 64)), (2, (128, 64)), (7, (-1, 0))}
     found = {(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(rows, rows.where("vec_id = 1"), 5).collect()}
     assert found == {(1, 1, 2, 20480), (1, 2, 2, 20480), (1, 3, 7, -128)}
+    repeated = rows.where("vec_id = 1").unionByName(rows.where("vec_id = 1")).unionByName(spark.createDataFrame([(1, [9.0, 9.0])], rows.schema))
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(rows, repeated, 5).collect()} == found
     assert topk.top_k(rows.where("false"), rows, 5).count() == 0
     assert topk.top_k(rows, rows.where("false"), 5).count() == 0
