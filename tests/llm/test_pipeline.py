@@ -26,7 +26,7 @@ def test_rows_against_sql(spark, db, name):
 
 def test_registered_names():
     names = [n.split("_")[0] for n in queries.QUERIES]
-    assert names == [f"op{i}" for i in range(1, 11)]
+    assert names == [f"op{i}" for i in range(1, 14)]
     assert set(entry.queries()) >= {*queries.QUERIES, "pipeline"}
 
 
