@@ -59,35 +59,56 @@ def _group_sums(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return (key[first], *(np.add.reduceat(v[order], first) for v in values))
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, pa.Array]]:
-    """Documents, and their distinct chunks: (document, chunk) as one number, occurrences, and the chunks' texts."""
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values and how often each occurs; sorts in place, as slices hold millions."""
+    key.sort()
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], np.diff(first, append=len(key))
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, pa.Array]]:
+    """Documents slice by slice, with the document's place in the slice and the text of every chunk."""
     for batch in batches:
         sizes = np.cumsum(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False).astype(np.int64))
         ends = np.flatnonzero(np.diff(sizes // SLICE_BYTES, append=-1)) + 1 if len(sizes) else []
         start = 0
         for end in ends:
             part, start = batch.slice(start, end - start), end
-            lists = pc.ascii_split_whitespace(part["text"])
-            lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
-            raw = lists.flatten().dictionary_encode()
-            chunks = pc.ascii_trim(pc.ascii_lower(raw.dictionary), NOT_IN_TERMS).dictionary_encode()
-            codes = chunks.indices.to_numpy(zero_copy_only=False).astype(np.int64)[raw.indices.to_numpy(zero_copy_only=False)]
-            if len(codes):
-                rows = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
-                yield part, *np.unique(rows * len(chunks.dictionary) + codes, return_counts=True), chunks.dictionary
+            yield part, *_chunks(part["text"])
+
+
+def _chunks(text: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(text))
+    rows = np.repeat(np.arange(len(lists), dtype=np.int32), lists.value_lengths().to_numpy(zero_copy_only=False))
+    return rows, pc.ascii_trim(lists.flatten(), NOT_IN_TERMS)
+
+
+def _codes(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """A number for each value, and the distinct values by number."""
+    encoded = values.dictionary_encode()
+    return encoded.indices.to_numpy(zero_copy_only=False), encoded.dictionary
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks of each (lang, source) with the documents they stand in and their occurrences, slice by slice."""
-    for part, in_row, times, names in _slices(batches):
-        lang, source, width = part["lang"].dictionary_encode(), part["source"].dictionary_encode(), len(names)
-        group = lang.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(source.dictionary) + source.indices.to_numpy(zero_copy_only=False)
-        key, docs, occurrences = _group_sums(group[in_row // width] * width + in_row % width, np.ones_like(times), times)
-        group = key // width
+    for part, rows, chunks in _cut(batches):
+        codes, names = _codes(chunks)
+        del chunks  # a slice's texts and numbers aren't needed at the same time
+        (langs, lang), (sources, source) = _codes(part["lang"]), _codes(part["source"])
+        groups, group = np.unique(langs.astype(np.int64) * len(source) + sources, return_inverse=True)
+        n, width = part.num_rows, len(names)
+        at = group.astype(np.int64)[rows]
+        for factor, number in ((width, codes), (n, rows)):
+            at *= factor
+            at += number
+        in_row, times = _runs(at)
+        del at, rows, codes
+        key, docs, occurrences = _group_sums(in_row // n, np.ones_like(times), times)
+        of = groups[key // width]
         out = pa.RecordBatch.from_pydict(
             {
-                "lang": lang.dictionary.take(pa.array(group // len(source.dictionary))),
-                "source": source.dictionary.take(pa.array(group % len(source.dictionary))),
+                "lang": lang.take(pa.array(of // len(source))),
+                "source": source.take(pa.array(of % len(source))),
                 "chunk": names.take(pa.array(key % width)),
                 "docs": pa.array(docs),
                 "occurrences": pa.array(occurrences),
@@ -96,21 +117,28 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out.filter(pc.greater(pc.binary_length(out["chunk"]), 0))
 
 
+def _distinct(part: pa.RecordBatch, rows: np.ndarray, codes: np.ndarray, names: pa.Array) -> pa.RecordBatch:
+    in_row, _ = _runs(rows.astype(np.int64) * len(names) + codes)
+    row = pa.array(in_row // len(names))
+    return pa.RecordBatch.from_pydict({"row": part["row"].take(row), "lang": part["lang"].take(row), "chunk": names.take(pa.array(in_row % len(names)))})
+
+
 def _holding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each document's distinct chunks."""
-    for part, in_row, _, names in _slices(batches):
-        row, code = pa.array(in_row // len(names)), pa.array(in_row % len(names))
-        yield pa.RecordBatch.from_pydict({"row": part["row"].take(row), "lang": part["lang"].take(row), "chunk": names.take(code)})
+    for part, rows, chunks in _cut(batches):
+        yield _distinct(part, rows, *_codes(chunks))
 
 
 def _holding_any(wanted: pa.Array) -> Callable:
-    """As :func:`_holding`, for some chunks only."""
+    """As :func:`_holding`, for some (distinct) chunks only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, in_row, _, names in _slices(batches):
-            in_row = in_row[pc.is_in(names, wanted).to_numpy(zero_copy_only=False)[in_row % len(names)]]
-            row, code = pa.array(in_row // len(names)), pa.array(in_row % len(names))
-            yield pa.RecordBatch.from_pydict({"row": part["row"].take(row), "lang": part["lang"].take(row), "chunk": names.take(code)})
+        for part, rows, chunks in _cut(batches):
+            codes = pc.fill_null(pc.index_in(chunks, value_set=wanted), -1).to_numpy(zero_copy_only=False)
+            del chunks
+            found = codes >= 0
+            if found.any():
+                yield _distinct(part, rows[found], codes[found], wanted)
 
     return run
 
