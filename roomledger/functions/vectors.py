@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CELLS_AT_ONCE = 1 << 22
-# Components of a distance that are worked out between two comparisons with the bound, and how many pairs of a
-# matrix cost as much as one pair by itself.
-COMPONENTS_AT_ONCE = 16
+# Left rows of a block of products, and how many pairs of a matrix cost as much as one pair by itself.
+ROWS_AT_ONCE = 1024
 PAIRS_WORTH = 16
 DEFAULT_DIMENSION = 256
 
@@ -71,76 +70,107 @@ def exact_distances(left: np.ndarray, right: np.ndarray, rows: np.ndarray, cols:
 
 
 def nearest(left: np.ndarray, right: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k nearest right rows of each left row: left index, right index, squared distance.
-
-    The product form only chooses candidates, with room for its error; they are ordered by their exact
-    distance, and equal ones by the right index. Work is cut into slices of left rows so that one slice
-    of distances stays small.
-    """
-    k = min(k, len(right))
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    step = max(1, CELLS_AT_ONCE // max(1, len(right)))
-    for start in range(0, len(left) if k else 0, step):
-        part = left[start : start + step]
-        rough, margin = rough_distances(part, right)
-        kth = np.partition(rough, k - 1, axis=1)[:, k - 1 : k]
-        rows, cols = np.nonzero(rough <= kth + 2.0 * margin)
-        values = exact_distances(part, right, rows, cols)
-        order = np.lexsort((cols, values, rows))
-        rows, cols, values = rows[order], cols[order], values[order]
-        first = np.searchsorted(rows, np.arange(len(part)))
-        keep = np.arange(len(rows)) - first[rows] < k
-        found.append((rows[keep] + start, cols[keep], values[keep]))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return tuple(np.concatenate(part) for part in zip(*found))
+    """The k nearest right rows of each left row: left index, right index, squared distance; equal distances by right index."""
+    return nearest_within(left, right, k, np.full(len(left), np.inf))
 
 
 def nearest_within(left: np.ndarray, right: np.ndarray, k: int, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """As :func:`nearest`, but only right rows at most ``bounds`` (squared, one for each left row) away.
 
-    Distances grow with every component, so they are worked out for ``COMPONENTS_AT_ONCE`` components at a time and
-    work on a pair ends when its part of the distance exceeds the bound. Left rows without a bound take all pairs.
+    Products in single precision only choose candidates, with room for their error. Candidates are ordered by their
+    exact distance, and the k-th of them bounds the search in the right rows that follow. Work is cut into blocks so
+    that one block of products stays small.
     """
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    open_rows = np.flatnonzero(~np.isfinite(bounds))
-    if len(open_rows):
-        rows, cols, values = nearest(left[open_rows], right, k)
-        found.append((open_rows[rows], cols, values))
-    closed, step = np.flatnonzero(np.isfinite(bounds)), max(1, CELLS_AT_ONCE // max(1, len(right)))
-    for start in range(0, len(closed) if len(right) else 0, step):
-        own = closed[start : start + step]
-        rows, cols, values = _within(left[own], right, bounds[own])
-        order = np.lexsort((cols, values, rows))
-        rows, cols, values = rows[order], cols[order], values[order]
-        keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
-        found.append((own[rows[keep]], cols[keep], values[keep]))
-    if not found:
+    k, n = min(k, len(right)), len(right)
+    if not k or not len(left):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    rows, cols, values = (np.concatenate(part) for part in zip(*found))
-    order = np.argsort(rows, kind="stable")
-    return rows[order], cols[order], values[order]
-
-
-def _within(left: np.ndarray, right: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All pairs at most the bound of their left row apart, with exact distances."""
-    limit = bounds[:, None] + 2.0 * rough_margin(left, right)
-    rows, cols = np.arange(len(left)), np.arange(len(right))
-    total = np.zeros((len(left), len(right)))
-    for start in range(0, left.shape[1], COMPONENTS_AT_ONCE):
-        part = slice(start, start + COMPONENTS_AT_ONCE)
-        total += rough_distances(left[rows, part], right[cols, part])[0]
-        alive = total <= limit[rows]
-        if alive.sum() * PAIRS_WORTH <= alive.size:  # few enough to go on pair by pair
-            break
-        keep_rows, keep_cols = alive.any(axis=1), alive.any(axis=0)
-        if not (keep_rows.all() and keep_cols.all()):
-            total, rows, cols = total[np.ix_(keep_rows, keep_cols)], rows[keep_rows], cols[keep_cols]
-    at = np.nonzero(total <= limit[rows])
-    rows, cols = rows[at[0]], cols[at[1]]
-    values = exact_distances(left, right, rows, cols)
-    near = values <= bounds[rows]
-    return rows[near], cols[near], values[near]
+    single = _single(left, right)
+    values, cols, count = np.full((len(left), k), np.inf), np.full((len(left), k), n), np.zeros(len(left), np.int64)
+    step = max(k, CELLS_AT_ONCE // ROWS_AT_ONCE)
+    for start in range(0, len(left), ROWS_AT_ONCE):
+        own = slice(start, start + ROWS_AT_ONCE)
+        for at in range(0, n, step):
+            block = slice(at, at + step)
+            reach = np.where(count[own] == k, np.minimum(values[own, k - 1], bounds[own]), bounds[own])
+            row, col = _candidates(left[own], right[block], k, reach, None if single is None else single(own, block))
+            exact = exact_distances(left[own], right[block], row, col)
+            row, col = row + start, col + at
+            # Right rows come in order, so a later one as far away as the k-th doesn't displace it.
+            wanted = (exact <= bounds[row]) & ((count[row] < k) | (exact < values[row, k - 1]))
+            _merge(values, cols, count, row[wanted], col[wanted], exact[wanted])
+    rows, rank = np.nonzero(np.arange(k) < count[:, None])
+    return rows, cols[rows, rank], values[rows, rank]
+
+
+def _single(left: np.ndarray, right: np.ndarray) -> Callable | None:
+    """For a block of rows its scores (half the right square less, a product is the larger the nearer) and limits.
+
+    Vectors are moved to the middle of the right ones and scaled before they are rounded. None if that is impossible.
+    """
+    with np.errstate(all="ignore"):
+        centre = right.mean(axis=0)
+        a, b = left - centre, right - centre
+        longest = np.nanmax(np.abs(a), initial=0.0), np.abs(b).max(initial=0.0)
+        if not np.isfinite(longest).all():
+            return None
+        scale = 2.0 ** -np.ceil(np.log2(max(longest))) if max(longest) > 0.0 else 1.0
+        if not np.isfinite(scale * scale) or scale * scale == 0.0:
+            return None
+        a, b = a * scale, b * scale
+    a_sq, b_sq = _squares(a), _squares(b)
+    far = b_sq.max(initial=0.0)
+    # What rounding to single precision, adding up and moving can change, and a little for tiny numbers.
+    moved = 4.0 * np.finfo(np.float64).eps * scale * (np.sqrt(_squares(left)) + np.sqrt(_squares(right).max(initial=0.0)))
+    margin = 4.0 * (left.shape[1] + 8) * np.finfo(np.float32).eps * (a_sq + far) + 4.0 * moved * (np.sqrt(a_sq) + np.sqrt(far)) + 1e-30
+    a = np.concatenate([a, np.ones((len(a), 1))], axis=1).astype(np.float32)
+    b = np.concatenate([b, -0.5 * b_sq[:, None]], axis=1).astype(np.float32).T
+
+    def scores(own: slice, block: slice) -> tuple[np.ndarray, np.ndarray, Callable]:
+        return a[own] @ b[:, block], margin[own], lambda reach: 0.5 * (a_sq[own] - reach * scale * scale) - margin[own]
+
+    return scores
+
+
+def _candidates(left: np.ndarray, right: np.ndarray, k: int, reach: np.ndarray, single: tuple | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that can be at most ``reach`` (of a left row) apart, and of rows without one those that can be among its k nearest."""
+    unlimited = np.flatnonzero(np.isposinf(reach))
+    kth = min(k, len(right)) - 1
+    hit = None
+    if single is not None:
+        scores, margin, limit_of = single
+        with np.errstate(invalid="ignore", over="ignore"):
+            limits = limit_of(reach)
+            if len(unlimited):
+                last = len(right) - 1 - kth
+                limits[unlimited] = np.partition(scores[unlimited], last, axis=1)[:, last] - 2.0 * margin[unlimited]
+            hit = scores >= limits.astype(np.float32)[:, None]
+    if hit is None or np.count_nonzero(hit) * PAIRS_WORTH > hit.size + PAIRS_WORTH * k * len(left):  # too many to go on pair by pair
+        with np.errstate(invalid="ignore", over="ignore"):
+            rough, margin = rough_distances(left, right)
+            limits = reach[:, None] + 2.0 * margin
+            if len(unlimited):
+                limits[unlimited] = np.partition(rough[unlimited], kth, axis=1)[:, kth : kth + 1] + 2.0 * margin[unlimited]
+            near = rough <= limits
+        hit = near if hit is None else hit & near
+    return np.divmod(np.flatnonzero(hit), len(right))
+
+
+def _merge(values: np.ndarray, cols: np.ndarray, count: np.ndarray, row: np.ndarray, col: np.ndarray, exact: np.ndarray) -> None:
+    """Put new pairs, ordered by row, into the tables of the k nearest."""
+    if not len(row):
+        return
+    k = values.shape[1]
+    touched = np.unique(row)
+    old, rank = np.nonzero(np.arange(k) < count[touched, None])
+    old = touched[old]
+    row, col, exact = np.concatenate([old, row]), np.concatenate([cols[old, rank], col]), np.concatenate([values[old, rank], exact])
+    order = np.lexsort((col, exact, row))
+    row, col, exact = row[order], col[order], exact[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    first = rank < k
+    row, rank = row[first], rank[first]
+    values[row, rank], cols[row, rank] = exact[first], col[first]
+    count[touched] = np.bincount(np.searchsorted(touched, row), minlength=len(touched))
 
 
 def visited_cells(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import operator
 from collections.abc import Iterator
 from functools import reduce
@@ -19,10 +20,18 @@ from roomledger.sources import stores
 
 # A side up to this size (vectors as doubles, plus keys) is sent to every executor.
 BROADCAST_BYTES = 64 << 20
-# By cells: number of reference vectors, and the sizes of the blocks that meet in one task.
+# Pairs of a question and a document that one task compares, where more tasks repeat rows (a few seconds) and where they
+# don't, and the most pages that pages smaller than BROADCAST_BYTES may give: questions are repeated for each.
+PAIRS_AT_ONCE = 1_000_000_000
+PAIRS_SENT = 200_000_000
+MOST_PAGES = 16
+# By cells: number of reference vectors, and the sizes of the blocks that meet in one task. Blocks grow once there are
+# MOST_BLOCKS of a cell, up to the largest size; more blocks repeat more rows.
 PIVOTS = 64
 BLOCK_DOCUMENTS = 8_192
 BLOCK_QUESTIONS = 8_192
+MOST_BLOCKS = 4
+LARGEST_BLOCK = 32_768
 # Rows of one key that meet in a task, and the most keys with more that are sent to every executor.
 HOT_ROWS = 10_000
 MOST_BROADCAST_KEYS = 100_000
@@ -41,15 +50,31 @@ def nearest_documents(
     take no part; they are dropped inside the search, as a filter here would compute the vectors
     of a lazily embedded table twice. ``documents`` is read more than once, so pass a stored table.
 
-    If the documents fit ``broadcast_bytes``, every task compares its questions with all of them
-    and nothing is shuffled. Otherwise questions stream past pages of documents, see
-    :func:`nearest_by_stream`. :func:`nearest_by_cells` suits vectors with few dimensions.
+    Of many documents with the same vector only the k smallest keys can be found, so the others are left out first
+    if an estimate says that this at least halves the table. If what is left fits ``broadcast_bytes``, every task compares
+    its questions with all of it; questions are dealt out to more tasks if theirs would be long. Otherwise questions
+    stream past pages of documents, see :func:`nearest_by_stream`. :func:`nearest_by_cells` suits vectors with few dimensions.
     """
+    questions, documents = questions.select("question_id", "embedding"), documents.select("doc_id", "embedding")
+    present = documents.where(F.col("embedding").isNotNull())
+    seen = present.agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(F.xxhash64("embedding")).alias("vectors")).first()
+    if 2 * k * seen["vectors"] <= seen["rows"]:
+        documents = materialize(_findable(present, k))
     if _bytes(documents, "doc_id") <= broadcast_bytes:
-        return _shown(_by_broadcast(questions.select("question_id", "embedding"), documents.select("doc_id", "embedding"), k))
+        tasks = -(-questions.count() * documents.count() // PAIRS_SENT)
+        return _shown(_by_broadcast(questions.repartition(tasks) if tasks > 1 else questions, documents, k))
     return nearest_by_stream(questions, documents, k, broadcast_bytes)
 
 
+def _findable(documents: DataFrame, k: int) -> DataFrame:
+    """Of the documents with one vector those with the k smallest keys, and k without a key.
+
+    Spark keeps k of each vector in each task before it shuffles.
+    """
+    same = Window.partitionBy(F.xxhash64("embedding"), "embedding", F.col("doc_id").isNull()).orderBy("doc_id")
+    return documents.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k).drop("nth")
+
+
 def _bytes(vectors: DataFrame, key: str) -> int:
     size = F.sum(8 * F.size("embedding") + 32 + F.octet_length(F.col(key).cast("string")))
     return vectors.agg(F.coalesce(size, F.lit(0)).alias("bytes")).first()["bytes"]
@@ -71,38 +96,49 @@ def nearest_by_stream(
 ) -> DataFrame:
     """The same result for any number of questions and documents, which meet as pages of rows in tasks.
 
-    Documents are cut by the hash of their key into pages of about ``page_bytes``. A task holds one page and the
-    questions stream past it, so only questions are repeated (once a page). First every question meets one page;
-    its k-th distance there bounds its neighbours, travels with the question, and ends work on farther documents
-    after a part of their components, see :func:`~roomledger.functions.vectors.nearest_within`. Beyond the bound
-    nothing is returned, so little more than k rows a question are shuffled back.
+    Documents are cut by the hash of their key into pages, questions into strips. A task holds one page and one
+    strip of questions streams past it, so questions are repeated once a page and documents once a strip. Pages have
+    about ``page_bytes``, but more once there are ``MOST_PAGES``, up to ``BROADCAST_BYTES``; there are as many pages and strips as
+    keep a task at ``PAIRS_AT_ONCE``. First every question meets one page; its k-th distance there bounds its neighbours
+    and travels with the question, see :func:`~roomledger.functions.vectors.nearest_within`. Beyond the bound nothing is returned.
 
-    Nothing but a sum of sizes reaches the driver, and the plan is the same for any number of pages.
+    Nothing but sums of sizes reaches the driver, and the plan is the same for any number of pages.
     """
     asked = materialize(questions.select("question_id", "embedding").where(F.col("embedding").isNotNull()))
     stored = documents.select("doc_id", "embedding")
-    pages = max(1, -(-_bytes(stored, "doc_id") // max(1, page_bytes)))
-    strips = max(1, -(-_bytes(asked, "question_id") // max(1, page_bytes)))
+    pages, strips = _grid(_bytes(stored, "doc_id"), stored.count() * asked.count(), page_bytes)
     paged = stored.withColumn("page", F.pmod(F.xxhash64("doc_id"), F.lit(pages)).cast("int"))
-    unbounded = asked.withColumn("bound", F.lit(float("inf")))
+    unbounded = asked.withColumn("bound", F.lit(float("inf"))).withColumn("strip", F.pmod(F.xxhash64("question_id"), F.lit(strips)).cast("int"))
+
+    def placed(rows: DataFrame, first: int) -> DataFrame:
+        return rows.withColumn("page", ((F.col("page") - first) * strips + F.col("strip")).cast("int")).drop("strip")
 
-    # The first page meets the questions in strips of about a page each.
-    strip = F.pmod(F.xxhash64("question_id"), F.lit(strips)).cast("int")
-    first_page = paged.where("page = 0").withColumn("page", F.explode(F.sequence(F.lit(0), F.lit(strips - 1))))
-    near = materialize(_met(first_page, unbounded.withColumn("page", strip), strips, k))
+    copies = paged.withColumn("strip", F.explode(F.sequence(F.lit(0), F.lit(strips - 1))))
+    first_page = placed(copies.where("page = 0"), 0)
+    near = materialize(_met(first_page, placed(unbounded.withColumn("page", F.lit(0)), 0), strips, k))
     if pages == 1:
         return _best(near, k)
     bounds = near.where(F.col("rank") == k).select("question_id", F.col("distance").alias("found_bound"))
     bounded = unbounded.join(bounds, "question_id", "left").withColumn("bound", F.coalesce("found_bound", "bound"))
     visits = bounded.drop("found_bound").withColumn("page", F.explode(F.sequence(F.lit(1), F.lit(pages - 1))))
-    return _best(near.unionByName(_met(paged.where("page > 0"), visits, pages, k)), k)
+    others = _met(placed(copies.where("page > 0"), 1), placed(visits, 1), (pages - 1) * strips, k)
+    return _best(near.unionByName(others), k)
+
+
+def _grid(document_bytes: int, pairs: int, page_bytes: int) -> tuple[int, int]:
+    """Number of pages of documents and of strips of questions."""
+    asked_for = -(-document_bytes // max(1, page_bytes))
+    needed = -(-document_bytes // max(1, page_bytes, BROADCAST_BYTES))
+    tasks = -(-pairs // PAIRS_AT_ONCE)
+    pages = max(1, needed, min(asked_for, MOST_PAGES), math.ceil(math.sqrt(tasks)))
+    return pages, max(1, -(-tasks // pages))
 
 
 def _met(held: DataFrame, streamed: DataFrame, pages: int, k: int) -> DataFrame:
     """The k nearest documents within ``bound`` of each question, for each page that the question visits.
 
     ``held``: ``doc_id, embedding, page``; ``streamed``: ``question_id, embedding, bound, page``. A partition is a
-    page: its documents come first and become one matrix, its questions follow in batches.
+    page (of a strip): its documents come first and become one matrix, its questions follow in batches.
     """
     result = _result_schema(streamed, held)
     none = {side: F.lit(None).cast(df.schema[key].dataType) for side, df, key in (("q", streamed, "question_id"), ("d", held, "doc_id"))}
@@ -176,7 +212,8 @@ def nearest_by_cells(
     goes to the cell of its nearest pivot, and a question visits only the cells that can hold one
     of its nearest documents, see :func:`~roomledger.functions.vectors.visited_cells`. A cell with many documents is cut into blocks,
     the questions that visit a cell into chunks, and one task handles one block and one chunk, so
-    neither a crowded cell nor a popular one gathers in one task. Each pair of block and chunk
+    neither a crowded cell nor a popular one gathers in one task. Blocks grow with their cell before they get many, as
+    questions are repeated for each block and documents for each chunk. Each pair of block and chunk
     gives only its k nearest per question; these meet once more per question.
 
     The driver sees the pivots and two counts per cell: ``pivots`` rows whatever the table sizes.
@@ -237,7 +274,7 @@ def nearest_by_cells(
     def per_cell(values: np.ndarray) -> Column:
         return F.element_at(F.lit(values.tolist()), F.col("cell") + 1).cast("int")
 
-    blocks, chunks = -(-counts // block_documents), -(-visits // block_questions)
+    blocks, chunks = _pieces(counts, block_documents), _pieces(visits, block_questions)
     block_count, chunk_count = per_cell(blocks), per_cell(chunks)
     left = (
         routed.withColumn("chunk", F.pmod(F.xxhash64(F.col("question_id")), chunk_count).cast("int"))
@@ -266,6 +303,11 @@ def nearest_by_cells(
     return _best(candidates, k)
 
 
+def _pieces(rows: np.ndarray, least: int) -> np.ndarray:
+    """Into how many blocks each cell is cut: of ``least`` rows or more, once there are ``MOST_BLOCKS``."""
+    return np.minimum(-(-rows // least), np.maximum(MOST_BLOCKS, -(-rows // max(least, LARGEST_BLOCK))))
+
+
 def _join_hot(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
     """Join on ``key``, which is unique on the right and may be very frequent or NULL on the left.
 

@@ -208,3 +208,51 @@ def test_per_question(spark, monkeypatch, broadcast_bytes):
     assert (rows["q3"].has_relevant_info, rows["q3"].context, rows["q3"].graph) == (False, None, None)
     assert (rows["q4"].has_relevant_info, rows["q4"].graph, rows["q4"].graph_description) == (True, None, "")
     assert [rows[f"q{i}"].extra for i in range(1, 5)] == [1, 2, 3, 4]
+
+
+def test_copies_beyond_the_smallest_keys_are_left_out(spark, monkeypatch):
+    distinct, questions = vectors("random", 20, 1), vectors("random", 40, 2)
+    documents = distinct[np.random.default_rng(3).integers(0, 20, 3000)]
+    q, d = frames(spark, questions, documents)
+    assert R._findable(d, 5).count() == 100
+    keyless = d.limit(0).unionByName(spark.createDataFrame([(None, distinct[0].tolist())] * 30, d.schema))
+    assert R._findable(keyless, 5).count() == 5
+    monkeypatch.setattr(R, "nearest_by_stream", lambda *a: pytest.fail("copies are compared"))
+    assert found(R.nearest_documents(q, d, 5, 100 * 150)) == brute_force(questions, documents, 5)
+
+
+def test_questions_of_one_task_are_dealt_out(spark, monkeypatch):
+    documents, questions = vectors("random", 100, 1), vectors("random", 60, 2)
+    q, d = frames(spark, questions, documents)
+    monkeypatch.setattr(R, "PAIRS_SENT", 600)
+    out = R.nearest_documents(q.coalesce(1), d, 5)
+    assert out.rdd.getNumPartitions() == 10
+    assert found(out) == brute_force(questions, documents, 5)
+
+
+def test_many_pairs_are_cut_into_pages_and_strips(spark, monkeypatch):
+    documents, questions = vectors("clustered", 300, 1), vectors("clustered", 90, 2)
+    q, d = frames(spark, questions, documents)
+    monkeypatch.setattr(R, "PAIRS_AT_ONCE", 1500)
+    assert R._grid(1000, 27_000, 1000) == (5, 4)
+    assert found(R.nearest_by_stream(q, d)) == brute_force(questions, documents, 5)
+
+
+def test_small_pages_do_not_repeat_questions_without_end():
+    assert [R._grid(size << 20, 1, 1 << 18)[0] for size in (1, 64, 900, 6400)] == [4, 16, 16, 100]
+
+
+def test_small_blocks_grow_with_their_cell():
+    rows = np.array([0, 1, 250, 6_400, 38_000, 615_000])
+    assert R._pieces(rows, 100).tolist() == [0, 1, 3, 4, 4, 19]
+
+
+def test_candidates_of_single_precision_lose_none():
+    rng = np.random.default_rng(4)
+    for right in (rng.normal(size=(9000, 6)), rng.normal(size=(9000, 6)) * 1e-6 + 300, rng.integers(0, 2, (9000, 6)) * 1e-25):
+        left = right[rng.integers(0, 9000, 30)] + rng.normal(size=(30, 6)) * 1e-9
+        distances = np.add.accumulate((left[:, None] - right[None]) ** 2, axis=2)[:, :, -1]
+        rows, cols, values = V.nearest(left, right, 7)
+        best = np.argsort(distances, axis=1, kind="stable")[:, :7]
+        assert (cols.reshape(30, 7) == best).all()
+        assert (values.reshape(30, 7) == np.take_along_axis(distances, best, axis=1)).all()
