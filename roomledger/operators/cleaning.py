@@ -157,18 +157,21 @@ def parse_status_date(df: DataFrame, form: str = schema.DATE_FORMAT) -> DataFram
 def date_format_of(df: DataFrame, column: str, formats: Sequence[str] = schema.DATE_FORMATS) -> str:
     """The one of some formats that every value of a column has; ValueError if none or several give dates.
 
-    Each value is the set of formats it has, as bits; one aggregate intersects them. Formats under which every value
+    Each value is the set of formats it has, as bits; one aggregate intersects them. Dates repeat, so equal values are
+    combined in each task before any is parsed. Formats under which every value
     is the same date are no contradiction: the first of them counts. A column without values has the first format.
     """
-    text = F.col(column).cast("string")
+    values = df.select(F.col(column).cast("string").alias("value")).where(F.col("value").isNotNull()).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    text = F.col("value")
     dates = [F.try_to_timestamp(text, F.lit(f)).cast("date") for f in formats]
     whole = [F.when(F.date_format(d, f) == text, d) for d, f in zip(dates, formats)]
     bits = reduce(operator.add, (F.when(d.isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, d in enumerate(whole)))
     same = [
         F.bool_and(F.coalesce(whole[i] == whole[j], F.lit(False))).alias(f"{i}={j}") for i in range(len(formats)) for j in range(i + 1, len(formats))
     ]
-    row = df.where(text.isNotNull()).agg(F.bit_and(bits).alias("bits"), F.min(F.when(bits == 0, text)).alias("odd"), *same).first()
-    if row["bits"] is None:
+    # Without the sum Spark would see that copies don't matter here, and parse every row.
+    row = values.agg(F.sum("n").alias("rows"), F.bit_and(bits).alias("bits"), F.min(F.when(bits == 0, text)).alias("odd"), *same).first()
+    if row["rows"] is None:
         return formats[0]
     fitting = [i for i in range(len(formats)) if row["bits"] >> i & 1]
     if not fitting:

@@ -191,3 +191,14 @@ def test_only_whole_dates_are_dates(spark, booking, junk):
 def test_another_date_format(spark):
     rows = spark.createDataFrame([("04.07.2017",), (None,)], "t string").select(X.strict_date(F.col("t"), "dd.MM.yyyy"))
     assert [r[0] for r in rows.collect()] == [datetime.date(2017, 7, 4), None]
+
+
+def test_equal_dates_are_combined_before_they_are_parsed(spark, monkeypatch):
+    plans = []
+    first = type(spark.range(1)).first
+    monkeypatch.setattr(type(spark.range(1)), "first", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or first(df))
+    dates = spark.range(1000).selectExpr("if(id = 7, null, concat('2017-07-', 10 + id % 3)) as day")
+    assert C.date_format_of(dates, "day") == "yyyy-MM-dd"
+    assert [line.lstrip(" +-").split(" ")[0] for line in plans[0].splitlines()].count("Aggregate") == 2
+    with pytest.raises(ValueError, match="no date format fits"):
+        C.date_format_of(dates.selectExpr("replace(day, '11', 'x') as day"), "day")
