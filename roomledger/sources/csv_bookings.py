@@ -81,9 +81,9 @@ def _kind(column: str) -> Column:
     text = _present(f"`{column}`")
     return (
         F.when(text.isNull(), _KINDS["missing"])
-        .when(text.rlike(_WHOLE) & text.try_cast("bigint").isNotNull(), _KINDS["whole"])
-        .when(text.rlike(_REAL) & ~text.rlike(_WHOLE), _KINDS["real"])
         .when(text.isin("True", "TRUE", "true", "False", "FALSE", "false"), _KINDS["truth"])
+        .when(text.rlike(_WHOLE), F.when(text.try_cast("bigint").isNotNull(), _KINDS["whole"]).otherwise(_KINDS["text"]))
+        .when(text.rlike(_REAL), _KINDS["real"])
         .otherwise(_KINDS["text"])
     )
 
