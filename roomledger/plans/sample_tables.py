@@ -21,18 +21,19 @@ def wide_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def bookings(spark: SparkSession, folder: str) -> DataFrame:
-    """One booking per line item, and a copy of those with line number 1."""
+    """One booking per line item, and a copy of those with line number 1.
+
+    Customers meet the orders first, as there are fewer orders than items to move.
+    """
     items = wide_table(spark, folder, "lineitem")
     orders = table(spark, folder, "orders")
     customers = table(spark, folder, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nations = table(spark, folder, "nation").select("n_nationkey", "n_name")
     parts = table(spark, folder, "part").select("p_partkey", "p_type")
-    joined = (
-        items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    ordered = orders.join(
+        customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey")), F.col("o_custkey") == F.col("c_custkey")
     )
+    joined = items.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(ordered, F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.selectExpr(
         "case when l_linestatus = 'F' then 'City Hotel' else 'Resort Hotel' end as hotel",
         "case when l_returnflag = 'R' then 1 else 0 end as is_canceled",
