@@ -18,11 +18,13 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import cache
 from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,9 +36,11 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
-#: Paths of parts that a worker keeps, twice: recent ones and those before. Longer parts are not kept.
+#: Paths of parts that a worker keeps, twice: recent ones and those before, as bytes of 32-bit ids. Longer parts are not kept.
 CACHED_PARTS = 250_000
 CACHED_LENGTH = 48
+#: Pairs of pieces whose merging a worker keeps in mind.
+CACHED_PAIRS = 500_000
 UNKNOWN_PENALTY = 10.0
 INFINITY = math.inf
 
@@ -84,8 +88,8 @@ class Transducer:
         for p, i in self.arcs.items():
             self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
-        self.paths: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.paths: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.kept_pairs: dict[tuple[int, int], bool] = {}
         self.output = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(MARK, " ").encode() for p, _, k in pieces]
 
@@ -122,6 +126,8 @@ class Transducer:
                 known = self._merged(text) == [piece]
             else:
                 known = self._merged(self.pieces[last][0] + text) == [last, piece]
+            if len(self.kept_pairs) >= CACHED_PAIRS:
+                self.kept_pairs.clear()
             self.kept_pairs[last, piece] = known
         return known
 
@@ -163,7 +169,7 @@ class Transducer:
                 total[at + 1], pieces[at + 1], starts[at + 1] = total[at + 1 - size] + self.weight[piece], piece, at + 1 - size
         return pieces, starts
 
-    def _shortest(self, part: str) -> tuple[int, ...]:
+    def _shortest(self, part: str) -> bytes:
         pieces, starts = self._finite(part) if self.kind == BPE else self._lightest(part)
         path, end = [], len(part)
         while end:
@@ -174,9 +180,9 @@ class Transducer:
             else:
                 path.append(pieces[end])
             end = start
-        return tuple(path[::-1])
+        return array("i", path[::-1]).tobytes()
 
-    def _path(self, part: str) -> tuple[int, ...]:
+    def _path(self, part: str) -> bytes:
         path = self.older.get(part) or self._shortest(part)
         if len(part) <= CACHED_LENGTH:
             if len(self.paths) >= CACHED_PARTS:
@@ -184,11 +190,15 @@ class Transducer:
             self.paths[part] = path
         return path
 
-    def encode(self, text: str) -> list[int]:
+    def encoded(self, text: str) -> bytes:
+        """The ids as 32-bit numbers, one after another."""
         path = self._path
-        return list(chain.from_iterable([self.paths.get(p) or path(p) for p in self.part.findall(self.normalise(text))]))
+        return b"".join([self.paths.get(p) or path(p) for p in self.part.findall(self.normalise(text))])
+
+    def encode(self, text: str) -> list[int]:
+        return array("i", self.encoded(text)).tolist()
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         """Bytes that are no UTF-8 become U+FFFD; control pieces vanish; the mark in front is taken off."""
         text = b"".join(map(self.output.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
@@ -238,17 +248,17 @@ def tokenized(documents: DataFrame, model: bytes) -> DataFrame:
 
     @F.arrow_udf("ids array<int>, n_ids int, exact boolean")
     def encode(texts: pa.Array) -> pa.Array:
-        machine, rows = _of(sent.value), []
+        machine, ids, ends, exact = _of(sent.value), bytearray(), [0], []
         for scalar in texts:
             text = scalar.as_py()
-            if text is None:
-                rows.append(None)
-            else:
-                ids = machine.encode(text)
-                rows.append((pa.array(ids, pa.int32()), len(ids), machine.decode(ids) == text))
-        lists = pa.array([None if r is None else r[0] for r in rows], pa.list_(pa.int32()))
+            own = b"" if text is None else machine.encoded(text)
+            exact.append(None if text is None else machine.decode(array("i", own)) == text)
+            ids += own
+            ends.append(len(ids) // 4)
+        ends, missing = np.array(ends, np.int32), np.array([e is None for e in exact], bool)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(ids, np.int32)), mask=pa.array(missing))
         return pa.StructArray.from_arrays(
-            [lists, pa.array([None if r is None else r[1] for r in rows], pa.int32()), pa.array([None if r is None else r[2] for r in rows], pa.bool_())], fields=list(returned)
+            [lists.cast(returned[0].type), pa.array(np.diff(ends), pa.int32(), mask=missing), pa.array(exact, pa.bool_())], fields=list(returned)
         )
 
     told = documents.select(*kept, encode(F.col("text").cast("string")).alias("__told"))

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 import sentencepiece
 
@@ -88,3 +89,14 @@ def test_tables(spark, model, library):
     assert sorted(map(repr, back)) == sorted(repr(r) for r in coded.where("exact").select("doc_id", "text").collect())
     assert S.tokenized(frame.where("false"), model).count() == 0
     assert S.read_model(spark, f"file://{TOKENIZER}") == model
+
+
+def test_paths_are_kept_as_bytes_and_pairs_within_bounds(model, monkeypatch):
+    machine = S.compiled(model)
+    text = "Some words, and some words again: naïve 日本 \U0001f600\n"
+    ids = machine.encode(text)
+    assert machine.paths and all(type(path) is bytes for path in machine.paths.values())
+    assert np.frombuffer(machine.encoded(text), np.int32).tolist() == ids and machine.decode(ids) == text
+    monkeypatch.setattr(S, "CACHED_PAIRS", 3)
+    small = S.compiled(model)
+    assert small.encode(text) == ids and len(small.kept_pairs) <= 3
