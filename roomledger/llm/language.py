@@ -216,9 +216,12 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
     ship(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double, rejected boolean")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([sent.value.predict(t) for t in texts], columns=["lang_pred", "score", "rejected"])
+    returned = [pa.field("lang_pred", pa.string()), pa.field("score", pa.float64()), pa.field("rejected", pa.bool_())]
+
+    @F.arrow_udf("lang_pred string, score double, rejected boolean")
+    def predict(texts: pa.Array) -> pa.Array:
+        told = [sent.value.predict(t.as_py()) for t in texts]  # one text at a time is a Python object
+        return pa.StructArray.from_arrays([pa.array([row[i] for row in told], f.type) for i, f in enumerate(returned)], fields=returned)
 
     kept = [F.col(f"`{c}`") for c in documents.columns if c.lower() not in ("lang_pred", "score", "rejected")]
     told = documents.select(*kept, predict(F.col("text").cast("string")).alias("__told"))

@@ -11,7 +11,7 @@ semiring (weights are added along a path, the smallest total wins) is the encodi
   piece, and an arc weighs 0 if merging keeps the pair and infinity if not. Exactly one path is finite.
 
 Pieces never reach over the start of a run of white-space marks (checked when compiling), so texts are cut there
-and the paths of the parts, of which most repeat, are kept in a bounded cache. Ids equal those of the library.
+and the paths of the parts, of which most repeat, are kept in a bounded cache, a new one each task. Ids equal those of the library.
 """
 
 from __future__ import annotations
@@ -36,11 +36,13 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
-#: Paths of parts that a worker keeps, twice: recent ones and those before, as bytes of 32-bit ids. Longer parts are not kept.
+#: Paths of parts that a task keeps, twice: recent ones and those before, as bytes of 32-bit ids. Longer parts are not kept.
 CACHED_PARTS = 250_000
 CACHED_LENGTH = 48
-#: Pairs of pieces whose merging a worker keeps in mind.
+#: Pairs of pieces whose merging a task keeps in mind.
 CACHED_PAIRS = 500_000
+#: Bytes of ids that go out together, and one text's at most beyond.
+PIECE_BYTES = 1 << 22
 UNKNOWN_PENALTY = 10.0
 INFINITY = math.inf
 
@@ -88,10 +90,14 @@ class Transducer:
         for p, i in self.arcs.items():
             self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
+        self.forget()
+        self.output = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(MARK, " ").encode() for p, _, k in pieces]
+
+    def forget(self) -> None:
+        """Let go of the paths and pairs kept so far; a worker may serve other work after this."""
         self.paths: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.kept_pairs: dict[tuple[int, int], bool] = {}
-        self.output = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(MARK, " ").encode() for p, _, k in pieces]
 
     # the normaliser
 
@@ -234,6 +240,31 @@ def read_model(spark: SparkSession, path: str) -> bytes:
     return bytes(spark.read.format("binaryFile").load(path).first().content)
 
 
+def _encoded(machine: Transducer, texts: pa.Array) -> Iterator[pa.Array]:
+    """``ids``, ``n_ids`` and ``exact`` of all texts, in pieces of ``PIECE_BYTES``."""
+    returned = pa.struct([("ids", pa.list_(pa.int32())), ("n_ids", pa.int32()), ("exact", pa.bool_())])
+    ids, ends, exact = bytearray(), [0], []
+
+    def piece() -> pa.Array:
+        until, missing = np.array(ends, np.int32), np.array([e is None for e in exact], bool)
+        lists = pa.ListArray.from_arrays(pa.array(until), pa.array(np.frombuffer(ids, np.int32)), mask=pa.array(missing))
+        return pa.StructArray.from_arrays(
+            [lists.cast(returned[0].type), pa.array(np.diff(until), pa.int32(), mask=missing), pa.array(exact, pa.bool_())], fields=list(returned)
+        )
+
+    for scalar in texts:
+        text = scalar.as_py()
+        own = b"" if text is None else machine.encoded(text)
+        exact.append(None if text is None else machine.decode(array("i", own)) == text)
+        ids += own
+        ends.append(len(ids) // 4)
+        if len(ids) >= PIECE_BYTES:
+            yield piece()
+            ids, ends, exact = bytearray(), [0], []
+    if exact:
+        yield piece()
+
+
 def tokenized(documents: DataFrame, model: bytes) -> DataFrame:
     """Every row with ``ids``, ``n_ids`` and ``exact``: whether decoding the ids gives the text back.
 
@@ -244,22 +275,15 @@ def tokenized(documents: DataFrame, model: bytes) -> DataFrame:
     kept = [F.col(f"`{c}`") for c in documents.columns if c.lower() not in names]
     ship(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(model)
-    returned = pa.struct([("ids", pa.list_(pa.int32())), ("n_ids", pa.int32()), ("exact", pa.bool_())])
 
     @F.arrow_udf("ids array<int>, n_ids int, exact boolean")
-    def encode(texts: pa.Array) -> pa.Array:
-        machine, ids, ends, exact = _of(sent.value), bytearray(), [0], []
-        for scalar in texts:
-            text = scalar.as_py()
-            own = b"" if text is None else machine.encoded(text)
-            exact.append(None if text is None else machine.decode(array("i", own)) == text)
-            ids += own
-            ends.append(len(ids) // 4)
-        ends, missing = np.array(ends, np.int32), np.array([e is None for e in exact], bool)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(ids, np.int32)), mask=pa.array(missing))
-        return pa.StructArray.from_arrays(
-            [lists.cast(returned[0].type), pa.array(np.diff(ends), pa.int32(), mask=missing), pa.array(exact, pa.bool_())], fields=list(returned)
-        )
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        machine = _of(sent.value)
+        try:
+            for texts in batches:
+                yield from _encoded(machine, texts)
+        finally:  # the process and its compiled model stay for later tasks, of other operators too
+            machine.forget()
 
     told = documents.select(*kept, encode(F.col("text").cast("string")).alias("__told"))
     return told.select(*kept, "__told.ids", "__told.n_ids", "__told.exact")

@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -100,3 +101,26 @@ def test_paths_are_kept_as_bytes_and_pairs_within_bounds(model, monkeypatch):
     monkeypatch.setattr(S, "CACHED_PAIRS", 3)
     small = S.compiled(model)
     assert small.encode(text) == ids and len(small.kept_pairs) <= 3
+
+
+def test_a_worker_keeps_no_paths_or_pairs_after_a_task(spark, model):
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(random_texts(400))], "doc_id long, text string").repartition(16)
+    assert S.tokenized(texts, model).where("exact").count() > 0
+
+    def kept(batches):
+        machine = S._of(model)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(machine.paths) + len(machine.older) + len(machine.kept_pairs)] * len(batch))], names=["n"])
+
+    assert {r.n for r in texts.select("doc_id").mapInArrow(kept, "n long").collect()} == {0}
+
+
+def test_ids_go_out_in_small_pieces_and_in_order(machine, monkeypatch):
+    texts = pa.array(["", None, *random_texts(50), "x" * 20_000, None, ""])
+    (whole,) = S._encoded(machine, texts)
+    monkeypatch.setattr(S, "PIECE_BYTES", 200)
+    pieces = list(S._encoded(machine, texts))
+    assert len(pieces) > 5 and pa.concat_arrays(pieces).to_pylist() == whole.to_pylist()
+    assert all(sum(len(ids or []) for ids in p.field("ids")[:-1].to_pylist()) * 4 < 200 for p in pieces)
+    assert [p.to_pylist() for p in S._encoded(machine, pa.array([None], pa.string()))] == [[{"ids": None, "n_ids": None, "exact": None}]]
+    assert list(S._encoded(machine, pa.array([], pa.string()))) == []
